@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import sys
 from collections.abc import Callable, Mapping
-from functools import reduce
+from functools import lru_cache, reduce
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -44,19 +44,22 @@ LOADED_AT = "2024-01-01T00:00:00+00:00"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Plans are kept per session and folder; they hold no data, only what to read and compute.
+@lru_cache(maxsize=8)
 def _book(spark: SparkSession, sf_dir: str) -> OrderBook:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return OrderBook(spark, sf_dir)
 
 
+@lru_cache(maxsize=8)
 def _medallion(spark: SparkSession, sf_dir: str) -> Medallion:
     bronze = extracts.bronze_frames(_book(spark, sf_dir).raw(), LOADED_AT)
     return Medallion(bronze, CONTRACT_DAY)
 
 
+@lru_cache(maxsize=8)
 def _star(spark: SparkSession, sf_dir: str) -> Star:
-    b = _book(spark, sf_dir)
-    return Star(b.star_fact, b.star_supplier, b.star_category, b.star_contract, QUALITY_DAY)
+    return Star(_book(spark, sf_dir).star(), QUALITY_DAY)
 
 
 def _presented(df: DataFrame) -> DataFrame:
@@ -150,15 +153,8 @@ def src_load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_star_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _book(spark, sf_dir)
     folder = storage.new_folder(spark, "star")
-    frames = {
-        "dim_supplier": b.star_supplier,
-        "dim_category": b.star_category,
-        "dim_contract": b.star_contract,
-        "fact_spend": b.star_fact,
-    }
-    for name, df in frames.items():
+    for name, df in _book(spark, sf_dir).star().items():
         storage.export_parquet(df, f"{folder}/{name}")
     stored = star.read_star_parquet(spark, folder)
     return _digests(

@@ -43,5 +43,5 @@ def count_if(cond: Column) -> Column:
 
 
 def exact(col: Column) -> Column:
-    """Fix a computed double at six decimals, so that later sums are exact and order-free."""
-    return col.cast("decimal(38,6)")
+    """Fix a computed double at four decimals, so that later sums are exact and order-free."""
+    return half_up(col, 4).cast("decimal(38,4)")

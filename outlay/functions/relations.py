@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+
+class LazyFrames(Mapping[str, DataFrame]):
+    """Named frames, each built once and only when it is read."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders = dict(builders)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 # A side is broadcast only when measured under both bounds.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
@@ -26,6 +47,15 @@ def broadcast_if_small(
     return F.broadcast(df) if small else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table stored in fewer splits than there are cores to all cores; a table with
+    enough splits is returned as it is and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def unique_by(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key. Catalyst then knows the side is unique on the key and drops a left
     join to it when none of its other columns is read; the aggregation reuses the shuffle of

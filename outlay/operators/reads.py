@@ -208,15 +208,15 @@ def hierarchy_rollup(
 
     A node's level is the number of hierarchy columns it has; the grand total is level 0.
     """
-    weight = as_double(F.col(size)) * as_double(F.col(colour))
+    weight = F.col(size).cast("decimal(19,2)") * F.col(colour).cast("decimal(19,4)")
     missing = sum((F.grouping(c).cast("int") for c in levels), F.lit(0))
     return (
-        rows.withColumn("_weighted", weight.cast("decimal(38,2)"))
+        rows.withColumn("_weighted", weight)
         .rollup(*levels)
         .agg(
             (F.lit(len(levels)) - missing).alias("level"),
             F.sum(size).alias("node_size"),
-            ratio(F.sum("_weighted"), F.sum(size)).alias("node_colour"),
+            half_up(ratio(F.sum("_weighted"), F.sum(size)), 2).alias("node_colour"),
         )
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -12,20 +13,27 @@ from outlay.sources.storage import publish_views
 
 
 class Star:
-    def __init__(
-        self,
-        fact: DataFrame,
-        suppliers: DataFrame,
-        categories: DataFrame,
-        contracts: DataFrame,
-        as_of: dt.date,
-    ):
-        self.fact = fact
-        self.suppliers = suppliers
-        self.categories = categories
-        self.contracts = contracts
+    def __init__(self, tables: Mapping[str, DataFrame], as_of: dt.date):
+        """`tables` holds fact_spend, dim_supplier, dim_category and dim_contract."""
+        self.tables = tables
         self.as_of = as_of
 
+    @property
+    def fact(self) -> DataFrame:
+        return self.tables["fact_spend"]
+
+    @property
+    def suppliers(self) -> DataFrame:
+        return self.tables["dim_supplier"]
+
+    @property
+    def categories(self) -> DataFrame:
+        return self.tables["dim_category"]
+
+    @property
+    def contracts(self) -> DataFrame:
+        return self.tables["dim_contract"]
+
     @cached_property
     def cube(self) -> DataFrame:
         return views.v_spend_cube(self.fact, self.suppliers, self.categories)

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outlay.functions.relations import LazyFrames
 from outlay.sources.schemas import EXTRACTS
 
 
@@ -48,9 +49,12 @@ def land_extracts(spark: SparkSession, folder: str, loaded_at: str) -> dict[str,
     }
 
 
-def bronze_frames(raw: Mapping[str, DataFrame], loaded_at: str) -> dict[str, DataFrame]:
+def bronze_frames(raw: Mapping[str, DataFrame], loaded_at: str) -> LazyFrames:
     """Bronze frames of extracts that are already at hand as DataFrames."""
-    return {n: with_load_metadata(df, EXTRACTS[n][0], loaded_at) for n, df in raw.items()}
+    def builder(name: str):
+        return lambda: with_load_metadata(raw[name], EXTRACTS[name][0], loaded_at)
+
+    return LazyFrames({name: builder(name) for name in raw})
 
 
 def write_extracts(raw: Mapping[str, DataFrame], folder: str) -> None:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import MONEY, RATE
-from outlay.functions.relations import broadcast_if_small, unique_by
+from outlay.functions.relations import LazyFrames, broadcast_if_small, spread, unique_by
 from outlay.operators.costing import derive_cost_measures, should_cost_buildup
-from outlay.sources.schemas import EXTRACTS
+from outlay.sources.schemas import EXTRACTS, ORDER_BOOK
 
 # Fixed values of the mapping.
 INDIRECT_TYPES = ("ECONOMY", "STANDARD", "PROMO")
@@ -43,7 +43,7 @@ class OrderBook:
         self.path = path.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.spark.read.schema(ORDER_BOOK[name]).parquet(f"{self.path}/{name}.parquet")
 
     # ---- shared parts
 
@@ -86,7 +86,8 @@ class OrderBook:
         per_unit = F.floor(cents * 100 / F.nullif("l_quantity", F.lit(0.0)))
         ext = F.col("l_extendedprice").cast(MONEY)
         credit = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
-        lines = self.table("lineitem").select(
+        items = spread(self.table("lineitem"), "l_orderkey", "l_partkey", "l_linenumber")
+        lines = items.select(
             "l_orderkey",
             "l_partkey",
             "l_suppkey",
@@ -351,12 +352,23 @@ class OrderBook:
             ),
         )
 
-    def raw(self) -> dict[str, DataFrame]:
-        """All eight extracts by name."""
-        return {name: getattr(self, f"raw_{name}")() for name in EXTRACTS}
+    def raw(self) -> LazyFrames:
+        """All eight extracts by name, each built when it is asked for."""
+        return LazyFrames({name: getattr(self, f"raw_{name}") for name in EXTRACTS})
 
     # ---- star tables
 
+    def star(self) -> LazyFrames:
+        """The star tables by name, each built when it is asked for."""
+        return LazyFrames(
+            {
+                "fact_spend": lambda: self.star_fact,
+                "dim_supplier": lambda: self.star_supplier,
+                "dim_category": lambda: self.star_category,
+                "dim_contract": lambda: self.star_contract,
+            }
+        )
+
     @cached_property
     def star_supplier(self) -> DataFrame:
         place = (

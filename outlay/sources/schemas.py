@@ -12,6 +12,7 @@ TYPES: dict[str, T.DataType] = {
     "double": T.DoubleType(),
     "boolean": T.BooleanType(),
     "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
     "decimal(14,2)": T.DecimalType(14, 2),
     "decimal(14,4)": T.DecimalType(14, 4),
 }
@@ -94,6 +95,27 @@ EXTRACTS: dict[str, tuple[str, T.StructType]] = {
     ),
 }
 
+# Order-book tables the adapter reads, by the columns it may use.
+ORDER_BOOK: dict[str, T.StructType] = {
+    "region": _schema("r_regionkey int, r_name string"),
+    "nation": _schema("n_nationkey int, n_name string, n_regionkey int"),
+    "supplier": _schema("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
+    "part": _schema(
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "orders": _schema(
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": _schema(
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "conversations": _schema("conv_id bigint, turn bigint, role string, text string"),
+}
+
 # Star tables of the serving side.
 STAR: dict[str, T.StructType] = {
     "dim_supplier": _schema(
