@@ -18,6 +18,7 @@ def value_positions(df: DataFrame, value: str, slices: int = 256) -> DataFrame:
     `slices + 1` rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    slices = max(slices, 2)
     points = [i / slices for i in range(1, slices)]
     cuts = counts.agg(
         F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(slices * 40))

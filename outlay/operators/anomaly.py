@@ -43,10 +43,11 @@ LINE_COLUMNS = (
     "price_variance",
     "should_cost_gap",
 )
+FACT_COLUMNS = (*LINE_COLUMNS, "on_contract", "maverick_flag")
 TREES, SUBSAMPLE, CONTAMINATION, SEED = 200, 256, 0.03, 42
 EXPORT_LIMIT = 500
-# Lines from which all subsamples are drawn, in expectation.
-POOL = 16_384
+# Lines drawn per tree in expectation, before the cut at SUBSAMPLE.
+DRAWS = 336
 DEPTH = int(math.log2(SUBSAMPLE))
 
 
@@ -159,11 +160,16 @@ def _fit_tree(seed: int):
 
 
 def fit_forest(standardised: DataFrame, rows: int, trees: int = TREES, seed: int = SEED) -> Forest:
-    """Fit on subsamples drawn by hashes of the row values, so that the same table gives the
-    same forest however it is partitioned. Copies of one line are drawn together."""
-    share = min(1.0, POOL / max(rows, 1))
-    point = F.xxhash64(*[F.col(f) for f in standardised.columns], F.lit(seed))
-    drawn = standardised.withColumn("_point", point)
+    """Fit on subsamples of the standardised features, drawn by `_point`, a hash of the line as
+    it is stored, so that the same table gives the same forest however it is partitioned.
+    Copies of one line are drawn together.
+
+    About DRAWS lines per tree leave the table; in a table with fewer lines than that for all
+    trees, a line goes to several trees.
+    """
+    share = min(1.0, trees * DRAWS / max(rows, 1))
+    turns = max(1, math.ceil(trees * DRAWS / max(rows, 1)))
+    drawn = standardised
     if share < 1.0:
         limit = int(-(2**63) + share * 2**64)
         drawn = drawn.where(F.col("_point") < limit)
@@ -173,8 +179,14 @@ def fit_forest(standardised: DataFrame, rows: int, trees: int = TREES, seed: int
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
         .drop("_copies")
     )
-    places = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_draw", F.xxhash64("_point", "_copy", "tree")
+    places = (
+        pool.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        .withColumn(
+            "tree", F.pmod(F.xxhash64("_point", "_copy", "_turn"), F.lit(trees)).cast("int")
+        )
+        .drop("_turn")
+        .distinct()
+        .withColumn("_draw", F.xxhash64("_point", "_copy", "tree"))
     )
     first = Window.partitionBy("tree").orderBy("_draw", "_copy")
     subsamples = places.withColumn("_place", F.row_number().over(first)).where(
@@ -226,8 +238,8 @@ def spend_anomalies(
     def standard(name: str) -> Column:
         return (_known(name) - F.lit(size[f"mean_{name}"])) / F.lit(size[f"sd_{name}"] or 1.0)
 
-    identity = [F.col(c) for c in LINE_COLUMNS if c not in FEATURES]
-    standardised = lines.select(*identity, *[standard(f).alias(f) for f in FEATURES])
+    point = F.xxhash64(*[F.col(c) for c in lines.columns], F.lit(seed)).alias("_point")
+    standardised = lines.select(point, *[standard(f).alias(f) for f in FEATURES])
     forest = fit_forest(standardised, size["n"], trees, seed)
     scorer = _scorer(spark, forest)
     scored = written(

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from outlay.operators import anomaly, conform, leakage, marts, model, pvm, quality, risk
+from outlay.sources.storage import written
 
 
 class Medallion:
@@ -182,7 +183,11 @@ class Medallion:
         return risk.supplier_risk(self.performance)
 
     def spend_anomalies(self) -> DataFrame:
-        return anomaly.spend_anomalies(self.fact)
+        """Detection passes over its lines three times; a derived fact is written once for it."""
+        fact = self.stored_fact
+        if fact is None:
+            fact = written(self.fact.select(*anomaly.FACT_COLUMNS), "anomaly-lines")
+        return anomaly.spend_anomalies(fact)
 
     def rule_tables(self) -> dict[str, DataFrame]:
         """Tables the declared quality rules name."""
