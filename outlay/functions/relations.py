@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,12 +58,34 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def unique_by(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key. Catalyst then knows the side is unique on the key and drops a left
-    join to it when none of its other columns is read; the aggregation reuses the shuffle of
-    a join on the same key."""
+    join to it when none of its other columns is read."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest])
 
 
+def lookup(
+    left: DataFrame, unique: DataFrame, on: Mapping[str, Column], null_safe: bool = False
+) -> DataFrame:
+    """Left join to a side that is unique on its keys; `on` maps each of its key columns to the
+    left expression it must equal. The key columns of the side do not come along.
+
+    The keys get a further one that is always 0. Without it the join would take over the
+    partitioning of the aggregation that made the side unique, and adaptive execution splits a
+    hot key only where both sides of a join arrive by shuffles of their own.
+    """
+    inner = {key: f"_unique_{key}" for key in on}
+    side = unique.withColumnsRenamed(inner).withColumn("_side", _always_zero(*inner.values()))
+    matched = _always_zero(*on.values()) == F.col("_side")
+    for key, expr in on.items():
+        same = expr.eqNullSafe(F.col(inner[key])) if null_safe else expr == F.col(inner[key])
+        matched = matched & same
+    return left.join(side, matched, "left").drop("_side", *inner.values())
+
+
+def _always_zero(*columns: Column | str) -> Column:
+    return F.pmod(F.hash(*columns), F.lit(1))
+
+
 def constants_stacked(df: DataFrame, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
     """Turn a one-row frame into one row per entry of `rows`; entries are columns or literals."""
     entry = [

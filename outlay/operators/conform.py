@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import MONEY, RATE
+from outlay.functions.relations import lookup
 from outlay.sources.schemas import EXTRACTS
 
 # Fixed values.
@@ -57,7 +58,7 @@ def silver_suppliers(bronze: DataFrame, strict: bool = False) -> DataFrame:
         .where("holders > 1")
         .select("name_key", F.lit(True).alias("repeated"))
     )
-    flagged = base.join(repeated, "name_key", "left")
+    flagged = lookup(base, repeated, {"name_key": F.col("name_key")})
     return flagged.select(
         *base.columns, F.coalesce("repeated", F.lit(False)).alias("potential_duplicate_flag")
     )

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from outlay.functions.relations import lookup
+from outlay.sources.storage import written
+
 
 def _in_force(changes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Number of contracts in force per wanted (keys, day).
@@ -29,6 +32,9 @@ def _in_force(changes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFra
 def match_active_contract(lines: DataFrame, contracts: DataFrame) -> DataFrame:
     """Add candidate_contracts and has_active_contract to spend lines.
 
+    Counts are taken per distinct (supplier, category, day), a set written once because three
+    steps read it, and looked up by the lines in one join.
+
     A contract counts when it has the line's supplier, spans the spend date (both ends
     included) and names the line's category or none.
     """
@@ -47,30 +53,41 @@ def match_active_contract(lines: DataFrame, contracts: DataFrame) -> DataFrame:
             )
         ),
     )
-    wanted = lines.select(
+    keys = lines.select(
         F.col("supplier_id").alias("_supplier"),
         F.col("category_id").alias("_category"),
         F.col("spend_date").alias("day"),
     ).where(F.col("_supplier").isNotNull() & F.col("day").isNotNull())
+    wanted = written(keys.distinct(), "contract-keys")
     named = _in_force(
         changes.where(F.col("_category").isNotNull()),
         wanted.where(F.col("_category").isNotNull()),
         ["_supplier", "_category"],
-    ).select("_supplier", "_category", "day", F.col("in_force").alias("_named"))
+    ).withColumnRenamed("in_force", "_named")
     open_scope = _in_force(
         changes.where(F.col("_category").isNull()).drop("_category"), wanted, ["_supplier"]
-    ).select("_supplier", "day", F.col("in_force").alias("_open"))
-    supplier_day = (F.col("supplier_id") == F.col("_supplier")) & (
-        F.col("spend_date") == F.col("day")
+    ).withColumnRenamed("in_force", "_open")
+    by_day = {"_supplier": F.col("_supplier"), "day": F.col("day")}
+    counted = lookup(
+        lookup(wanted, named, {**by_day, "_category": F.col("_category")}), open_scope, by_day
     )
-    counted = (
-        lines.join(named, supplier_day & (F.col("category_id") == F.col("_category")), "left")
-        .select(*lines.columns, "_named")
-        .join(open_scope, supplier_day, "left")
+    total = (F.coalesce("_named", F.lit(0)) + F.coalesce("_open", F.lit(0))).cast("bigint")
+    hits = counted.select("_supplier", "_category", "day", total.alias("_total")).where("_total > 0")
+    matched = lookup(
+        lines,
+        hits,
+        {
+            "_supplier": F.col("supplier_id"),
+            "_category": F.col("category_id"),
+            "day": F.col("spend_date"),
+        },
+        null_safe=True,
     )
-    total = F.coalesce("_named", F.lit(0)) + F.coalesce("_open", F.lit(0))
-    return counted.select(*lines.columns, total.cast("bigint").alias("candidate_contracts")).withColumn(
-        "has_active_contract", F.col("candidate_contracts") > 0
+    candidates = F.coalesce("_total", F.lit(0).cast("bigint"))
+    return matched.select(
+        *lines.columns,
+        candidates.alias("candidate_contracts"),
+        (candidates > 0).alias("has_active_contract"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import MONEY
+from outlay.functions.relations import lookup
 
 
 def dim_supplier(suppliers: DataFrame) -> DataFrame:
@@ -81,7 +82,16 @@ def order_amounts(purchase_orders: DataFrame) -> DataFrame:
     )
 
 
-def fact_spend(invoices: DataFrame, purchase_orders: DataFrame, categories: DataFrame) -> DataFrame:
+def category_levels(categories: DataFrame) -> DataFrame:
+    """One row per category with its three levels, the first as spend_type."""
+    return categories.groupBy("category_id").agg(
+        F.first("category_l1").alias("spend_type"),
+        F.first("category_l2").alias("category_l2"),
+        F.first("category_l3").alias("category_l3"),
+    )
+
+
+def fact_spend(invoices: DataFrame, purchase_orders: DataFrame, levels: DataFrame) -> DataFrame:
     """Invoice lines with the ordered amount, the category levels and the derived amounts.
 
     Invoices without a purchase order would all meet in one join partition under their null
@@ -89,18 +99,12 @@ def fact_spend(invoices: DataFrame, purchase_orders: DataFrame, categories: Data
     sides are unique on their key, so products that read none of their columns skip the join.
     """
     spread = F.coalesce(F.col("po_id"), F.concat(F.lit("\u0000"), F.col("invoice_id")))
-    ordered = order_amounts(purchase_orders).withColumnsRenamed({"po_id": "_po", "po_line": "_line"})
-    levels = categories.groupBy(F.col("category_id").alias("_category")).agg(
-        F.first("category_l1").alias("spend_type"),
-        F.first("category_l2").alias("category_l2"),
-        F.first("category_l3").alias("category_l3"),
-    )
-    joined = (
-        invoices.join(
-            ordered, (spread == F.col("_po")) & (F.col("invoice_line") == F.col("_line")), "left"
-        )
-        .join(levels, F.col("category_id") == F.col("_category"), "left")
+    with_order = lookup(
+        invoices,
+        order_amounts(purchase_orders),
+        {"po_id": spread, "po_line": F.col("invoice_line")},
     )
+    joined = lookup(with_order, levels, {"category_id": F.col("category_id")})
     qty, paid = F.col("qty"), F.col("actual_unit_price")
     return joined.select(
         "invoice_id",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay.functions.numeric import as_double, ratio
 from outlay.functions.ordering import percent_rank, quantile_at, value_positions
+from outlay.functions.relations import lookup
 from outlay.sources.storage import written
 
 # Defaults for unknown history, caps and weights of the score.
@@ -53,17 +54,16 @@ def supplier_risk_components(performance: DataFrame) -> DataFrame:
 def supplier_risk(performance: DataFrame) -> DataFrame:
     """Components, the average-rank percentile of their weighted sum, and a tier by quantiles.
 
-    The per-supplier frame is written once: ranking reads it several times and must not go
-    back to the fact.
+    The per-supplier sums are written once: shares and ranks read them several times and must
+    not go back to the fact.
     """
     raw = (
         OPERATIONAL_WEIGHT * F.col("risk_operational")
         + COMMERCIAL_WEIGHT * F.col("risk_commercial")
         + CONCENTRATION_WEIGHT * F.col("risk_concentration")
     )
-    scored = written(
-        supplier_risk_components(performance).withColumn("_raw", _clip(raw)), "supplier-risk"
-    )
+    sums = written(performance, "supplier-sums")
+    scored = supplier_risk_components(sums).withColumn("_raw", _clip(raw))
     ranked = value_positions(scored, "_raw").withColumn("supplier_risk_score", percent_rank())
     cuts = ranked.agg(
         F.struct(
@@ -73,7 +73,7 @@ def supplier_risk(performance: DataFrame) -> DataFrame:
     ).scalar()
     score = F.col("supplier_risk_score")
     return (
-        scored.join(ranked.select("_raw", "supplier_risk_score"), "_raw", "left")
+        lookup(scored, ranked.select("_raw", "supplier_risk_score"), {"_raw": F.col("_raw")})
         .withColumn("_cuts", cuts)
         .withColumn(
             "risk_tier",

@@ -13,7 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import MONEY, RATE
-from outlay.functions.relations import LazyFrames, broadcast_if_small, spread, unique_by
+from outlay.functions.relations import (
+    LazyFrames,
+    broadcast_if_small,
+    lookup,
+    spread,
+    unique_by,
+)
 from outlay.operators.costing import derive_cost_measures, should_cost_buildup
 from outlay.sources.schemas import EXTRACTS, ORDER_BOOK
 
@@ -50,18 +56,14 @@ class OrderBook:
     @cached_property
     def _parts(self) -> DataFrame:
         part = self.table("part").select(
-            F.col("p_partkey").alias("l_partkey"),
-            F.concat_ws("/", "p_type", "p_brand").alias("category_id"),
-            "p_size",
+            "p_partkey", F.concat_ws("/", "p_type", "p_brand").alias("category_id"), "p_size"
         )
-        return unique_by(part, "l_partkey")
+        return unique_by(part, "p_partkey")
 
     @cached_property
     def _orders(self) -> DataFrame:
-        orders = self.table("orders").select(
-            F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus"
-        )
-        return unique_by(orders, "l_orderkey")
+        orders = self.table("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+        return unique_by(orders, "o_orderkey")
 
     @cached_property
     def _taxonomy(self) -> DataFrame:
@@ -103,11 +105,9 @@ class OrderBook:
             F.col("l_shipdate").cast("date").alias("day"),
         )
         paid = F.round(F.col("unit") * (F.lit(1).cast(PERCENT) + F.col("tax") - F.col("disc")), 4)
-        return (
-            lines.withColumn("act", paid.cast(RATE))
-            .join(self._parts, "l_partkey", "left")
-            .join(self._orders, "l_orderkey", "left")
-        )
+        priced = lines.withColumn("act", paid.cast(RATE))
+        with_part = lookup(priced, self._parts, {"p_partkey": F.col("l_partkey")})
+        return lookup(with_part, self._orders, {"o_orderkey": F.col("l_orderkey")})
 
     @staticmethod
     def _document(prefix: str) -> Column:
@@ -371,20 +371,19 @@ class OrderBook:
 
     @cached_property
     def star_supplier(self) -> DataFrame:
+        """Supplier dimension; measured once and broadcast only while it is small."""
         place = (
             self.table("nation")
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
             .select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("region"))
         )
-        return (
-            self.table("supplier")
-            .join(unique_by(place, "s_nationkey"), "s_nationkey", "left")
-            .select(
+        named = self.table("supplier").join(unique_by(place, "s_nationkey"), "s_nationkey", "left")
+        tier = _by_remainder("s_suppkey", 5, (2, "Low"), (4, "Medium"), last="High")
+        return broadcast_if_small(
+            named.select(
                 F.col("s_suppkey").alias("supplier_id"),
                 F.col("s_name").alias("name"),
-                _by_remainder("s_suppkey", 5, (2, "Low"), (4, "Medium"), last="High").alias(
-                    "risk_tier"
-                ),
+                tier.alias("risk_tier"),
                 "region",
             )
         )

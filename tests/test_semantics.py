@@ -308,7 +308,7 @@ def invoice_frames(spark):
         [("C1", "Direct", "Metals", "Steel")],
         "category_id string, category_l1 string, category_l2 string, category_l3 string",
     )
-    return invoices, orders, categories
+    return invoices, orders, model.category_levels(categories)
 
 
 def test_repeated_order_lines_do_not_multiply_invoices(spark):

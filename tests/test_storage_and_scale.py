@@ -15,7 +15,7 @@ from outlay.functions.ordering import (
     quantile_at,
     value_positions,
 )
-from outlay.functions.relations import broadcast_if_small
+from outlay.functions.relations import broadcast_if_small, lookup, unique_by
 from outlay.operators import anomaly
 from outlay.operators.routing import question_log
 from outlay.plans.medallion import Medallion
@@ -195,6 +195,34 @@ def test_hot_keys_keep_results_whole(spark, small):
     assert m.supplier_risk().count() == len(counted)
 
 
+def test_hot_keys_of_a_lookup_are_split(spark, tmp_path):
+    """With broadcasts off, adaptive execution cuts the partition of a hot key."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000)
+    left = spark.range(0, 200_000, 1, 8).select(
+        hot.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")
+    )
+    spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("a")).write.parquet(
+        str(tmp_path / "side")
+    )
+    side = unique_by(spark.read.parquet(str(tmp_path / "side")), "id")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        total = lookup(left, side, {"id": F.col("k")}).agg(F.count("a"), F.max("v"))
+        assert total.collect()[0][0] == 200_000
+        assert "skew=true" in total._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_unread_joins_are_dropped(spark, small):
     fact = entry._medallion(spark, small).fact
     plan = fact.groupBy("supplier_id").agg(F.sum("invoice_amount"))
