@@ -58,9 +58,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def unique_by(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key. Catalyst then knows the side is unique on the key and drops a left
-    join to it when none of its other columns is read."""
+    join to it when none of its other columns is read.
+
+    Where a key is repeated with differing values the least of each column is taken, which does
+    not depend on the order of rows or on a task that is run again.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest])
+    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest])
 
 
 def lookup(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import MONEY
-from outlay.functions.relations import lookup
+from outlay.functions.relations import lookup, unique_by
 
 
 def dim_supplier(suppliers: DataFrame) -> DataFrame:
@@ -84,11 +84,10 @@ def order_amounts(purchase_orders: DataFrame) -> DataFrame:
 
 def category_levels(categories: DataFrame) -> DataFrame:
     """One row per category with its three levels, the first as spend_type."""
-    return categories.groupBy("category_id").agg(
-        F.first("category_l1").alias("spend_type"),
-        F.first("category_l2").alias("category_l2"),
-        F.first("category_l3").alias("category_l3"),
+    levels = categories.select(
+        "category_id", F.col("category_l1").alias("spend_type"), "category_l2", "category_l3"
     )
+    return unique_by(levels, "category_id")
 
 
 def fact_spend(invoices: DataFrame, purchase_orders: DataFrame, levels: DataFrame) -> DataFrame:

@@ -52,7 +52,11 @@ def refresh_warehouse(
     modelled.dim_supplier = gold["dim_supplier"]
     modelled.performance = gold["mart_supplier_performance"]
 
-    analytics = _store(spark, "analytics", modelled.analytics())
+    spark.sql("create database if not exists analytics")
+    modelled.pvm = replace_table(modelled.pvm, "analytics.pvm_category_monthly")
+    products = modelled.analytics()
+    stored = {"pvm_category_monthly": products.pop("pvm_category_monthly")}
+    analytics = {**stored, **_store(spark, "analytics", products)}
     scores = _store(
         spark,
         "ml",
