@@ -263,6 +263,11 @@ def _cost_measures(b: OrderBook) -> DataFrame:
     )
 
 
+def _supplier_sums(m: Medallion) -> DataFrame:
+    """Supplier sums written once: the share of all spend reads them twice."""
+    return storage.written(m.performance, "supplier-sums")
+
+
 def _silver_quality(m: Medallion) -> DataFrame:
     return m.silver_quality.drop("checked_at")
 
@@ -351,7 +356,7 @@ def queries() -> dict[str, Query]:
         "pvm_bridge_page": _s(lambda s: reads.pvm_bridge(reads.read_pvm_latest(s.pvm))),
         "category_listing": _m(lambda m: reads.category_listing(m.category_spend)),
         "hierarchy_rollup_dk": _m(lambda m: reads.hierarchy_rollup_dk(m.category_spend)),
-        "hierarchy_rollup_pg": _s(lambda s: reads.hierarchy_rollup_pg(s.cube)),
+        "hierarchy_rollup_pg": _s(lambda s: reads.hierarchy_rollup_pg(s.supplier_category)),
         "opportunity_ranked": _m(lambda m: reads.opportunity_ranked(m.opportunity)),
         "tco_ranked": _m(lambda m: reads.tco_ranked(m.tco)),
         "leakage_top25": _m(lambda m: reads.leakage_top25(m.leakage)),
@@ -377,8 +382,8 @@ def queries() -> dict[str, Query]:
         "q_pg_maverick": _s(lambda s: questions.view_maverick(s.fact, s.suppliers, s.categories)),
         "q_pg_tco": _s(lambda s: questions.view_tco(s.tco)),
         "q_pg_pvm": _s(lambda s: questions.view_pvm(s.pvm)),
-        "q_pg_top_suppliers": _s(lambda s: questions.view_top_suppliers(s.cube)),
-        "q_pg_category": _s(lambda s: questions.view_category(s.cube)),
+        "q_pg_top_suppliers": _s(lambda s: questions.view_top_suppliers(s.supplier_category)),
+        "q_pg_category": _s(lambda s: questions.view_category(s.supplier_category)),
         "q_pg_executive_trend": _s(lambda s: questions.view_executive_trend(s.monthly)),
         # logs
         "route_questions_dk": _on(_log, routing.route_questions_dk),
@@ -397,8 +402,10 @@ def queries() -> dict[str, Query]:
         "anomaly_features": _m(lambda m: _rounded(anomaly.anomaly_features(m.fact))),
         "spend_anomalies": _m(lambda m: m.spend_anomalies()),
         "anomaly_export": _m(lambda m: anomaly.anomaly_export(m.spend_anomalies())),
-        "supplier_spend_share": _m(lambda m: risk.supplier_spend_share(m.performance)),
-        "supplier_risk_components": _m(lambda m: risk.supplier_risk_components(m.performance)),
+        "supplier_spend_share": _m(lambda m: risk.supplier_spend_share(_supplier_sums(m))),
+        "supplier_risk_components": _m(
+            lambda m: risk.supplier_risk_components(_supplier_sums(m))
+        ),
         "supplier_risk": _m(lambda m: m.supplier_risk()),
         # contract matching and costing
         "match_active_contract": _s(

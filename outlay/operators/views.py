@@ -76,6 +76,23 @@ def v_spend_cube(fact: DataFrame, suppliers: DataFrame, categories: DataFrame) -
     )
 
 
+def supplier_category_spend(
+    fact: DataFrame, suppliers: DataFrame, categories: DataFrame
+) -> DataFrame:
+    """The cube's spend without month and cost centre, for questions that ask for neither.
+
+    Amounts have two places, so rounding cube rows first would change nothing.
+    """
+    sums = _billed(fact).groupBy("supplier_id", "category_id").agg(
+        F.sum("invoice_amount").alias("spend")
+    )
+    return (
+        sums.join(_supplier_names(suppliers, "risk_tier", "region"), "supplier_id")
+        .join(_category_names(categories, "parent_category", "direct_or_indirect"), "category_id")
+        .drop("supplier_id", "category_id")
+    )
+
+
 def _mean_rate(column: str) -> Column:
     mean = as_double(F.sum(column)) / F.nullif(F.count(column).cast("double"), F.lit(0.0))
     return half_up(mean, 4).alias(f"avg_{column}")

@@ -38,6 +38,10 @@ class Star:
     def cube(self) -> DataFrame:
         return views.v_spend_cube(self.fact, self.suppliers, self.categories)
 
+    @cached_property
+    def supplier_category(self) -> DataFrame:
+        return views.supplier_category_spend(self.fact, self.suppliers, self.categories)
+
     @cached_property
     def variance(self) -> DataFrame:
         return views.v_price_variance(self.fact, self.suppliers, self.categories)
