@@ -104,7 +104,7 @@ def metric_query(
     totals: list[Column] = [F.sum(a).alias(a) for a in alias.values()]
     if rollup:
         missing = sum((F.grouping(c).cast("int") for c in by), F.lit(0))
-        grouped = sums.rollup(*by).agg((F.lit(len(by)) - missing).alias("level"), *totals)
+        grouped = sums.rollup(*by).agg((F.lit(len(by)) - missing).cast("bigint").alias("level"), *totals)
         heads = [*by, "level"]
     else:
         grouped = sums.groupBy(*by).agg(*totals)

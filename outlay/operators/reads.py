@@ -214,7 +214,7 @@ def hierarchy_rollup(
         rows.withColumn("_weighted", weight)
         .rollup(*levels)
         .agg(
-            (F.lit(len(levels)) - missing).alias("level"),
+            (F.lit(len(levels)) - missing).cast("bigint").alias("level"),
             F.sum(size).alias("node_size"),
             half_up(ratio(F.sum("_weighted"), F.sum(size)), 2).alias("node_colour"),
         )
