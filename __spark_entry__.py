@@ -14,7 +14,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
@@ -107,12 +107,13 @@ _MEASURED = {
 }
 
 
-def _digest(name: str, df: DataFrame, measure: str | None) -> DataFrame:
+def _digest(name: str, df: DataFrame, measure: str | None, *extra: Column) -> DataFrame:
     total = F.sum(F.col(measure).cast("decimal(38,4)")) if measure else F.lit(None)
     return df.agg(
         F.lit(name).alias("name"),
         F.count("*").alias("row_count"),
         total.cast("double").alias("measure_total"),
+        *extra,
     )
 
 
@@ -129,17 +130,12 @@ def _extracts_folder(spark: SparkSession, sf_dir: str, leave_out: tuple[str, ...
 
 def src_bronze_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = extracts.land_extracts(spark, _extracts_folder(spark, sf_dir), LOADED_AT)
-    counted = _digests(landed, _MEASURED)
-    files = reduce(
-        DataFrame.unionByName,
-        [
-            df.groupBy(F.lit(n).alias("name"), "_source_file").agg(
-                F.countDistinct("_loaded_at_utc").alias("load_times")
-            )
-            for n, df in landed.items()
-        ],
+    metadata = (
+        F.max("_source_file").alias("source_file"),
+        F.countDistinct("_loaded_at_utc").alias("load_times"),
     )
-    return counted.join(files.withColumnRenamed("_source_file", "source_file"), "name")
+    digests = [_digest(n, landed[n], measure, *metadata) for n, measure in _MEASURED.items()]
+    return reduce(DataFrame.unionByName, digests)
 
 
 def src_missing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
