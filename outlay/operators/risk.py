@@ -54,8 +54,8 @@ def supplier_risk_components(performance: DataFrame) -> DataFrame:
 def supplier_risk(performance: DataFrame) -> DataFrame:
     """Components, the average-rank percentile of their weighted sum, and a tier by quantiles.
 
-    The per-supplier sums are written once: shares and ranks read them several times and must
-    not go back to the fact.
+    The per-supplier sums and scores are written once each: shares read the sums twice and ranks
+    read the scores several times, and neither must go back to the fact.
     """
     raw = (
         OPERATIONAL_WEIGHT * F.col("risk_operational")
@@ -63,7 +63,9 @@ def supplier_risk(performance: DataFrame) -> DataFrame:
         + CONCENTRATION_WEIGHT * F.col("risk_concentration")
     )
     sums = written(performance, "supplier-sums")
-    scored = supplier_risk_components(sums).withColumn("_raw", _clip(raw))
+    scored = written(
+        supplier_risk_components(sums).withColumn("_raw", _clip(raw)), "supplier-scores"
+    )
     ranked = value_positions(scored, "_raw").withColumn("supplier_risk_score", percent_rank())
     cuts = ranked.agg(
         F.struct(
