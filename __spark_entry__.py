@@ -37,6 +37,15 @@ from outlay.plans.star import Star  # noqa: E402
 from outlay.sources import extracts, star, storage  # noqa: E402
 from outlay.sources.orderbook import OrderBook  # noqa: E402
 
+try:
+    import corpus_pipeline  # noqa: E402
+    from outlay.llm import queries as llm_queries  # noqa: E402
+    from outlay.llm import sql as llm_sql  # noqa: E402
+except ModuleNotFoundError as absent:
+    if absent.name not in ("corpus_pipeline", "outlay.llm"):
+        raise
+    llm_queries = llm_sql = corpus_pipeline = None
+
 CONTRACT_DAY = dt.date(1998, 6, 1)
 QUALITY_DAY = dt.date(2001, 9, 1)
 LOADED_AT = "2024-01-01T00:00:00+00:00"
@@ -416,9 +425,16 @@ def queries() -> dict[str, Query]:
             )
         ),
         **_registry_queries(),
+        **_llm_queries(),
     }
 
 
+def _llm_queries() -> dict[str, Query]:
+    if llm_queries is None:
+        return {}
+    return {**llm_queries.queries(), "pipeline": corpus_pipeline.run}
+
+
 def _rounded(features: DataFrame) -> DataFrame:
     """Standardised values at six decimals; means and deviations depend on summation order."""
     return features.select(
@@ -430,7 +446,12 @@ def _rounded(features: DataFrame) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL for DuckDB."""
-    return oracles.all_sql()
+    found = oracles.all_sql()
+    if llm_sql is not None:
+        found |= llm_sql.all_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
