@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hash_bits(keys: DataFrame, key: str, max_bits: int = 1 << 27, per_key: int = 32) -> bytes:
+def hash_bits(keys: DataFrame, key: str, max_bits: int = 1 << 27, per_key: int = 512) -> bytes:
     """A bit set of 64-bit keys for a broadcast: bit (key >> 64 - log2 bits) of each key.
 
     Sized by the number of keys, at most `max_bits`, so that at most max_bits / 8 bytes reach the

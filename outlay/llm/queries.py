@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontamination, quality
+from outlay.llm import decontamination, mixing, pii, quality, rules
 from outlay.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs)
+    counts = [F.size(f"spans_{k.name}").cast("long").alias(f"n_{k.name}") for k in pii.BASE_KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.joined_spans(pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.joined_spans((*pii.BASE_KINDS, *pii.MORE_KINDS)).alias("spans"),
+    )
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.scored(docs, table(spark, sf_dir, "labels")).select(
@@ -20,6 +32,16 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.judged(docs).drop("text", "rejected_by")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = decontamination.contained_items(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -31,6 +53,9 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": op1_pii,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_source_mixing": op4_source_mixing,
+        "op5_quality_rules": op5_quality_rules,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
     }

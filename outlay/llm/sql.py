@@ -32,5 +32,93 @@ from pairs where n_shared >= 0.8 * n_item - 1e-9 group by doc_id, item_id
 """
 
 
+OP4 = """
+with d as (
+  select doc_id, source, md5('mix' || coalesce(cast(doc_id as varchar), '')) as draw,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda a: a <> ''))
+      as size
+  from documents
+), s as (
+  select source, sum(size)::bigint as words,
+    case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end
+      as w
+  from d group by source
+), r as (
+  select *, 2 * words as cap, 2 * words / w::double as ratio, sum(words) over () as total from s
+), k as (
+  select *, sum(cap) over (order by ratio, source nulls last) as caps,
+    sum(w) over () - sum(w) over (order by ratio, source nulls last) as open_w,
+    lead(ratio) over (order by ratio, source nulls last) as next_ratio
+  from r
+), unit as (
+  -- twice the words left for the sources that stay open, and their weights
+  select 3 * total as twice, sum(w) as open_w, min(ratio) as next_ratio from r group by total
+  union all
+  select 3 * total - 2 * caps, open_w, next_ratio from k where open_w > 0
+), best as (
+  select twice, open_w from unit where twice <= next_ratio * 2 * open_w order by twice desc limit 1
+), t as (
+  select source, words, case when (select count(*) from best) = 0
+      or cap * 2 * (select open_w from best) < (select twice from best) * w then cap::double
+    else ((select twice from best) * w) / (2 * (select open_w from best))::double end as target
+  from r
+), p as (
+  select *, case when words = 0 then 0 else floor(target)::bigint // words end as full_passes,
+    case when words = 0 then 0 else floor(target)::bigint % words end as rest from t
+), placed as (
+  select d.doc_id, d.size, p.words as source_size, p.target, p.full_passes, p.rest,
+    coalesce(sum(d.size) over (partition by d.source order by d.draw, d.doc_id, d.size
+      rows between unbounded preceding and 1 preceding), 0) as before
+  from d join p on d.source is not distinct from p.source
+)
+select doc_id, size::bigint as size, source_size, target,
+  (size * (full_passes + case when 2 * before + size <= 2 * rest then 1 else 0 end))::bigint as taken
+from placed
+"""
+
+OP5 = """
+with t as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as x from documents
+), w as (
+  select k, unnest(ws) as w, generate_subscripts(ws, 1) as p
+  from (select k, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda a: a <> '') as ws
+        from t)
+), three as (
+  select k, p, w,
+    lead(w, 1) over (partition by k order by p) as w2, lead(w, 2) over (partition by k order by p) as w3
+  from w
+), found as (
+  select k, p, w3 is not null and count(*) over (partition by k, w, w2, w3) > 1 as again from three
+), covered as (
+  select k, count(*) as n_words, count(*) filter (where again or again1 or again2) as n_repeat_words
+  from (select k, again, lag(again, 1, false) over (partition by k order by p) as again1,
+          lag(again, 2, false) over (partition by k order by p) as again2 from found)
+  group by k
+), lines as (
+  select k, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(string_split(x, chr(10))) as n_lines
+  from (select k, x,
+          list_filter(string_split(x, chr(10)), lambda a: regexp_matches(a, '[^\x20\x09-\x0D]')) as ls
+        from t)
+), s as (
+  select t.k, doc_id, x, coalesce(n_words, 0) as n_words,
+    length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+    length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    n_dup_lines, n_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from t left join covered using (k) join lines using (k)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words
+    or word_chars < 2 * n_words or word_chars > 20 * n_words
+    or n_symbols * 5 > n_words * 2 or n_dup_lines * 2 > n_lines
+    or length(regexp_replace(x, '\p{L}+', '', 'g')) * 2 > length(x)) as kept
+from s
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": OP9}
+    return {
+        "op4_source_mixing": OP4,
+        "op5_quality_rules": OP5,
+        "op9_benchmark_decontamination": OP9,
+    }
