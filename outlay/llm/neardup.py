@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlay.llm.frames import has_bit, hash_bits, kept
+from outlay.llm.frames import has_bit, hash_bits, kept, text_key
 from outlay.llm.words import WordHasher, chunks, mixed, shingles
 
 WIDTH = 5
@@ -76,14 +76,22 @@ def _signatures(hashed: np.ndarray, bounds: np.ndarray, trees: int, depth: int)
     return keys
 
 
+def row_key() -> Column:
+    """128 bits of a row's id and text; a null and an empty text have one key."""
+    return text_key(
+        F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))
+    )
+
+
 def signed(docs: DataFrame, trees: int, depth: int, width: int = WIDTH) -> DataFrame:
-    """(doc_id, set_id, labels) of every row; both are null for a text without words."""
+    """(doc_id, row_key, set_id, labels) of every row; the last two are null for a text without
+    words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches):
         hasher = WordHasher()
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(2)):
                 n = chunk.hi - chunk.lo
                 hashed, owner, _, _ = shingles(hasher.words(chunk), width)
                 hashed, bounds = _sets(owner, hashed, n)
@@ -95,14 +103,15 @@ def signed(docs: DataFrame, trees: int, depth: int, width: int = WIDTH) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(chunk.lo, n),
+                        batch.column(1).slice(chunk.lo, n),
                         pa.array(_set_ids(hashed, bounds), type=pa.binary()),
                         labels,
                     ],
-                    names=["doc_id", "set_id", "labels"],
+                    names=["doc_id", "row_key", "set_id", "labels"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        rows, f"doc_id {kind}, set_id binary, labels array<long>"
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(
+        rows, f"doc_id {kind}, row_key binary, set_id binary, labels array<long>"
     )
 
 
@@ -117,7 +126,7 @@ def _members(docs: DataFrame, bits, width: int) -> DataFrame:
                 hashed, owner, _, _ = shingles(hasher.words(chunk), width)
                 hashed, bounds = _sets(owner, hashed, chunk.hi - chunk.lo)
                 ids = _set_ids(hashed, bounds)
-                heads = np.array([int.from_bytes(i[:8], "little") if i else 0 for i in ids], np.uint64)
+                heads = np.array([int.from_bytes(i[:8], "big") if i else 0 for i in ids], np.uint64)
                 pick = [i for i in np.flatnonzero(has_bit(wanted, heads)).tolist() if ids[i]]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -246,7 +255,7 @@ def classes(
     recall: float = RECALL,
     width: int = WIDTH,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, set_id.
+    """One row per row of docs: doc_id, class_id, n_links, row_key, first_of_class.
 
     n_links counts the other rows whose shingle sets have a Jaccard similarity of at least the
     threshold with this row's; class_id is the least doc_id of the rows connected by such links,
@@ -261,7 +270,7 @@ def classes(
         rows.where("set_id is not null")
         .groupBy("set_id")
         .agg(
-            F.min("doc_id").alias("least"),
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"),
             F.count("*").alias("copies"),
             F.any_value("labels").alias("labels"),
         ),
@@ -287,7 +296,7 @@ def classes(
         "blocks",
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
     )
-    head = F.expr("cast(conv(hex(reverse(substring(set_id, 1, 8))), 16, -10) as long)")
+    head = F.expr("cast(conv(hex(substring(set_id, 1, 8)), 16, -10) as long)")
     placed = kept(placed.join(sets.select("set_id", "copies"), "set_id"), "placed")
     bits = spark.sparkContext.broadcast(
         hash_bits(placed.select(head.alias("head")), "head", per_key=32)
@@ -321,19 +330,24 @@ def classes(
         .join(links, "set_id", "left")
         .withColumn("links", F.coalesce("links", F.lit(0)))
     )
-    least = classed.groupBy("root").agg(F.min("least").alias("class_id"))
-    classed = classed.join(least, "root").select("set_id", "class_id", "copies", "links")
-    return rows.select("doc_id", "set_id").join(classed, "set_id", "left").select(
+    least = classed.groupBy("root").agg(F.min("least").alias("first"))
+    classed = classed.join(least, "root").select("set_id", "first", "copies", "links")
+    alone = F.col("set_id").isNull()
+    return rows.drop("labels").join(classed, "set_id", "left").select(
         "doc_id",
-        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        "set_id",
+        "row_key",
+        (alone | (F.col("row_key") == F.col("first.row_key"))).alias("first_of_class"),
     )
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: that with the class's least doc_id, and of rows equal in
-    it the first by text. Texts without words stay, each with its own id once."""
+    """docs with one row of each class: that of the least doc_id (a null id only if there is no
+    other), of rows that share it one by a hash of the text. Texts without words stay, once for each id.
+    Of rows equal in id and text one stays.
+    """
     found = classes(docs, **options)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(best, "doc_id", "left_semi")
+    first = found.where("first_of_class").select(F.col("row_key").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", row_key())
+    return keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
