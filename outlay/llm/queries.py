@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import chat, decontamination, mixing, neardup, pii, quality, rules
+from outlay.llm import chat, decontamination, mixing, neardup, ngrams, pii, quality, rules
 from outlay.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(docs).drop("text", "rejected_by")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = decontamination.contained_items(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_source_mixing": op4_source_mixing,
         "op5_quality_rules": op5_quality_rules,
+        "op7_lm_scoring": op7_lm_scoring,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
