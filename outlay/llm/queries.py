@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import chat, decontamination, mixing, neardup, ngrams, pii, quality, rules
+from outlay.llm import chat, decontamination, html, mixing, neardup, ngrams, pii, quality, rules
 from outlay.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extracted(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = decontamination.contained_items(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op4_source_mixing": op4_source_mixing,
         "op5_quality_rules": op5_quality_rules,
         "op7_lm_scoring": op7_lm_scoring,
+        "op8_html_extraction": op8_html_extraction,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
