@@ -31,8 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hash_bits(keys: DataFrame, key: str, max_bits: int = 1 << 27, per_key: int = 512) -> bytes:
-    """A bit set of 64-bit keys for a broadcast: bit (key >> 64 - log2 bits) of each key.
+def hash_bits(keys: DataFrame, key: str, max_bits: int = 1 << 27, per_key: int = 256) -> bytes:
+    """A bit set of 64-bit keys for a broadcast: two bits for each key, from its upper and its
+    lower end.
 
     Sized by the number of keys, at most `max_bits`, so that at most max_bits / 8 bytes reach the
     driver. Beyond the bound it lets more foreign keys pass; users must check what passes.
@@ -41,8 +42,11 @@ def hash_bits(keys: DataFrame, key: str, max_bits: int = 1 << 27, per_key: int =
 
     n = keys.count()
     log = max(6, min(max_bits.bit_length() - 1, (max(n, 1) * per_key - 1).bit_length()))
+    ends = F.array(
+        F.shiftrightunsigned(F.col(key), 64 - log), F.col(key).bitwiseAND(F.lit((1 << log) - 1))
+    )
     words = (
-        keys.select(F.shiftrightunsigned(F.col(key), 64 - log).alias("bit"))
+        keys.select(F.explode(ends).alias("bit"))
         .groupBy(F.shiftright("bit", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     )
@@ -57,5 +61,9 @@ def has_bit(bits, hashed):
     import numpy as np
 
     log = int(np.log2(len(bits) * 64))
-    bit = hashed >> np.uint64(64 - log)
-    return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+    def one(bit):
+        return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
+
+    upper, lower = hashed >> np.uint64(64 - log), hashed & np.uint64((1 << log) - 1)
+    return (one(upper) & one(lower)) == 1

@@ -24,7 +24,7 @@ THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
 RECALL = 0.99999
-BLOCK = 1000
+BLOCK = 100
 
 
 def meeting_probability(similarity: float, trees: int, depth: int) -> float:
@@ -278,8 +278,10 @@ def classes(
     )
     met = sets.select("set_id", F.posexplode("labels").alias("tree", "prefix"))
     buckets = met.groupBy("tree", "prefix").agg(F.min("set_id").alias("b"), F.count("*").alias("n"))
+    # sides of joins are stored where a hot key must be split: that needs an exchange of their own
+    buckets = kept(buckets.where("n > 1").drop("n"), "buckets")
     edges = kept(
-        met.join(buckets.where("n > 1"), ["tree", "prefix"])
+        met.join(buckets, ["tree", "prefix"])
         .where("set_id <> b")
         .select(F.col("set_id").alias("a"), "b")
         .distinct(),
@@ -288,9 +290,10 @@ def classes(
     nodes = kept(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     clusters = components(edges, nodes, "clusters")
     # blocks by hash, so that a cluster of any size is dealt out evenly without ranking it
-    placed = clusters.join(
-        clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "root"
-    ).select(
+    sizes = kept(
+        clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes"
+    )
+    placed = clusters.join(sizes, "root").select(
         F.col("node").alias("set_id"),
         "root",
         "blocks",
@@ -299,7 +302,7 @@ def classes(
     head = F.expr("cast(conv(hex(substring(set_id, 1, 8)), 16, -10) as long)")
     placed = kept(placed.join(sets.select("set_id", "copies"), "set_id"), "placed")
     bits = spark.sparkContext.broadcast(
-        hash_bits(placed.select(head.alias("head")), "head", per_key=32)
+        hash_bits(placed.select(head.alias("head")), "head")
     )
     members = _members(docs, bits, width).groupBy("set_id").agg(F.any_value("shingles").alias("shingles"))
     pairs = (
@@ -324,13 +327,14 @@ def classes(
         forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(),
         "classes",
     )
-    classed = (
+    classed = kept(
         sets.join(joined, sets["set_id"] == joined["node"], "left")
         .select("set_id", "least", "copies", F.coalesce("root", "set_id").alias("root"))
         .join(links, "set_id", "left")
-        .withColumn("links", F.coalesce("links", F.lit(0)))
+        .withColumn("links", F.coalesce("links", F.lit(0))),
+        "classed",
     )
-    least = classed.groupBy("root").agg(F.min("least").alias("first"))
+    least = kept(classed.groupBy("root").agg(F.min("least").alias("first")), "least")
     classed = classed.join(least, "root").select("set_id", "first", "copies", "links")
     alone = F.col("set_id").isNull()
     return rows.drop("labels").join(classed, "set_id", "left").select(

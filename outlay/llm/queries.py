@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import chat, decontamination, html, mixing, neardup, ngrams, pii, quality, rules
+from outlay.llm import chat, decontamination, html, mixing, neardup, ngrams, pii, quality, rules, suffixes
 from outlay.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(docs).drop("text", "rejected_by")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
+    return suffixes.without_repeats(docs).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -79,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_source_mixing": op4_source_mixing,
         "op5_quality_rules": op5_quality_rules,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_html_extraction": op8_html_extraction,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
