@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlay.llm.frames import has_bit, hash_bits, kept, text_key
+from outlay.llm.frames import has_bit, hash_bits, kept, row_key
 from outlay.llm.words import WordHasher, chunks, mixed, shingles
 
 WIDTH = 5
@@ -76,13 +76,6 @@ def _signatures(hashed: np.ndarray, bounds: np.ndarray, trees: int, depth: int)
     return keys
 
 
-def row_key() -> Column:
-    """128 bits of a row's id and text; a null and an empty text have one key."""
-    return text_key(
-        F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))
-    )
-
-
 def signed(docs: DataFrame, trees: int, depth: int, width: int = WIDTH) -> DataFrame:
     """(doc_id, row_key, set_id, labels) of every row; the last two are null for a text without
     words."""
