@@ -350,15 +350,11 @@ def queries() -> dict[str, Query]:
         "leak_top_suppliers": _s(
             lambda s: reads.leak_top_suppliers(s.variance.where("variance_flag"))
         ),
-        "leak_top_suppliers_page": _s(
-            lambda s: reads.leak_top_suppliers(reads.read_price_variance(s.variance))
-        ),
         "pvm_bridge": _m(
             lambda m: reads.pvm_bridge(
                 m.pvm_summary, ("Price effect", "Volume effect", "Mix effect")
             )
         ),
-        "pvm_bridge_page": _s(lambda s: reads.pvm_bridge(reads.read_pvm_latest(s.pvm))),
         "category_listing": _m(lambda m: reads.category_listing(m.category_spend)),
         "hierarchy_rollup_dk": _m(lambda m: reads.hierarchy_rollup_dk(m.category_spend)),
         "hierarchy_rollup_pg": _s(lambda s: reads.hierarchy_rollup_pg(s.supplier_category)),

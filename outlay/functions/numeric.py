@@ -22,9 +22,10 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def half_up(col: Column, digits: int) -> Column:
-    """Round a double to `digits` places; ties go up. Same bits in any IEEE engine."""
+    """Round a double to `digits` places; ties go away from zero. Same bits in any IEEE engine."""
     unit = float(10**digits)
-    return F.floor(col * unit + 0.5).cast("double") / unit
+    size = F.floor(F.abs(col) * unit + 0.5).cast("double") / unit
+    return F.signum(col) * size + F.lit(0.0)
 
 
 def percent(num: Column, den: Column, digits: int) -> Column:
@@ -40,8 +41,3 @@ def sum_if(cond: Column, value: Column) -> Column:
 def count_if(cond: Column) -> Column:
     """Rows where cond holds; 0, not null, on empty input."""
     return F.count(F.when(cond, F.lit(1)))
-
-
-def exact(col: Column) -> Column:
-    """Fix a computed double at four decimals, so that later sums are exact and order-free."""
-    return half_up(col, 4).cast("decimal(38,4)")

@@ -28,43 +28,25 @@ class LazyFrames(Mapping[str, DataFrame]):
         return len(self._builders)
 
 
-# A side is broadcast only when measured under both bounds.
-MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024
-
-
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
-) -> DataFrame:
-    """Hint a broadcast after measuring the side; otherwise leave the join to AQE.
-
-    The measurement is one aggregation (a row count and the text bytes of all columns), so it
-    costs a scan of the side and returns one row, however large the side turns out to be.
-    """
-    width = F.octet_length(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]))
-    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    small = size["n"] <= max_rows and size["b"] <= max_bytes
-    return F.broadcast(df) if small else df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table stored in fewer splits than there are cores to all cores; a table with
-    enough splits is returned as it is and is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def unique_by(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key. Catalyst then knows the side is unique on the key and drops a left
     join to it when none of its other columns is read.
 
-    Where a key is repeated with differing values the least of each column is taken, which does
-    not depend on the order of rows or on a task that is run again.
+    Where a key is repeated with differing values the least whole row is taken, which does not
+    depend on the order of rows or on a task that is run again. `repeated_keys` counts such keys.
     """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest])
+    if not rest:
+        return df.select(*keys).distinct()
+    if len(rest) == 1:
+        return df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0]))
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+
+
+def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """One row: how many keys stand in more than one row."""
+    many = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    return many.agg(F.count("*").alias("repeated_keys"))
 
 
 def lookup(

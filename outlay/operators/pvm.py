@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlay.functions.numeric import as_double, exact, half_up, ratio
+from outlay.functions.numeric import ratio
 
 EFFECTS = ("price_effect", "volume_effect", "mix_effect")
 
@@ -35,16 +35,22 @@ def with_prior_month(monthly: DataFrame) -> DataFrame:
 
 
 def _effects() -> dict[str, Column]:
-    price_change = F.col("avg_price") - F.col("prev_price")
-    volume_change = as_double(F.col("volume") - F.col("prev_volume"))
-    price = price_change * as_double(F.col("volume"))
-    volume = F.col("prev_price") * volume_change
+    """Effects as decimals at six places: the month's quantities at last month's price are rounded
+    once, so price and volume effect add up to the change exactly and nothing is left for mix."""
+    at_prior_price = (
+        F.col("prev_spend").cast("decimal(19,2)") * F.col("volume").cast("decimal(18,2)")
+    ).cast("decimal(38,4)")
+    carried = (at_prior_price / F.nullif(F.col("prev_volume"), F.lit(0)).cast("decimal(18,2)")).cast(
+        "decimal(38,6)"
+    )
+    price = F.col("spend") - carried
+    volume = carried - F.col("prev_spend")
     change = F.col("spend") - F.col("prev_spend")
     return {
         "price_effect": price,
         "volume_effect": volume,
         "spend_change": change,
-        "mix_effect": as_double(change) - price - volume,
+        "mix_effect": change - price - volume,
     }
 
 
@@ -68,10 +74,7 @@ def pvm_category_monthly(fact: DataFrame) -> DataFrame:
         "prev_volume",
         "prev_spend",
         "prev_price",
-        exact(effects["price_effect"]).alias("price_effect"),
-        exact(effects["volume_effect"]).alias("volume_effect"),
-        effects["spend_change"].alias("spend_change"),
-        exact(effects["mix_effect"]).alias("mix_effect"),
+        *[effects[name].alias(name) for name in (*EFFECTS, "spend_change")],
     )
 
 
@@ -117,6 +120,6 @@ def v_pvm_monthly(fact: DataFrame, categories: DataFrame) -> DataFrame:
             "direct_or_indirect",
             F.round("spend", 2).alias("spend"),
             F.round(effects["spend_change"], 2).alias("spend_change"),
-            *[half_up(effects[name], 2).cast("decimal(38,2)").alias(name) for name in EFFECTS],
+            *[F.round(effects[name], 2).cast("decimal(38,2)").alias(name) for name in EFFECTS],
         )
     )

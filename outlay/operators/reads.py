@@ -10,7 +10,7 @@ from outlay.functions.relations import constants_stacked
 from outlay.operators.pvm import latest_month
 
 # Row limits of the reads.
-CUBE_LIMIT, CUBE_LIMIT_MAX = 200, 2000
+CUBE_LIMIT = 200
 VARIANCE_LIMIT, TCO_LIMIT, PVM_LIMIT = 100, 25, 20
 LEAKAGE_LIMIT, ANOMALY_LIMIT, TOP_LEAK_LIMIT = 25, 50, 15
 
@@ -57,8 +57,6 @@ def kpi_executive(monthly: DataFrame, fact: DataFrame, suppliers: DataFrame) ->
 def read_spend_cube(
     cube: DataFrame, direct_or_indirect: str | None = None, limit: int = CUBE_LIMIT
 ) -> DataFrame:
-    if limit > CUBE_LIMIT_MAX:
-        raise ValueError(f"limit must be at most {CUBE_LIMIT_MAX}")
     if direct_or_indirect:
         cube = cube.where(F.col("direct_or_indirect") == direct_or_indirect)
     return (

@@ -11,7 +11,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from outlay.functions.relations import broadcast_if_small
 from outlay.operators import anomaly, conform, leakage, marts, model, pvm, quality, risk
 from outlay.sources.storage import written
 
@@ -116,7 +115,7 @@ class Medallion:
     def fact(self) -> DataFrame:
         if self.stored_fact is not None:
             return self.stored_fact
-        levels = broadcast_if_small(model.category_levels(self.categories))
+        levels = model.category_levels(self.categories)
         return model.fact_spend(self.invoices, self.purchase_orders, levels)
 
     @cached_property

@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from outlay.functions.numeric import MONEY, RATE
 from outlay.functions.relations import (
     LazyFrames,
-    broadcast_if_small,
     lookup,
-    spread,
     unique_by,
 )
 from outlay.operators.costing import derive_cost_measures, should_cost_buildup
@@ -88,7 +86,7 @@ class OrderBook:
         per_unit = F.floor(cents * 100 / F.nullif("l_quantity", F.lit(0.0)))
         ext = F.col("l_extendedprice").cast(MONEY)
         credit = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
-        items = spread(self.table("lineitem"), "l_orderkey", "l_partkey", "l_linenumber")
+        items = self.table("lineitem")
         lines = items.select(
             "l_orderkey",
             "l_partkey",
@@ -371,7 +369,7 @@ class OrderBook:
 
     @cached_property
     def star_supplier(self) -> DataFrame:
-        """Supplier dimension; measured once and broadcast only while it is small."""
+        """Supplier dimension."""
         place = (
             self.table("nation")
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -379,25 +377,21 @@ class OrderBook:
         )
         named = self.table("supplier").join(unique_by(place, "s_nationkey"), "s_nationkey", "left")
         tier = _by_remainder("s_suppkey", 5, (2, "Low"), (4, "Medium"), last="High")
-        return broadcast_if_small(
-            named.select(
-                F.col("s_suppkey").alias("supplier_id"),
-                F.col("s_name").alias("name"),
-                tier.alias("risk_tier"),
-                "region",
-            )
+        return named.select(
+            F.col("s_suppkey").alias("supplier_id"),
+            F.col("s_name").alias("name"),
+            tier.alias("risk_tier"),
+            "region",
         )
 
     @cached_property
     def star_category(self) -> DataFrame:
-        """Category dimension; measured once and broadcast only while it is small."""
-        return broadcast_if_small(
-            self._taxonomy.select(
-                "category_id",
-                F.col("p_brand").alias("name"),
-                F.col("p_type").alias("parent_category"),
-                F.col("l1").alias("direct_or_indirect"),
-            )
+        """Category dimension."""
+        return self._taxonomy.select(
+            "category_id",
+            F.col("p_brand").alias("name"),
+            F.col("p_type").alias("parent_category"),
+            F.col("l1").alias("direct_or_indirect"),
         )
 
     @cached_property

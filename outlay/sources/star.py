@@ -26,7 +26,10 @@ def read_star_jdbc(
     spark: SparkSession, url: str, partitions: int = 32, key_ranges: dict | None = None, **options
 ) -> dict[str, DataFrame]:
     """Read the star over JDBC. `key_ranges` maps a table to (column, lower, upper), which
-    splits its read over `partitions` tasks; without it a table is read by one task."""
+    splits its read over `partitions` tasks. The fact must have one; a dimension without is read
+    by one task."""
+    if "fact_spend" not in (key_ranges or {}):
+        raise ValueError("key_ranges must split the read of fact_spend")
     frames = {}
     for name in STAR:
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)

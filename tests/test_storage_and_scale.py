@@ -15,12 +15,12 @@ from outlay.functions.ordering import (
     quantile_at,
     value_positions,
 )
-from outlay.functions.relations import broadcast_if_small, lookup, unique_by
+from outlay.functions.relations import lookup, repeated_keys, unique_by
 from outlay.operators import anomaly
 from outlay.operators.routing import question_log
 from outlay.plans.medallion import Medallion
 from outlay.plans.warehouse import refresh_warehouse
-from outlay.sources import extracts, storage
+from outlay.sources import extracts, star, storage
 from outlay.sources.orderbook import OrderBook
 from outlay.sources.schemas import EXTRACTS
 
@@ -112,15 +112,26 @@ def test_exact_quantile_equals_numpy(spark, n):
         assert got == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
-def test_only_small_sides_are_broadcast(spark):
-    small_side, big_side = spark.range(10), spark.range(1000)
-    assert "broadcast" in _logical(broadcast_if_small(small_side, max_rows=10))
-    assert "broadcast" not in _logical(broadcast_if_small(big_side, max_rows=999))
-    assert "broadcast" not in _logical(broadcast_if_small(big_side, max_bytes=100))
+def test_repeated_keys_keep_one_whole_row(spark):
+    rows = spark.createDataFrame([(1, "b", 1), (1, "a", 9), (2, None, 3)], "k int, x string, y int")
+    assert sorted(map(tuple, unique_by(rows, "k").collect())) == [(1, "a", 9), (2, None, 3)]
+    assert repeated_keys(rows, "k").first()[0] == 1
 
 
-def _logical(df):
-    return df._jdf.queryExecution().logical().toString()
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Cluster:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Cluster)
+
+
+def test_the_fact_is_not_read_by_one_task(spark):
+    with pytest.raises(ValueError, match="key_ranges"):
+        star.read_star_jdbc(spark, "jdbc:none", key_ranges={"dim_supplier": ("supplier_id", 0, 9)})
 
 
 def fact_for_forest(spark, n, spikes=0):
