@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.sources.storage import shared_folder
+from outlay.sources.storage import new_folder
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back, which also cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, f"llm-{label}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

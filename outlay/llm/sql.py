@@ -81,7 +81,7 @@ with t as (
   select row_number() over () as k, doc_id, coalesce(text, '') as x from documents
 ), w as (
   select k, unnest(ws) as w, generate_subscripts(ws, 1) as p
-  from (select k, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda a: a <> '') as ws
+  from (select k, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda a: a <> '') as ws
         from t)
 ), three as (
   select k, p, w,
@@ -97,11 +97,11 @@ with t as (
 ), lines as (
   select k, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(string_split(x, chr(10))) as n_lines
   from (select k, x,
-          list_filter(string_split(x, chr(10)), lambda a: regexp_matches(a, '[^\x20\x09-\x0D]')) as ls
+          list_filter(string_split(x, chr(10)), lambda a: regexp_matches(a, '[^\\x20\\x09-\\x0D]')) as ls
         from t)
 ), s as (
   select t.k, doc_id, x, coalesce(n_words, 0) as n_words,
-    length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+    length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars,
     length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) as n_symbols,
     n_dup_lines, n_lines, coalesce(n_repeat_words, 0) as n_repeat_words
   from t left join covered using (k) join lines using (k)
@@ -111,7 +111,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words
     or word_chars < 2 * n_words or word_chars > 20 * n_words
     or n_symbols * 5 > n_words * 2 or n_dup_lines * 2 > n_lines
-    or length(regexp_replace(x, '\p{L}+', '', 'g')) * 2 > length(x)) as kept
+    or length(regexp_replace(x, '\\p{L}+', '', 'g')) * 2 > length(x)) as kept
 from s
 """
 
