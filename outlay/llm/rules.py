@@ -137,10 +137,10 @@ class Measured:
 def measure(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
     """Cost and rejections of each rule on a sample of about `sample_rows` rows of docs.
 
-    The sample, written once, only decides the order of the rules.
+    The sample, written once with its statistics, only decides the order of the rules.
     """
     share = min(1.0, sample_rows / max(docs.count(), 1))
-    sample = kept(docs.sample(fraction=share, seed=7), "rule-sample")
+    sample = kept(statistics(docs.sample(fraction=share, seed=7)), "rule-sample")
     found = []
     for rule in rules:
         began = time.perf_counter()
@@ -171,7 +171,7 @@ def judged(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     rules = default_rules() if rules is None else list(rules)
     measured = statistics(docs)
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    order = ordered(measure(measured, rules))
+    order = ordered(measure(docs, rules))
     return (
         measured.withColumn("base_failed", base)
         .withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
