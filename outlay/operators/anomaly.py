@@ -8,14 +8,13 @@ the number of trees and the subsample size.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlay.functions.ordering import exact_quantile
 from outlay.sources.storage import written
 
 # Fixed values of the detector.
@@ -43,8 +42,8 @@ LINE_COLUMNS = (
     "price_variance",
     "should_cost_gap",
 )
-FACT_COLUMNS = (*LINE_COLUMNS, "on_contract", "maverick_flag")
-TREES, SUBSAMPLE, CONTAMINATION, SEED = 200, 256, 0.03, 42
+FACT_COLUMNS = ("invoice_line", *LINE_COLUMNS, "on_contract", "maverick_flag")
+TREES, SUBSAMPLE, CONTAMINATION, SEED = 200, 256, Fraction(3, 100), 42
 EXPORT_LIMIT = 500
 # Lines drawn per tree in expectation, before the cut at SUBSAMPLE.
 DRAWS = 336
@@ -87,175 +86,212 @@ def anomaly_features(fact: DataFrame) -> DataFrame:
     )
 
 
-def _average_path(n: float) -> float:
-    """Expected depth of an unsuccessful search among n points."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
-
-
-@dataclass(frozen=True)
-class Forest:
-    """Trees as complete binary trees of DEPTH levels; row t holds tree t."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    path: np.ndarray
-    subsample: float
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for feature, threshold, path in zip(self.feature, self.threshold, self.path):
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[rows, feature[node]] > threshold[node])
-            total += path[node - (2**DEPTH - 1)]
-        norm = _average_path(self.subsample) or 1.0
-        return np.exp2(-(total / len(self.path)) / norm)
-
-
-def _grow(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inner = 2**DEPTH - 1
-    feature = np.zeros(inner, dtype=np.int64)
-    threshold = np.full(inner, np.inf)  # an early leaf passes its rows to the left
-    path = np.zeros(2**DEPTH)
-    limit = math.ceil(math.log2(max(len(x), 2)))
-    stack = [(0, 0, x)]
-    while stack:
-        node, depth, part = stack.pop()
-        low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (0.0, 0.0)
-        open_features = np.flatnonzero(np.asarray(high) > np.asarray(low)) if len(part) > 1 else []
-        if depth >= limit or len(open_features) == 0:
-            leaf = (node + 1) * 2 ** (DEPTH - depth) - 1
-            path[leaf - inner] = depth + _average_path(len(part))
-            continue
-        pick = rng.choice(open_features)
-        cut = rng.uniform(low[pick], high[pick])
-        feature[node], threshold[node] = pick, cut
-        left = part[:, pick] <= cut
-        stack.append((2 * node + 1, depth + 1, part[left]))
-        stack.append((2 * node + 2, depth + 1, part[~left]))
-    return feature, threshold, path
-
-
-def _fit_tree(seed: int):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values(["_draw", "_copy"])[list(FEATURES)].to_numpy(float)
-        feature, threshold, path = _grow(x, np.random.default_rng([seed, tree]))
-        return pd.DataFrame(
-            {
-                "tree": [tree],
-                "rows": [len(x)],
-                "feature": [feature.tolist()],
-                "threshold": [threshold.tolist()],
-                "path": [path.tolist()],
-            }
-        )
+MICROS = 1_000_000
+
+
+def path_table(size: int = SUBSAMPLE) -> list[int]:
+    """Expected depth of an unsuccessful search among 0 to `size` points, in millionths."""
+    out = []
+    for n in range(size + 1):
+        depth = 0.0 if n <= 1 else 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
+        out.append(math.floor((1.0 if n == 2 else depth) * MICROS + 0.5))
+    return out
+
+
+def _whole(name: str) -> Column:
+    """A feature in ten-thousandths; null counts as 0. Trees do not care for scale or origin of a
+    feature, so nothing is standardised."""
+    amount = F.coalesce(F.col(name).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)"))
+    return (amount * F.lit(10000)).cast("long")
+
 
-    return fit
+def _draw(text: Column) -> Column:
+    """32 bits of a text's md5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def fit_forest(standardised: DataFrame, rows: int, trees: int = TREES, seed: int = SEED) -> Forest:
-    """Fit on subsamples of the standardised features, drawn by `_point`, a hash of the line as
-    it is stored, so that the same table gives the same forest however it is partitioned.
-    Copies of one line are drawn together.
+def subsamples(lines: DataFrame, rows: int, trees: int, seed: int) -> DataFrame:
+    """(tree, features): up to SUBSAMPLE lines of each tree, drawn from all lines.
 
-    About DRAWS lines per tree leave the table; in a table with fewer lines than that for all
-    trees, a line goes to several trees.
+    A line offers itself trees * min(1, DRAWS / rows) times for each of its copies, rounded up or
+    down by its hash so that the mean is met, and every offer goes to a tree of its own draw. A
+    tree takes its first SUBSAMPLE offers in the order of their hashes. The same table gives
+    the same trees however it is partitioned, and about trees * DRAWS rows leave it whatever
+    its size.
     """
-    share = min(1.0, trees * DRAWS / max(rows, 1))
-    turns = max(1, math.ceil(trees * DRAWS / max(rows, 1)))
-    drawn = standardised
-    if share < 1.0:
-        limit = int(-(2**63) + share * 2**64)
-        drawn = drawn.where(F.col("_point") < limit)
-    pool = (
-        drawn.groupBy(*FEATURES, "_point")
-        .agg(F.least(F.count("*"), F.lit(SUBSAMPLE)).alias("_copies"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
-        .drop("_copies")
+    features = [_whole(f).alias(f) for f in FEATURES]
+    point = F.md5(
+        F.concat_ws("|", F.lit(seed), "invoice_id", "invoice_line", *[_whole(f) for f in FEATURES])
     )
-    places = (
-        pool.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-        .withColumn(
-            "tree", F.pmod(F.xxhash64("_point", "_copy", "_turn"), F.lit(trees)).cast("int")
-        )
-        .drop("_turn")
-        .distinct()
-        .withColumn("_draw", F.xxhash64("_point", "_copy", "tree"))
+    alike = (
+        lines.select(point.alias("_point"), *features)
+        .groupBy("_point", *FEATURES)
+        .agg(F.count("*").alias("_copies"))
+    )
+    offers = F.col("_copies") * F.lit(trees * min(DRAWS, rows))
+    chance = _draw(F.concat("_point", F.lit(":n"))).cast("double") / F.lit(2.0**32)
+    more = chance * F.lit(float(rows)) < (offers % F.lit(rows)).cast("double")
+    times = F.expr(f"({trees * min(DRAWS, rows)} * _copies) div {rows}") + more.cast("long")
+    offered = (
+        alike.withColumn("_times", times)
+        .where("_times > 0")
+        .withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+        .withColumn("_order", F.md5(F.concat_ws(":", "_point", "_time")))
+        .withColumn("tree", (_draw(F.concat("_order", F.lit(":t"))) % trees).cast("int"))
     )
-    first = Window.partitionBy("tree").orderBy("_draw", "_copy")
-    subsamples = places.withColumn("_place", F.row_number().over(first)).where(
-        F.col("_place") <= SUBSAMPLE
+    first = Window.partitionBy("tree").orderBy("_order")
+    return (
+        offered.withColumn("_place", F.row_number().over(first))
+        .where(F.col("_place") <= SUBSAMPLE)
+        .select("tree", *FEATURES)
     )
+
+
+def fit_forest(lines: DataFrame, rows: int, trees: int = TREES, seed: int = SEED) -> dict:
+    """Trees as arrays: `feature` (-1 at a leaf), `cut` and `path` by node of a complete binary tree,
+    one row per tree; `norm`, the mean path of a whole subsample. A leaf's path is its depth
+    and the mean path among its lines, in millionths. Their size is fixed by trees and SUBSAMPLE.
+    """
+    depth, names, paths, micros = DEPTH, list(FEATURES), path_table(), MICROS
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        import hashlib
+
+        tree = int(pdf["tree"].iloc[0])
+        x = pdf[names].to_numpy("int64")
+        nodes = 2 ** (depth + 1) - 1
+        feature, cut, path = [-1] * nodes, [0] * nodes, [0] * nodes
+        limit = max(len(x) - 1, 1).bit_length()
+        stack = [(0, 0, x)]
+        while stack:
+            node, level, part = stack.pop()
+            low, high = part.min(axis=0), part.max(axis=0)
+            free = [i for i in range(len(names)) if high[i] > low[i]]
+            if level >= limit or not free:
+                path[node] = level * micros + paths[len(part)]
+                continue
+
+            def draw(what: str, node=node) -> int:
+                return int(hashlib.md5(f"{seed}:{tree}:{node}:{what}".encode()).hexdigest()[:8], 16)
+
+            pick = free[draw("feature") % len(free)]
+            span = float(int(high[pick]) - int(low[pick]))
+            at = int(low[pick]) + math.floor(span * (draw("cut") / 2.0**32))
+            feature[node], cut[node] = pick, at
+            left = part[:, pick] <= at
+            stack.append((2 * node + 1, level + 1, part[left]))
+            stack.append((2 * node + 2, level + 1, part[~left]))
+        return pd.DataFrame(
+            {"tree": [tree], "rows": [len(x)], "feature": [feature], "cut": [cut], "path": [path]}
+        )
+
     fitted = (
-        subsamples.groupBy("tree")
+        subsamples(lines, rows, trees, seed)
+        .groupBy("tree")
         .applyInPandas(
-            _fit_tree(seed),
-            "tree int, rows int, feature array<bigint>, threshold array<double>, path array<double>",
+            grow, "tree int, rows int, feature array<int>, cut array<bigint>, path array<bigint>"
         )
         .toPandas()
         .sort_values("tree")
     )
-    return Forest(
-        np.stack(fitted["feature"].to_numpy()).astype(np.int64),
-        np.stack(fitted["threshold"].to_numpy()).astype(float),
-        np.stack(fitted["path"].to_numpy()).astype(float),
-        float(fitted["rows"].max()),
-    )
-
-
-def _scorer(spark, forest: Forest):
-    shared = spark.sparkContext.broadcast(forest)
-
-    @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(np.column_stack(columns).astype(float)))
-
-    return score
+    return {
+        "feature": np.stack(fitted["feature"].to_numpy()).astype(np.int64),
+        "cut": np.stack(fitted["cut"].to_numpy()).astype(np.int64),
+        "path": np.stack(fitted["path"].to_numpy()).astype(np.int64),
+        "norm": paths[int(fitted["rows"].max())],
+    }
+
+
+def _path_total(spark, forest: dict):
+    """Sum of a line's paths over all trees, in millionths. The function is shipped by value and
+    holds plain arrays, so workers need no copy of this library."""
+    shared, depth = spark.sparkContext.broadcast(forest), DEPTH
+
+    @F.pandas_udf("bigint")
+    def total(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack(columns).astype("int64")
+        rows, out = np.arange(len(x)), np.zeros(len(x), dtype="int64")
+        trees = shared.value
+        for feature, cut, path in zip(trees["feature"], trees["cut"], trees["path"]):
+            node = np.zeros(len(x), dtype="int64")
+            for _ in range(depth):
+                pick = feature[node]
+                below = 2 * node + 1 + (x[rows, pick] > cut[node])
+                node = np.where(pick < 0, node, below)
+            out += path[node]
+        return pd.Series(out)
+
+    return total
+
+
+def _smallest(df: DataFrame, value: str, ranks: list[int]) -> list[int]:
+    """Values at the given places (from 0) of a non-negative integer column in ascending order.
+
+    Two rounds of counts: blocks of 65,536 values, then single values of the wanted blocks. A path
+    total is below 2**32, so either round returns at most 65,536 rows per rank.
+    """
+    block = F.shiftright(value, 16)
+    coarse = sorted(map(tuple, df.groupBy(block.alias("b")).count().collect()))
+    wanted, before = {}, 0
+    for b, n in coarse:
+        for r in ranks:
+            if before <= r < before + n:
+                wanted[r] = (b, r - before)
+        before += n
+    blocks = {b for b, _ in wanted.values()}
+    fine = sorted(map(tuple, df.where(block.isin(*blocks)).groupBy(value).count().collect()))
+    out = []
+    for r in ranks:
+        b, rest = wanted[r]
+        for v, n in fine:
+            if v >> 16 == b:
+                if rest < n:
+                    out.append(v)
+                    break
+                rest -= n
+    return out
 
 
 def spend_anomalies(
     fact: DataFrame,
-    contamination: float = CONTAMINATION,
+    contamination: Fraction = CONTAMINATION,
     trees: int = TREES,
     seed: int = SEED,
 ) -> DataFrame:
-    """All lines with anomaly_label (-1 or 1), anomaly_score and is_anomaly, highest first.
+    """All lines, with their line number, anomaly_label (-1 or 1), anomaly_score and is_anomaly.
 
-    Lines scoring strictly above the (1 - contamination) quantile of all scores are flagged.
+    Lines whose score lies strictly above the (1 - contamination) quantile of all scores, linear
+    between two scores, are flagged; a score falls as its path total rises, so totals
+    decide. Scores are rounded at six decimals. Rows are not sorted.
     """
     spark = fact.sparkSession
-    lines = anomaly_lines(fact)
-    size = lines.agg(F.count("*").alias("n"), *_moments()).first()
-    if size["n"] == 0:
+    lines = anomaly_lines(fact, "invoice_line")
+    rows = lines.count()
+    if rows == 0:
         raise ValueError("no lines to score")
-
-    def standard(name: str) -> Column:
-        return (_known(name) - F.lit(size[f"mean_{name}"])) / F.lit(size[f"sd_{name}"] or 1.0)
-
-    point = F.xxhash64(*[F.col(c) for c in lines.columns], F.lit(seed)).alias("_point")
-    standardised = lines.select(point, *[standard(f).alias(f) for f in FEATURES])
-    forest = fit_forest(standardised, size["n"], trees, seed)
-    scorer = _scorer(spark, forest)
-    scored = written(
-        lines.withColumn("anomaly_score", scorer(*[standard(f) for f in FEATURES])), "anomalies"
+    forest = fit_forest(lines, rows, trees, seed)
+    path_total = _path_total(spark, forest)
+    scored = written(lines.withColumn("_total", path_total(*[_whole(f) for f in FEATURES])), "anomalies")
+    at, between = divmod(contamination.numerator * (rows - 1), contamination.denominator)
+    last, beyond = _smallest(scored, "_total", [at, min(at + 1, rows - 1)])
+    flagged = F.col("_total") < last
+    if between and beyond > last:
+        flagged = F.col("_total") <= last
+    share = F.col("_total").cast("double") / F.lit(float(trees)) / F.lit(float(forest["norm"] or MICROS))
+    score = F.floor(F.pow(F.lit(2.0), -share) * 1e6 + 0.5).cast("double") / 1e6
+    label = F.when(flagged, F.lit(-1)).otherwise(F.lit(1))
+    return scored.select(
+        *lines.columns,
+        label.alias("anomaly_label"),
+        score.alias("anomaly_score"),
+        flagged.alias("is_anomaly"),
     )
-    cut = exact_quantile(scored, "anomaly_score", 1.0 - contamination).scalar()
-    flagged = scored.withColumn("is_anomaly", F.col("anomaly_score") > cut)
-    label = F.when(F.col("is_anomaly"), F.lit(-1)).otherwise(F.lit(1))
-    return flagged.select(
-        *lines.columns, label.alias("anomaly_label"), "anomaly_score", "is_anomaly"
-    ).orderBy(F.desc("anomaly_score"))
 
 
 def anomaly_export(anomalies: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
     return (
         anomalies.where("is_anomaly")
-        .orderBy(F.desc("anomaly_score"), "invoice_id", "invoice_amount")
+        .orderBy(F.desc("anomaly_score"), "invoice_id", "invoice_line")
         .limit(limit)
+        .drop("invoice_line")
     )

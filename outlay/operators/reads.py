@@ -277,7 +277,7 @@ def risk_ranked(risk: DataFrame) -> DataFrame:
 def anomaly_top50(anomalies: DataFrame, limit: int = ANOMALY_LIMIT) -> DataFrame:
     return (
         anomalies.where("is_anomaly")
-        .orderBy(F.desc_nulls_last("anomaly_score"), "invoice_id", "invoice_amount")
+        .orderBy(F.desc_nulls_last("anomaly_score"), "invoice_id", "invoice_line")
         .limit(limit)
         .select(
             "invoice_id",

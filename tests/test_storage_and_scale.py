@@ -1,7 +1,11 @@
 """Sources, sinks, exact ranks, the forest, and behaviour under skew and repartitioning."""
 
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -9,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from conftest import SMALL
 from outlay.functions.ordering import (
     exact_quantile,
     percent_rank,
@@ -32,6 +37,9 @@ def folder(spark, small, tmp_path_factory):
     return path
 
 
+ROOT = Path(__file__).resolve().parents[1]
+
+
 def test_missing_extract_is_named(spark, tmp_path):
     with pytest.raises(extracts.MissingExtract, match="suppliers.csv"):
         extracts.land_extracts(spark, str(tmp_path), "now")
@@ -141,6 +149,7 @@ def fact_for_forest(spark, n, spikes=0):
     pdf = pd.DataFrame(
         {
             "invoice_id": [f"I{i}" for i in range(n)],
+            "invoice_line": 1,
             "invoice_date": pd.Timestamp("2024-01-01").date(),
             "supplier_id": "S",
             "category_id": "C",
@@ -162,8 +171,8 @@ def fact_for_forest(spark, n, spikes=0):
 
 def test_forest_finds_spikes_and_ignores_partitioning(spark):
     fact = fact_for_forest(spark, 2000, spikes=5)
-    first = anomaly.spend_anomalies(fact.repartition(2), trees=60)
-    second = anomaly.spend_anomalies(fact.repartition(5), trees=60)
+    first = anomaly.spend_anomalies(fact.repartition(2))
+    second = anomaly.spend_anomalies(fact.repartition(5))
     a = {r["invoice_id"]: r["anomaly_score"] for r in first.collect()}
     b = {r["invoice_id"]: r["anomaly_score"] for r in second.collect()}
     assert a == pytest.approx(b)
@@ -171,7 +180,39 @@ def test_forest_finds_spikes_and_ignores_partitioning(spark):
     assert len(flagged) == 60
     assert {f"I{i}" for i in range(5)} <= flagged
     assert {r["anomaly_label"] for r in first.where("is_anomaly").collect()} == {-1}
-    assert first.first()["anomaly_score"] == max(a.values())
+
+
+def test_copies_of_a_line_weigh_in_the_trees(spark):
+    """A line held 10,000 times among 40,000 others takes about a fifth of every tree's places."""
+    one = fact_for_forest(spark, 1).withColumn("invoice_id", F.lit("hot"))
+    many = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).drop("copy")
+    other = fact_for_forest(spark, 40_000)
+    lines = anomaly.anomaly_lines(other.unionByName(many), "invoice_line")
+    hot = anomaly.anomaly_lines(one, "invoice_line").select(anomaly._whole("invoice_amount")).first()[0]
+    drawn = anomaly.subsamples(lines, 50_000, 50, 1)
+    per_tree = drawn.groupBy("tree").agg(
+        F.count("*").alias("places"), F.count(F.when(F.col("invoice_amount") == hot, 1)).alias("hot")
+    )
+    rows = per_tree.collect()
+    assert len(rows) == 50 and all(r["places"] == 256 for r in rows)
+    assert 40 <= sum(r["hot"] for r in rows) / 50 <= 63
+    assert min(r["hot"] for r in rows) > 15
+
+
+def test_forest_runs_where_workers_lack_the_library(spark, tmp_path):
+    """The functions shipped to workers name nothing of this library."""
+    script = f"""
+import os, sys
+os.chdir({str(tmp_path)!r})
+sys.path.insert(0, {str(ROOT)!r})
+import __spark_entry__ as entry
+from outlay.session import build_session
+spark = build_session("local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+print("ROWS", entry.queries()["anomaly_top50"](spark, {SMALL!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYTHONPATH", "PYSPARK", "SPARK"))}
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=600)
+    assert "ROWS 50" in done.stdout, done.stderr[-2000:]
 
 
 def test_forest_on_few_identical_lines(spark):
