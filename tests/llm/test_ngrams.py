@@ -15,10 +15,10 @@ from outlay.llm.words import WordHasher
 def test_packing_is_exact():
     rng = np.random.default_rng(1)
     values = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
-    assert (ngrams.unpacked(ngrams.packed(values)) == values).all()
-    counts = rng.integers(0, 1 << 40, (2, 300))
-    assert (ngrams.unpacked_counts(ngrams.packed_counts(*counts), 2) == counts).all()
-    assert len(ngrams.unpacked(ngrams.packed(values[:0]))) == 0
+    assert (ngrams.unpacked(ngrams.packed(values), len(values)) == values).all()
+    counts = rng.integers(0, 1 << 40, 300)
+    assert (ngrams.unpacked_counts(ngrams.packed_counts(counts), 300) == counts).all()
+    assert len(ngrams.unpacked(ngrams.packed(values[:0]), 0)) == 0
 
 
 def tokens(text):
