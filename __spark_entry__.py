@@ -268,6 +268,51 @@ def _cost_measures(b: OrderBook) -> DataFrame:
     )
 
 
+def _mart_answers(m: Medallion) -> DataFrame:
+    frames = {
+        "total_spend": questions.mart_total_spend(m.monthly),
+        "maverick": questions.mart_maverick(m.monthly),
+        "compliance": questions.mart_compliance(m.monthly),
+        "leakage": questions.mart_leakage(m.leakage),
+        "should_cost": questions.mart_should_cost(m.category_spend),
+        "top_suppliers": questions.mart_top_suppliers(m.performance),
+        "direct_vs_indirect": questions.mart_direct_vs_indirect(m.monthly),
+        "savings": questions.mart_savings(m.monthly),
+        "risk": questions.mart_risk(m.supplier_risk()),
+        "opportunity": questions.mart_opportunity(m.opportunity),
+        "pvm": questions.mart_pvm(m.pvm_summary),
+    }
+    return questions.answer_rows(frames)
+
+
+def _view_answers(s: Star) -> DataFrame:
+    frames = {
+        "total_spend": questions.view_total_spend(s.monthly),
+        "leakage": questions.view_leakage(s.fact, s.suppliers, s.categories),
+        "maverick": questions.view_maverick(s.fact, s.suppliers, s.categories),
+        "tco": questions.view_tco(s.tco),
+        "pvm": questions.view_pvm(s.pvm),
+        "top_suppliers": questions.view_top_suppliers(s.supplier_category),
+        "category": questions.view_category(s.supplier_category),
+        "executive": questions.view_executive_trend(s.monthly),
+    }
+    return questions.answer_rows(frames)
+
+
+def answer_questions_dk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = routing.route_questions_dk(_log(spark, sf_dir))
+    return questions.answered(routed, _mart_answers(_medallion(spark, sf_dir)))
+
+
+def answer_questions_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = routing.route_questions_pg(_log(spark, sf_dir))
+    return questions.answered(routed, _view_answers(_star(spark, sf_dir)))
+
+
+def _filtered(names: tuple[str, ...], where: dict[str, object], by: tuple[str, ...] = ()) -> Query:
+    return _m(lambda m: metrics.metric_query(m.fact, m.dims(), names, by=by, where=where))
+
+
 def _supplier_sums(m: Medallion) -> DataFrame:
     """Supplier sums written once: the share of all spend reads them twice."""
     return storage.written(m.performance, "supplier-sums")
@@ -391,6 +436,14 @@ def queries() -> dict[str, Query]:
         "route_questions_pg": _on(_log, routing.route_questions_pg),
         "audit_sql_log": _b(lambda b: routing.audit_sql_log(routing.sql_log(b.table("conversations")))),
         "intent_usage": _on(_log, lambda log: routing.intent_usage(routing.route_questions_dk(log))),
+        "answer_questions_dk": answer_questions_dk,
+        "answer_questions_pg": answer_questions_pg,
+        # registry calls with filters
+        "filtered_by_year": _filtered(("total_spend", "rate_leakage"), {"fiscal_year": [1996, 1997]}, ("fiscal_month",)),
+        "filtered_by_category": _filtered(("total_spend",), {"category_l1": "Direct"}, ("supplier_tier",)),
+        "filtered_by_tier_and_quarter": _filtered(
+            ("total_spend", "contract_compliance_rate"), {"supplier_tier": ["Strategic", "Preferred"], "fiscal_quarter": 2}
+        ),
         # quality, anomalies, risk
         "dq_silver": _m(_silver_quality),
         "dq_null_keys": _s(lambda s: quality.dq_null_keys(s.fact, s.as_of)),

@@ -64,6 +64,8 @@ DIMENSIONS: dict[str, Dimension] = {
     "fiscal_quarter": Dimension("dim_calendar", "date_key", "fiscal_quarter"),
     "fiscal_month": Dimension("dim_calendar", "date_key", "fiscal_month"),
 }
+#: Calendar dimensions follow from the month of the line.
+CALENDAR = {"fiscal_year": F.year, "fiscal_quarter": F.quarter, "fiscal_month": F.month}
 
 
 def metric_query(
@@ -76,9 +78,12 @@ def metric_query(
 ) -> DataFrame:
     """Metrics by dimensions, one row per combination of `by`.
 
-    `where` maps a dimension to a value or a list of values. The fact is summed on the keys of
-    the dimensions in use before those dimensions are joined; unused ones are not touched.
-    With `rollup` the subtotals of the leading dimensions are added, with a `level` column.
+    `where` maps a dimension to a value or a list of values. Filters come before the sum: those on
+    the calendar are conditions on the fact's month, which prune a fact stored by month, and
+    others keep the lines whose key is among the dimension's matching rows. The fact is summed
+    on the keys of the dimensions in `by` before those are joined; calendar columns are
+    computed from the month. With `rollup` the subtotals of the leading dimensions are added,
+    with a `level` column.
     """
     unknown = [n for n in metrics if n not in REGISTRY]
     unknown += [n for n in (*by, *(where or {})) if n not in DIMENSIONS]
@@ -86,20 +91,26 @@ def metric_query(
         raise KeyError(f"not in the registry: {', '.join(unknown)}")
     terms = sorted({t for m in metrics for t in (REGISTRY[m].value, REGISTRY[m].over) if t})
     alias = {term: f"_term{i}" for i, term in enumerate(terms)}
-    used = list(dict.fromkeys([*by, *(where or {})]))
+    for name, wanted in (where or {}).items():
+        values = list(wanted) if isinstance(wanted, (list, tuple, set)) else [wanted]
+        dim = DIMENSIONS[name]
+        if name in CALENDAR:
+            fact = fact.where(CALENDAR[name](F.col("period_month")).isin(*values))
+        else:
+            chosen = dims[dim.table].where(F.col(dim.column).isin(*values)).select(dim.key)
+            fact = fact.join(chosen, dim.key, "left_semi")
     columns_of: dict[tuple[str, str], list[str]] = {}
-    for name in used:
+    for name in dict.fromkeys(by):
         dim = DIMENSIONS[name]
-        columns_of.setdefault((dim.table, dim.key), []).append(name)
+        if name not in CALENDAR:
+            columns_of.setdefault((dim.table, dim.key), []).append(name)
 
     keys = [key for _, key in columns_of]
-    sums = fact.groupBy(*keys).agg(*[F.sum(F.expr(t)).alias(a) for t, a in alias.items()])
+    periods = [CALENDAR[n](F.col("period_month")).alias(n) for n in by if n in CALENDAR]
+    sums = fact.groupBy(*keys, *periods).agg(*[F.sum(F.expr(t)).alias(a) for t, a in alias.items()])
     for (table, key), names in columns_of.items():
         side = dims[table].select(key, *[F.col(DIMENSIONS[n].column).alias(n) for n in names])
         sums = sums.join(side, key, "left")
-    for name, wanted in (where or {}).items():
-        values = list(wanted) if isinstance(wanted, (list, tuple, set)) else [wanted]
-        sums = sums.where(F.col(name).isin(*values))
 
     totals: list[Column] = [F.sum(a).alias(a) for a in alias.values()]
     if rollup:

@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from outlay.functions.numeric import as_double, half_up, percent
 from outlay.operators.pvm import latest_month
@@ -217,3 +221,27 @@ def view_executive_trend(monthly: DataFrame) -> DataFrame:
         "rate_leakage",
         "maverick_spend",
     ).orderBy(F.asc_nulls_last("period_month"))
+
+
+def answer_rows(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """Answers of all intents in one shape: (intent, item, field, value). The item joins a row's
+    texts and dates, and every number of the row is a field."""
+    parts = []
+    for intent, frame in frames.items():
+        numbers = [f.name for f in frame.schema if isinstance(f.dataType, T.NumericType)]
+        texts = [F.col(f.name).cast("string") for f in frame.schema if f.name not in numbers]
+        values = F.array(
+            *[F.struct(F.lit(n).alias("field"), F.col(n).cast("double").alias("value")) for n in numbers]
+        )
+        parts.append(
+            frame.select(F.lit(intent).alias("intent"), F.concat_ws("/", *texts).alias("item"), F.inline(values))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def answered(routed: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every routed question with the rows of its intent's answer, nulls where it has no intent.
+    Each answer is computed once, however many questions ask for it."""
+    return routed.join(answers, "intent", "left").select(
+        "conv_id", "turn", "intent", "item", "field", "value"
+    )

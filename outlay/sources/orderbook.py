@@ -102,7 +102,9 @@ class OrderBook:
             ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).alias("maverick"),
             F.col("l_shipdate").cast("date").alias("day"),
         )
-        paid = F.round(F.col("unit") * (F.lit(1).cast(PERCENT) + F.col("tax") - F.col("disc")), 4)
+        # some suppliers grant no discount, so their lines are paid above the agreed rate
+        discount = F.when(F.col("l_suppkey") % 10 == 3, F.lit(0).cast(PERCENT)).otherwise(F.col("disc"))
+        paid = F.round(F.col("unit") * (F.lit(1).cast(PERCENT) + F.col("tax") - discount), 4)
         priced = lines.withColumn("act", paid.cast(RATE))
         with_part = lookup(priced, self._parts, {"p_partkey": F.col("l_partkey")})
         return lookup(with_part, self._orders, {"o_orderkey": F.col("l_orderkey")})
@@ -122,7 +124,8 @@ class OrderBook:
         )
 
     def _agreements(self) -> DataFrame:
-        """One agreement per supplier, priced by the part with the supplier's key."""
+        """Two to four agreements per supplier that follow each other by half a year and overlap,
+        priced by the part with the supplier's key; every second one is for all categories."""
         priced = self.table("part").select(
             F.col("p_partkey").alias("s_suppkey"),
             F.concat_ws("/", "p_type", "p_brand").alias("part_category"),
@@ -133,11 +136,15 @@ class OrderBook:
             self.table("supplier")
             .select("s_suppkey", "s_name")
             .join(unique_by(priced, "s_suppkey"), "s_suppkey", "left")
+            .withColumn("nr", F.explode(F.sequence(F.lit(0), (1 + key % 3).cast("int"))))
             .withColumn(
-                "starts", F.date_add(F.lit("1995-01-01").cast("date"), (key % 365).cast("int"))
+                "starts",
+                F.date_add(F.lit("1995-01-01").cast("date"), (key % 365 + 180 * F.col("nr")).cast("int")),
+            )
+            .withColumn("ends", F.date_add("starts", (365 * (1 + (key + F.col("nr")) % 6)).cast("int")))
+            .withColumn(
+                "scope", F.when((key + F.col("nr")) % 2 == 0, None).otherwise(F.col("part_category"))
             )
-            .withColumn("ends", F.date_add("starts", (365 * (1 + key % 6)).cast("int")))
-            .withColumn("scope", F.when(key % 2 == 0, None).otherwise(F.col("part_category")))
         )
 
     # ---- raw extracts
@@ -200,7 +207,9 @@ class OrderBook:
     def raw_contracts(self) -> DataFrame:
         key = F.col("s_suppkey")
         return self._agreements().select(
-            _keyed("CTR-", "s_suppkey").alias("contract_id"),
+            F.when(F.col("nr") == 0, _keyed("CTR-", "s_suppkey"))
+            .otherwise(F.concat(_keyed("CTR-", "s_suppkey"), F.lit("-"), F.col("nr").cast("string")))
+            .alias("contract_id"),
             _keyed("SUP-", "s_suppkey").alias("supplier_id"),
             F.col("scope").alias("category_id"),
             F.concat("s_name", F.lit(" MSA")).alias("contract_name"),
@@ -397,7 +406,10 @@ class OrderBook:
     @cached_property
     def star_contract(self) -> DataFrame:
         return self._agreements().select(
-            F.col("s_suppkey").alias("contract_id"),
+            # the first keeps the supplier's key, by which lines name it
+            F.when(F.col("nr") == 0, F.col("s_suppkey"))
+            .otherwise(-(F.col("s_suppkey") * 10 + F.col("nr")))
+            .alias("contract_id"),
             F.col("s_suppkey").alias("supplier_id"),
             F.col("rate").alias("negotiated_rate"),
             F.col("starts").alias("start_date"),
