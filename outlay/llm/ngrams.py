@@ -22,7 +22,7 @@ from outlay.llm.frames import crc_fold, kept
 from outlay.llm.words import WordHasher, chunks, mixed
 
 ORDER = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 TUNING = 10
 BUCKETS = 12
 CELLS = 64
@@ -30,27 +30,33 @@ EM_ROUNDS = 60
 END = 0x5851F42D4C957F2D
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values as byte planes, compressed: planes of zeros vanish."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _values(data: bytes, count: int) -> np.ndarray:
+    planes = pa.decompress(data, decompressed_size=8 * count, codec="zstd", asbytes=True)
+    out = np.frombuffer(planes, dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(out.T).view(np.uint64).ravel()
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as byte planes of their differences, whose upper planes compress."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted 64-bit values, as their differences."""
+    return _planes(np.diff(values, prepend=np.uint64(0)))
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    return np.cumsum(_values(data, count), dtype=np.uint64)
 
 
-def packed_counts(*columns: np.ndarray) -> bytes:
-    """Counts as byte planes, so that small ones compress."""
-    return np.ascontiguousarray(
-        np.stack(columns).astype(np.uint64).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)
-    ).tobytes()
+def packed_counts(counts: np.ndarray) -> bytes:
+    return _planes(np.ascontiguousarray(counts, dtype=np.uint64))
 
 
-def unpacked_counts(data: bytes, columns: int) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(columns, 8, -1)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64)[:, :, 0].astype(np.int64)
+def unpacked_counts(data: bytes, count: int) -> np.ndarray:
+    return _values(data, count).view(np.int64)
 
 
 def token_grams(texts: pa.Array, order: int, hasher: WordHasher):
@@ -95,71 +101,74 @@ def blocks(docs: DataFrame, folds: int, test_fold: int, block_bytes: int) -> tup
     return dealt.select("block", "doc_id", "text", use.alias("use")), count
 
 
-def _distinct(hashed: np.ndarray, weights: list[np.ndarray]):
-    """Sorted distinct hashes with their summed weights, and where each hash went."""
-    values, where = np.unique(hashed, return_inverse=True)
-    return values, where, [np.bincount(where, w, len(values)).astype(np.int64) for w in weights]
-
-
 def _asked(order: int, ranges: int):
-    """A block's questions: per order and hash range the distinct n-grams with their counts from
-    counting texts and from all training texts."""
+    """A block's questions: per order and hash range its distinct n-grams and how often its
+    training texts hold them. All training texts of a block count, or all are for tuning."""
 
     def ask(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         grams, first = token_grams(table["text"], order, WordHasher(fold_case=True))
-        use = np.repeat(table["use"].to_numpy(), np.diff(first))
+        train = np.repeat(table["use"].to_numpy() < 2, np.diff(first))
         rows = []
         for n in range(1, order + 1):
-            values, _, (a, b) = _distinct(grams[n - 1], [use == 0, use < 2])
+            values, where = np.unique(grams[n - 1], return_inverse=True)
+            held = np.bincount(where[train], minlength=len(values))
             part = (values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             cut = np.searchsorted(part, np.arange(ranges + 1))
             for r in np.flatnonzero(np.diff(cut)).tolist():
                 s = slice(cut[r], cut[r + 1])
-                rows.append((n, r, block, packed(values[s]), packed_counts(a[s], b[s])))
-        columns = list(zip(*rows))
+                size = int(cut[r + 1] - cut[r])
+                rows.append((n, r, block, size, packed(values[s]), packed_counts(held[s])))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-            names=["n", "part", "block", "asked", "held"],
+            [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+            names=["n", "part", "block", "size", "asked", "held"],
         )
 
     return ask
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """Totals of a hash range for every block that asked, and the range's own sums."""
-    asked = [unpacked(a) for a in table["asked"].to_pylist()]
-    held = [unpacked_counts(h, 2) for h in table["held"].to_pylist()]
+    """Totals of a hash range for every block that asked, without and with the tuning blocks, and
+    the range's own sums."""
+    sizes = table["size"].to_pylist()
+    asked = [unpacked(a, k) for a, k in zip(table["asked"].to_pylist(), sizes)]
+    held = [unpacked_counts(h, k) for h, k in zip(table["held"].to_pylist(), sizes)]
+    counting = np.repeat(table["block"].to_numpy() % TUNING != 0, sizes)
     values, where = np.unique(np.concatenate(asked), return_inverse=True)
+    held = np.concatenate(held)
     totals = [
-        np.bincount(where, np.concatenate([h[i] for h in held]), len(values)).astype(np.int64)
-        for i in (0, 1)
+        np.bincount(where, w, len(values)).astype(np.int64) for w in (held * counting, held)
     ]
     at, replies = 0, []
-    for a in asked:
-        mine = where[at : at + len(a)]
-        replies.append(packed_counts(totals[0][mine], totals[1][mine]))
-        at += len(a)
-    rows = len(asked)
+    for k in sizes:
+        mine = where[at : at + k]
+        replies.append([packed_counts(t[mine]) for t in totals])
+        at += k
     sums = [int(totals[0].sum()), int(totals[1].sum()), int((totals[0] > 0).sum()), int((totals[1] > 0).sum())]
-    own = [[s] + [0] * (rows - 1) for s in sums]
+    own = [[s] + [0] * (len(sizes) - 1) for s in sums]
     return pa.table(
-        [table["n"], table["part"], table["block"], pa.array(replies, pa.binary()), *[pa.array(o, pa.int64()) for o in own]],
-        names=["n", "part", "block", "reply", "tokens_a", "tokens_b", "types_a", "types_b"],
+        [
+            *(table[c] for c in ("n", "part", "block", "size")),
+            pa.array([r[0] for r in replies], pa.binary()),
+            pa.array([r[1] for r in replies], pa.binary()),
+            *[pa.array(o, pa.int64()) for o in own],
+        ],
+        names=["n", "part", "block", "size", "counting", "all", "tokens_a", "tokens_b", "types_a", "types_b"],
     )
 
 
-def _counted(order: int, text: pa.ChunkedArray, replies: pa.Table):
-    """Per order the counts of every token's n-gram in counting and in all training texts, and
-    each text's first token."""
+def _counted(order: int, text: pa.ChunkedArray, replies: pa.Table, column: str):
+    """Per order the counts of every token's n-gram, and each text's first token."""
     grams, first = token_grams(text, order, WordHasher(fold_case=True))
     replies = replies.sort_by([("n", "ascending"), ("part", "ascending")])
-    of, data = replies["n"].to_numpy(), replies["reply"].to_pylist()
+    of, sizes, data = (replies[c].to_pylist() for c in ("n", "size", column))
     counts = []
     for n in range(1, order + 1):
+        known = [unpacked_counts(d, k) for o, k, d in zip(of, sizes, data) if o == n]
         _, where = np.unique(grams[n - 1], return_inverse=True)
-        known = np.concatenate([unpacked_counts(d, 2) for o, d in zip(of.tolist(), data) if o == n], axis=1)
-        counts.append(known[:, where])
+        grams[n - 1] = None
+        counts.append(np.concatenate(known)[where])
     return counts, first
 
 
@@ -188,8 +197,8 @@ def _cells(order: int, total: int, types: int):
     """Tuning tokens of a block by context bucket and half bits of each estimate."""
 
     def cells(table: pa.Table, replies: pa.Table) -> pa.Table:
-        counts, first = _counted(order, table["text"], replies)
-        estimates, _, cell = _estimates([c[0] for c in counts], first, total, types)
+        counts, first = _counted(order, table["text"], replies, "counting")
+        estimates, _, cell = _estimates(counts, first, total, types)
         for e in estimates[1:]:
             bits = np.where(e > 0, 1 + np.floor(-2 * np.log2(np.maximum(e, 1e-30))), 0)
             cell = cell * CELLS + np.minimum(bits, CELLS - 1).astype(np.int64)
@@ -230,11 +239,11 @@ def mixture_weights(cells: np.ndarray, tokens: np.ndarray, order: int, types: in
 
 def _scores(order: int, total: int, types: int, weights: np.ndarray):
     def scores(table: pa.Table, replies: pa.Table) -> pa.Table:
-        counts, first = _counted(order, table["text"], replies)
-        estimates, exists, bucket = _estimates([c[1] for c in counts], first, total, types)
+        counts, first = _counted(order, table["text"], replies, "all")
+        estimates, exists, bucket = _estimates(counts, first, total, types)
         mine = weights.T[:, bucket] * exists
         chance = (mine * estimates).sum(axis=0) / mine.sum(axis=0)
-        once = counts[0][1]
+        once = counts[0]
         base = np.log10((once + 1) / (total + types + 1))
         starts = first[:-1]
         return pa.table(
@@ -269,23 +278,24 @@ def scored(
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt, count = blocks(docs, folds, test_fold, block_bytes)
     questions = dealt.groupBy("block").applyInArrow(
-        _asked(order, count), "n int, part int, block int, asked binary, held binary"
+        _asked(order, count), "n int, part int, block int, size int, asked binary, held binary"
     )
     replies = kept(
         questions.groupBy("n", "part").applyInArrow(
             _answered,
-            "n int, part int, block int, reply binary, tokens_a long, tokens_b long, types_a long, types_b long",
+            "n int, part int, block int, size int, counting binary, all binary, tokens_a long, "
+            "tokens_b long, types_a long, types_b long",
         ),
         "replies",
     )
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_a", "tokens_b", "types_a", "types_b")]
     known = replies.where("n = 1").agg(*sums).first()
-    replies = replies.select("n", "part", "block", "reply")
     tuning = F.col("block") % TUNING == 0
+    once, both = (replies.select("n", "part", "block", "size", c) for c in ("counting", "all"))
     cells = (
         dealt.where(tuning)
         .groupBy("block")
-        .cogroup(replies.where(tuning).groupBy("block"))
+        .cogroup(once.where(tuning).groupBy("block"))
         .applyInArrow(_cells(order, known["tokens_a"], known["types_a"]), "cell long, tokens long")
         .groupBy("cell")
         .agg(F.sum("tokens").alias("tokens"))
@@ -296,7 +306,7 @@ def scored(
     )
     return (
         dealt.groupBy("block")
-        .cogroup(replies.groupBy("block"))
+        .cogroup(both.groupBy("block"))
         .applyInArrow(
             _scores(order, known["tokens_b"], known["types_b"], weights),
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
