@@ -9,10 +9,16 @@ from outlay.sources.storage import new_folder
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back, which also cuts its lineage."""
-    path = new_folder(df.sparkSession, f"llm-{label}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame once to the shared folder and read it back, which also cuts its lineage. The
+    shuffle files of the write are not needed after it and go at its end."""
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = new_folder(spark, f"llm-{label}"), spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_key(text: Column) -> Column:
