@@ -43,20 +43,28 @@ def spend_cube(fact: DataFrame) -> DataFrame:
 
 
 def mart_monthly_executive(fact: DataFrame) -> DataFrame:
+    """Lines are summed per month, supplier and category first; suppliers and categories of a month
+    are then counted on those sums, so no line is copied for a distinct count."""
     amount = F.col("invoice_amount")
+    measures = {
+        "total_spend": F.sum(amount),
+        "direct_spend": sum_if(F.col("spend_type") == "Direct", amount),
+        "indirect_spend": sum_if(F.col("spend_type") == "Indirect", amount),
+        "on_contract_spend": sum_if(F.col("on_contract"), amount),
+        "off_contract_spend": sum_if(~F.col("on_contract"), amount),
+        "maverick_spend": sum_if(F.col("maverick_flag"), amount),
+        "rate_leakage": F.sum("price_variance"),
+        "should_cost_gap": F.sum("should_cost_gap"),
+        "savings_realized": F.sum("savings_realized"),
+        "tco_spend": F.sum("tco_amount"),
+    }
+    sums = fact.groupBy("period_month", "supplier_id", "category_id").agg(
+        *[m.alias(name) for name, m in measures.items()]
+    )
     return (
-        fact.groupBy("period_month")
+        sums.groupBy("period_month")
         .agg(
-            F.sum(amount).alias("total_spend"),
-            sum_if(F.col("spend_type") == "Direct", amount).alias("direct_spend"),
-            sum_if(F.col("spend_type") == "Indirect", amount).alias("indirect_spend"),
-            sum_if(F.col("on_contract"), amount).alias("on_contract_spend"),
-            sum_if(~F.col("on_contract"), amount).alias("off_contract_spend"),
-            sum_if(F.col("maverick_flag"), amount).alias("maverick_spend"),
-            F.sum("price_variance").alias("rate_leakage"),
-            F.sum("should_cost_gap").alias("should_cost_gap"),
-            F.sum("savings_realized").alias("savings_realized"),
-            F.sum("tco_amount").alias("tco_spend"),
+            *[F.sum(name).alias(name) for name in measures],
             F.countDistinct("supplier_id").alias("active_suppliers"),
             F.countDistinct("category_id").alias("active_categories"),
         )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import ratio
+from outlay.sources.storage import written
 
 EFFECTS = ("price_effect", "volume_effect", "mix_effect")
 
@@ -79,7 +80,9 @@ def pvm_category_monthly(fact: DataFrame) -> DataFrame:
 
 
 def latest_month(pvm: DataFrame) -> DataFrame:
-    """Rows of the last month present."""
+    """Rows of the last month present. The effects, one row per month and category, are written
+    once, so the fact is not read again for the month."""
+    pvm = written(pvm, "pvm-effects")
     last = pvm.agg(F.max("period_month")).scalar()
     return pvm.where(F.col("period_month") == last)
 
