@@ -135,39 +135,40 @@ def _members(docs: DataFrame, bits, width: int) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     """(node, root): the least node of each node's component; edges are (a, b).
 
-    Every round hands the least root of a node's neighbours to the node and to the root it had, then
-    jumps to the root of the root. Rounds are written to the shared folder and end when nothing
-    changes; their number follows the logarithm of a component's width.
+    In a round every end of an edge hangs on its least neighbour, chains are followed to their
+    end by repeated jumps, and edges are drawn between what their ends hang on; those inside one
+    tree are gone. So only the first round sees all edges, and a star is done in one. Every step is
+    written to the shared folder.
     """
-    both = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), label)
-    roots = nodes.select("node", F.col("node").alias("root"))
-    while True:
-        near = (
-            both.join(roots.select(F.col("node").alias("b"), "root"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("root").alias("low"))
-        )
-        offered = roots.join(near, "node").withColumn("low", F.least("low", "root"))
-        better = (
-            offered.select("node", "low")
-            .unionByName(offered.select(F.col("root").alias("node"), "low"))
-            .groupBy("node")
-            .agg(F.min("low").alias("low"))
+    labels = nodes.select("node", F.col("node").alias("root"))
+    left = kept(edges.where("a <> b").select("a", "b"), label)
+    while not left.isEmpty():
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hung = kept(
+            ends.groupBy(F.col("a").alias("node"))
+            .agg(F.min("b").alias("low"))
+            .select("node", F.least("node", "low").alias("to")),
+            label,
         )
-        hung = roots.join(better, "node", "left").select(
-            "node", F.col("root").alias("was"), F.least("root", F.coalesce("low", "root")).alias("root")
+        moved = True
+        while moved:
+            above = hung.select(F.col("node").alias("to"), F.col("to").alias("top"))
+            jumped = kept(hung.join(above, "to"), label)
+            moved = not jumped.where("top <> to").isEmpty()
+            hung = jumped.select("node", F.col("top").alias("to"))
+        roots = hung.withColumnRenamed("node", "root")
+        labels = kept(
+            labels.join(roots, "root", "left").select("node", F.coalesce("to", "root").alias("root")),
+            label,
         )
-        hung = kept(hung, label)
-        top = hung.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        moved = kept(
-            hung.join(top, "root", "left").select(
-                "node", F.coalesce("top", "root").alias("root"), "was"
-            ),
+        for end in ("a", "b"):
+            left = left.join(hung.withColumnRenamed("node", end), end).drop(end)
+            left = left.withColumnRenamed("to", end)
+        left = kept(
+            left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
             label,
         )
-        if moved.where("root <> was").isEmpty():
-            return moved.select("node", "root")
-        roots = moved.select("node", "root")
+    return labels
 
 
 def _compare(threshold: float):
@@ -273,13 +274,15 @@ def classes(
     buckets = met.groupBy("tree", "prefix").agg(F.min("set_id").alias("b"), F.count("*").alias("n"))
     # sides of joins are stored where a hot key must be split: that needs an exchange of their own
     buckets = kept(buckets.where("n > 1").drop("n"), "buckets")
-    edges = kept(
+    # a set's buckets have at most `trees` centres: it hangs on the least, and so do the others
+    centres = (
         met.join(buckets, ["tree", "prefix"])
-        .where("set_id <> b")
-        .select(F.col("set_id").alias("a"), "b")
-        .distinct(),
-        "candidates",
+        .groupBy("set_id")
+        .agg(F.collect_set("b").alias("centres"))
+        .withColumn("b", F.array_min("centres"))
     )
+    hung = centres.select(F.explode(F.array_union(F.array("set_id"), "centres")).alias("a"), "b")
+    edges = kept(hung.where("a <> b").distinct(), "candidates")
     nodes = kept(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     clusters = components(edges, nodes, "clusters")
     # blocks by hash, so that a cluster of any size is dealt out evenly without ranking it
@@ -315,11 +318,8 @@ def classes(
     forest = compared.where("other is not null").select(
         F.col("set_id").alias("a"), F.col("other").alias("b")
     )
-    joined = components(
-        forest,
-        forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(),
-        "classes",
-    )
+    linked = kept(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "linked")
+    joined = components(forest, linked, "classes")
     classed = kept(
         sets.join(joined, sets["set_id"] == joined["node"], "left")
         .select("set_id", "least", "copies", F.coalesce("root", "set_id").alias("root"))

@@ -86,6 +86,23 @@ def test_clusters_larger_than_a_block(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_components_of_stars_chains_and_loops(spark):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (300, 301), (301, 300)]
+    edges += [(rng.randrange(400, 460), rng.randrange(400, 460)) for _ in range(40)]
+    nodes = sorted({x for e in edges for x in e} | {999})
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = neardup.components(
+        spark.createDataFrame(edges, "a long, b long"),
+        spark.createDataFrame([(n,) for n in nodes], "node long"),
+        "test",
+    )
+    assert {r["node"]: r["root"] for r in got.collect()} == root
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.classes(docs).collect() == []
