@@ -8,10 +8,11 @@ with them, and one anchor in about a hundred bytes is enough.
 1. Every anchor gives a fingerprint of the bytes to its left and one of those to its right; one
    of the two lies inside any window of the anchor. Fingerprints seen at one place only are out.
 2. The others give their context, `LENGTH` bytes to either side. Equal contexts become one.
-3. Sampled splitters range-partition the contexts by their suffix; each bucket sorts its suffixes
-   and the reversed prefixes by multikey quicksort, eight bytes at a time, and common prefixes of
-   neighbours tell which windows two contexts share. Windows whose classes may go on beyond a
-   bucket's first or last suffix are compared across buckets by their hash.
+3. Sampled splitters range-partition the contexts by the first bytes of their suffix, and those
+   of a lead with more than `BUCKET` contexts by the whole suffix. Each bucket sorts its suffixes and the
+   reversed prefixes by multikey quicksort, eight bytes at a time, and common prefixes of
+   neighbours tell which windows two contexts share. Where splitters cut through such a lead, windows
+   whose classes may go on beyond the bucket are compared across buckets by their hash.
 4. The widest shared windows of an anchor are removed around every place that has its context.
 
 A third of all texts may be copies of one, or share one passage: copies fold into one context before
@@ -32,7 +33,7 @@ from outlay.llm.words import BASE, byte_values, chunks, mixed, powers
 
 LENGTH = 200
 GRAM = 8
-BUCKET = 20_000
+BUCKET = 50_000
 
 
 class Anchors:
@@ -210,7 +211,7 @@ def _matrix(contexts: list[bytes], left: np.ndarray, length: int):
 
 
 def _shared(length: int):
-    """A bucket of distinct contexts (id, context, left): the widest window shared inside it, as
+    """A bucket of distinct contexts (id, context, left, wide): the widest window shared inside it, as
     (id, before, after), and window hashes for classes that may reach beyond the bucket."""
 
     def shared(batches):
@@ -234,12 +235,17 @@ def _shared(length: int):
         last = np.zeros(n, dtype=np.int64)
         last[by_suffix[-1]] = right[by_suffix[-1]]
         last[by_suffix[:-1]] = np.minimum.accumulate(suffix_lcp[:0:-1])[::-1]
-        edge = np.maximum(edge, last)
-        # prefix sums hash any part of a context
-        hasher = Anchors(length)
-        flat = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-        starts = np.concatenate([[0], np.cumsum(left + right)])[:-1] + left
-        sums = hasher.sums(flat)
+        # only a wide lead is cut by a splitter
+        edge = np.maximum(edge, last) * table["wide"].to_numpy()
+        # of contexts whose classes may go on elsewhere, prefix sums hash any part
+        asked = np.flatnonzero(edge >= GRAM)
+        hasher, row_of = Anchors(length), np.full(n, -1)
+        row_of[asked] = np.arange(len(asked))
+        sums = np.zeros((len(asked), 2 * length + 1), dtype=np.uint64)
+        up, down = powers(2 * length, BASE), powers(2 * length + 1, hasher.inverse)
+        for i, j in enumerate(asked.tolist()):
+            raw = np.frombuffer(contexts[j], dtype=np.uint8)
+            np.cumsum(hasher.values[raw] * up[: len(raw)], out=sums[i, 1 : len(raw) + 1])
         most, least = np.full(n, -1, dtype=np.int64), np.full(n, length + 1, dtype=np.int64)
         for r in range(GRAM, length + 1):
             fits = (right >= r) & (left >= length - r)
@@ -248,14 +254,18 @@ def _shared(length: int):
             prefix_class[by_prefix] = np.cumsum(prefix_lcp < length - r)
             mine = np.flatnonzero(fits)
             both = suffix_class[mine] * np.int64(n + 1) + prefix_class[mine]
-            _, where, uses = np.unique(both, return_inverse=True, return_counts=True)
+            _, one, where, uses = np.unique(
+                both, return_index=True, return_inverse=True, return_counts=True
+            )
             again = mine[uses[where] > 1]
             most[again] = r
             least[again] = np.minimum(least[again], r)
-            open_ = np.flatnonzero(fits & (edge >= r))
+            # one of each class of equal windows stands for it in other buckets
+            open_ = mine[one]
+            open_ = open_[edge[open_] >= r]
             if len(open_):
-                a = starts[open_] - (length - r)
-                hashed = mixed((sums[a + length] - sums[a]) * hasher.down[a] + np.uint64(r))
+                i, a = row_of[open_], left[open_] - (length - r)
+                hashed = mixed((sums[i, a + length] - sums[i, a]) * down[a] + np.uint64(r))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[i] for i in open_.tolist()], pa.binary()),
@@ -305,8 +315,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     size = distinct.count()
     parts = max(1, -(-size // BUCKET))
-    suffix = F.expr("substring(context, left + 1)")
-    dealt = distinct.select("id", "context", "left").repartitionByRange(parts, suffix, "id")
+    lead, suffix = (F.expr(f"substring(context, left + 1{n})") for n in (f", {GRAM}", ""))
+    wide = kept(
+        distinct.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET),
+        "wide-leads",
+    )
+    dealt = (
+        distinct.select("id", "context", "left", lead.alias("lead"))
+        .join(wide.withColumn("wide", F.lit(True)).drop("n"), "lead", "left")
+        .withColumn("wide", F.coalesce("wide", F.lit(False)))
+        .repartitionByRange(parts, "lead", F.when(F.col("wide"), suffix), F.when(F.col("wide"), F.col("id")))
+        .select("id", "context", "left", "wide")
+    )
     shared = kept(
         dealt.mapInArrow(_shared(length), "id binary, before int, after int, window long"), "shared"
     )
@@ -341,7 +361,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _cut(names: list[str], fields: list[str], length: int):
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, len(b), 512)):
             texts = batch.column(len(names)).to_pylist()
             spans = batch.column(len(names) + 1).to_pylist()
             copied = batch.column(len(names) + 2).to_pylist()
