@@ -2,7 +2,9 @@
 
 DataFrame functions only. A pattern's matches and the gaps between them give code point offsets.
 Every kind has a score; a checksum that holds and a word of the kind's context within
-`NEARBY` characters before the match add to it, and a match counts at `ACCEPT`. The four base
+`NEARBY` characters before or after the match add to it, and a match counts at `ACCEPT`. Account
+numbers have the length of their country and short cards end where Luhn holds, so what stands behind
+them does not matter; both are proposed at every place, since a wrong stretch may begin before the number. The four base
 kinds (email, ip, card, phone) are accepted by their own checks whatever is nearby. Possessive
 patterns and \\G keep matching linear and free of recursion on long texts.
 """
@@ -87,6 +89,10 @@ class Kind:
     checksum: Callable[[Column], Column] | None = None
     context: str = ""
     context_score: float = 0.3
+    #: The pattern takes one character and holds the match, which may reach over the next, in group 1.
+    ahead: bool = False
+    #: Patterns of what else a match may be, from its start; the first with a valid checksum counts.
+    shorter: tuple[str, ...] = ()
 
 
 BASE_KINDS = (
@@ -120,27 +126,56 @@ BASE_KINDS = (
     ),
 )
 
+#: Lengths of account numbers by country: the ISO 13616 registry and countries that use the form without it.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+IBAN = "|".join(
+    rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}"
+    for length, countries in IBAN_LENGTHS.items()
+)
+
 #: Kinds beyond the base: a checksum or a context word must carry them over ACCEPT.
 MORE_KINDS = (
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({IBAN})(?![A-Za-z0-9]))[A-Z]",
         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
         lambda m: F.lit(True),
         0.4,
         0.5,
         mod97,
         r"(?i)\b(iban|account|konto|cuenta|compte)\b",
+        ahead=True,
     ),
     Kind(
         "short_card",
-        r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])",
+        r"(?<![0-9])(?=([0-9](?:[\x20-]?[0-9]){12,14})(?![0-9]))[0-9]",
         lambda t: t.rlike(r"[0-9]"),
         lambda m: F.lit(True),
         0.2,
         0.4,
         luhn,
         r"(?i)\b(card|visa|amex|credit|karte|tarjeta|carte)\b",
+        ahead=True,
+        shorter=tuple(rf"^[0-9](?:[\x20-]?[0-9]){{{n}}}(?![0-9])" for n in (13, 12)),
     ),
     Kind(
         "social_number",
@@ -163,7 +198,7 @@ MORE_KINDS = (
 
 def spans_of(text: Column, kind: Kind) -> Column:
     """Accepted spans of one kind, in order of their start."""
-    match = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    match = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.ahead else 0))
     gaps = F.split(text, kind.pattern, -1)
     placed = F.aggregate(
         F.arrays_zip(gaps.alias("gap"), match.alias("hit")),
@@ -173,7 +208,7 @@ def spans_of(text: Column, kind: Kind) -> Column:
         ),
         lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(
             F.struct(
-                (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
+                (acc["at"] + F.length(x["gap"]) + (1 if kind.ahead else F.length(x["hit"]))).alias("at"),
                 F.concat(
                     acc["found"],
                     F.array(
@@ -189,21 +224,39 @@ def spans_of(text: Column, kind: Kind) -> Column:
         lambda acc: acc["found"],
     )
 
+    def cut(x: Column) -> Column:
+        ends = F.array(x["hit"], *[F.regexp_extract(x["hit"], p, 0) for p in kind.shorter])
+        sound = F.filter(ends, lambda e: (F.length(e) > 0) & kind.checksum(e))
+        hit = F.coalesce(F.get(sound, F.lit(0)), x["hit"])
+        return F.struct(hit.alias("hit"), x["start"], (x["start"] + F.length(hit)).alias("end"))
+
     def scored(x: Column) -> Column:
         score = F.lit(kind.base_score)
         if kind.checksum:
             score = score + F.when(kind.checksum(x["hit"]), kind.checked_score).otherwise(0.0)
         if kind.context:
             low = F.greatest(x["start"] - NEARBY, F.lit(0))
-            near = F.substring(text, low + 1, x["start"] - low)
+            before = F.substring(text, low + 1, x["start"] - low)
+            near = F.concat(before, F.lit("\n"), F.substring(text, x["end"] + 1, F.lit(NEARBY)))
             score = score + F.when(near.rlike(kind.context), kind.context_score).otherwise(0.0)
         return F.struct(
             F.lit(kind.name).alias("kind"), x["start"], x["end"], score.alias("score")
         )
 
+    if kind.shorter:
+        placed = F.transform(placed, cut)
     valid = F.filter(placed, lambda x: kind.valid(x["hit"]))
     accepted = F.filter(F.transform(valid, scored), lambda s: s["score"] >= ACCEPT - 1e-9)
     nothing = F.array().cast(SPAN)
+    if kind.ahead:  # of spans that overlap the first counts
+        accepted = F.aggregate(
+            accepted.cast(SPAN),
+            nothing,
+            lambda acc, s: F.when(
+                (F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"]),
+                F.concat(acc, F.array(s)),
+            ).otherwise(acc),
+        )
     return F.when(kind.hint(text), accepted.cast(SPAN)).otherwise(nothing)
 
 

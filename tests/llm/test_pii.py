@@ -100,6 +100,47 @@ def test_checksums_and_context_carry_further_kinds(spark):
     assert [more[i] for i in (1, 2, 4, 6, 8)] == [""] * 5
 
 
+def test_numbers_hold_whatever_stands_around_them(spark):
+    texts = [
+        "DE89370400440532013000 The rest",
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFF",
+        "GB82 WEST 1234 5698 7654 32 2024",
+        "AT12 DE89 3704 0044 0532 0130 00 AND NO91 MORE",
+        "amex card 378282246310005 2027",
+        "card 3782 822463 10005 12/27",
+        "card 12 3782 822463 10005-2027",
+        "card 30569309025904 2027 and 4222222222222 1",
+        "378282246310005 is my card",
+        "123-45-6789 is my SSN",
+        "(212) 555-0187 (mobile)",
+        "123-45-6789" + " " * 41 + "ssn",
+        "DE89370400440532013000A and DE8937040044053201300 0A",
+        "é😀 NO93 8601 1117 947 MT84 MALT 0110 0001 2345 MTLC AST0 01S END",
+    ]
+    more = {i: m for i, (_, m) in found(spark, texts).items()}
+    assert [more[i] for i in range(len(texts))] == [
+        "iban:0:22",
+        "iban:0:27",
+        "iban:0:27",
+        "iban:5:32",
+        "short_card:10:25",
+        "short_card:5:22",
+        "short_card:8:25",
+        "short_card:5:19,short_card:29:42",
+        "short_card:0:15",
+        "social_number:0:11",
+        "local_phone:0:14",
+        "",
+        "",
+        "iban:3:21,iban:22:60",
+    ]
+    docs = spark.createDataFrame([(0, texts[5]), (1, texts[13])], "doc_id int, text string")
+    assert [r["text"] for r in pii.redacted(docs).orderBy("doc_id").collect()] == [
+        "card [SHORT_CARD] 12/27",
+        "é😀 [IBAN] [IBAN] END",
+    ]
+
+
 def test_redaction_merges_overlaps_and_keeps_other_columns(spark):
     docs = spark.createDataFrame(
         [(1, "x +1 (555) 010-9999 y a@b.co", 5), (1, None, 6), (None, "", 7)],
