@@ -54,12 +54,15 @@ TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".spli
 SCOPES = frozenset("table td th caption html template object".split())
 MAX_DEPTH = 200
 
+#: An attribute as the standard reads it: a quote opens a string right after "=" only.
+NAME = r"=?[^\s/>=]++|="
+VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])[^\s>]*+"
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|"
-    r"</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
+    rf"</?([A-Za-z][^\s/>]*)((?:[\s/]++|(?:{NAME})(?:\s*+=\s*+(?:{VALUE}))?+)*+)(>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+ATTRIBUTE = re.compile(rf"({NAME})(?:\s*+=\s*+({VALUE}))?+")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -106,6 +109,8 @@ def parsed(html: str) -> Node:
         at = found.end()
         if not found[1]:
             continue
+        if not found[3]:  # a tag that the page ends in
+            break
         name = found[1].lower()
         if html[found.start() + 1] == "/":
             if name == "br":

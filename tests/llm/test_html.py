@@ -59,6 +59,21 @@ def test_broken_markup():
     assert show(None) == show("") == show("   ") == ""
 
 
+def test_quotes_open_strings_only_after_equals():
+    assert show("<p title=it's>one two three</p><p>four isn't five</p>") == "one two three\n\nfour isn't five"
+    assert show('<a href="x"">one</a> "two" <b>three</b>') == 'one "two" three'
+    assert show("<p don't>a</p><p 'b>c' d</p>") == "a\n\nc' d"
+    assert show("<i title = 'a>b'class=\"c>d\">e</i> <i a==f'>g</i> <i h= >j</i>") == "e g j"
+    assert show("a<i title=\"b'c\" hidden>d</i><img alt=e'f>") == "ae'f"
+    assert show("<img alt=\"it's\"><img / =x' alt='&quot;y'>") == "it's\"y"
+    assert show("a<img alt='b") == "a"
+    assert H.attributes_of(" a=x/y?b=c b='d'e f =\ng h=it's =i") == {
+        "a": "x/y?b=c", "b": "d", "e": "", "f": "g", "h": "it's", "=i": "",
+    }
+    long = "<p" + " a=b'" * 100000
+    assert show(long) == "" and show(long + ">x") == "x"
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000 + "y"
     assert show(deep).split() == ["x", "y"]
