@@ -22,18 +22,31 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe noembed noframes object audio video canvas svg math "
-    "datalist dialog title meta link textarea select".split()
+    "head script style template noscript iframe noembed noframes object audio video canvas datalist title "
+    "meta link textarea annotation annotation-xml mphantom".split()
+)
+#: What may stand in a head; anything else ends it.
+HEADS = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: Parts of a drawing that are not drawn where they stand.
+UNDRAWN = frozenset(
+    "title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter "
+    "style script".split()
+)
+#: HTML inside these parts of drawings and formulas does not end them; elsewhere these elements do.
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+    "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset(
-    "address article aside body center dd details dir div dt fieldset figcaption footer form header "
+    "address article aside body center dd details dialog dir div dt fieldset figcaption footer form header "
     "hgroup html legend li main menu nav optgroup option search section summary caption thead tbody "
     "tfoot tr".split()
 )
 #: An open element of the value is closed by the start of the key's elements.
 CLOSES_PARAGRAPH = PARAGRAPHS | frozenset(
-    "address article aside center details dir div fieldset figcaption footer form header hgroup main "
+    "address article aside center details dialog dir div fieldset figcaption footer form header hgroup main "
     "menu nav search section summary".split()
 )
 IMPLIED = {
@@ -63,7 +76,8 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(rf"({NAME})(?:\s*+=\s*+({VALUE}))?+")
-NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z-]+)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -99,13 +113,18 @@ def parsed(html: str) -> Node:
             if stack[i].tag in stop:
                 return
 
+    def say(text: str) -> None:
+        if stack[-1].tag == "head" and not text.isspace():
+            stack.pop()
+        stack[-1].children.append(unescape(text))
+
     while at < n:
         found = TAG.search(html, at)
         if not found:
-            stack[-1].children.append(unescape(html[at:]))
+            say(html[at:])
             break
         if found.start() > at:
-            stack[-1].children.append(unescape(html[at : found.start()]))
+            say(html[at : found.start()])
         at = found.end()
         if not found[1]:
             continue
@@ -121,6 +140,13 @@ def parsed(html: str) -> Node:
                 close({name}, {"table"} - {name} if name in TABLE_PARTS else SCOPES)
             continue
         raw = found[2]
+        if name in BREAKOUT or (name == "font" and {"color", "face", "size"} & attributes_of(raw).keys()):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in INTEGRATION:
+                    break
+                if stack[i].tag in ("svg", "math"):
+                    del stack[i:]
+                    break
         if name in ("html", "body"):
             stack[-1].attributes.update(attributes_of(raw))
             close({"head"}, frozenset())
@@ -134,13 +160,15 @@ def parsed(html: str) -> Node:
             names = set(closed.split())
             while any(e.tag in names for e in _since(stack, stop)):
                 close(names, stop)
-        if name == "body" or (name in BLOCKS and any(e.tag == "head" for e in stack)):
-            close({"head"}, frozenset())
+        if name in ("input", "textarea", "select"):
+            close({"select"}, SCOPES)
+        if stack[-1].tag == "head" and name not in HEADS:
+            stack.pop()
         node = Node(name, attributes_of(raw) if raw.strip() else {})
         stack[-1].children.append(node)
         if name in VOID:
             continue
-        if name in RAW:
+        if name in RAW and not (raw.endswith("/") and any(e.tag in ("svg", "math") for e in stack)):
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
             text = html[at : end.start() if end else n]
             node.children.append(unescape(text) if name in ("textarea", "title") else text)
@@ -169,7 +197,24 @@ def hidden(node: Node) -> bool:
         return True
     if a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type") == "hidden"):
         return True
-    return "style" in a and NO_DISPLAY.search(a["style"]) is not None
+    if node.tag == "dialog" and "open" not in a:
+        return True
+    return "style" in a and DISPLAY.findall(a["style"].lower())[-1:] == ["none"]
+
+
+def without_unseen(node: Node, seen: bool = True) -> Node:
+    """The tree without the text of invisible elements; visible ones inside them keep theirs."""
+    kept: list[Node | str] = []
+    for child in node.children:
+        if isinstance(child, str):
+            if seen:
+                kept.append(child)
+            continue
+        said = VISIBILITY.findall(child.attributes.get("style", "").lower())[-1:]
+        own = seen if not said or said[0] in ("inherit", "unset") else said[0] not in ("hidden", "collapse")
+        if own or child.tag not in ("img", "input", "br"):
+            kept.append(without_unseen(child, own))
+    return Node(node.tag, node.attributes, kept)
 
 
 def width_of(text: str) -> int:
@@ -270,6 +315,15 @@ def element(node: Node, into: Lines, pre: bool) -> None:
     elif tag == "input":
         if value := node.attributes.get("value", "").strip():
             into.text(value)
+    elif tag == "select":
+        for option in chosen(node):
+            apart(option, into)
+    elif tag == "svg":
+        drawing(node, into)
+    elif tag in ("mfrac", "mroot", "mtd"):
+        for child in [node] if tag == "mtd" else node.children:
+            if isinstance(child, Node):
+                apart(child if tag == "mtd" else Node("mrow", {}, [child]), into)
     elif tag == "hr":
         into.gap()
     elif tag == "table":
@@ -296,6 +350,40 @@ def element(node: Node, into: Lines, pre: bool) -> None:
         render(node, into, pre)
 
 
+def apart(node: Node, into: Lines) -> None:
+    """Render an element's children as words of their own."""
+    into.text(" ")
+    render(node, into)
+    into.text(" ")
+
+
+def chosen(select: Node) -> list[Node]:
+    """Options that are shown: all of a list box, the one marked as selected of a menu."""
+    options: list[Node] = []
+
+    def gather(node: Node) -> None:
+        for child in node.children:
+            if isinstance(child, Node) and not hidden(child):
+                options.append(child) if child.tag == "option" else gather(child)
+
+    gather(select)
+    a = select.attributes
+    if "multiple" in a or re.fullmatch(r"0*(?:[2-9]|[1-9][0-9]+)", a.get("size", "").strip()):
+        return options
+    return [o for o in options if "selected" in o.attributes][-1:]
+
+
+def drawing(node: Node, into: Lines) -> None:
+    """The texts of a drawing, each as words of its own, and pages embedded in it."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag in UNDRAWN or hidden(child):
+            continue
+        if child.tag in ("text", "foreignobject"):
+            apart(child, into)
+        else:
+            drawing(child, into)
+
+
 def block_lines(node: Node, pre: bool = False) -> list[str]:
     own = Lines()
     render(node, own, pre)
@@ -322,7 +410,7 @@ def list_lines(node: Node) -> list[str]:
 
 
 def rows_of(node: Node) -> tuple[list[str], list[list[Node]]]:
-    """Caption lines, and rows of cells of a table and its row groups."""
+    """Caption lines with what stands outside cells, and rows of cells of a table and its row groups."""
     caption, rows = [], []
     loose: list[Node] = []
     for child in node.children:
@@ -332,6 +420,9 @@ def rows_of(node: Node) -> tuple[list[str], list[list[Node]]]:
         elif hidden(child):
             continue
         elif child.tag == "tr":
+            for stray in child.children:
+                if isinstance(stray, str) and stray.strip():
+                    caption += block_lines(Node("div", {}, [stray]))
             rows.append([c for c in child.children if isinstance(c, Node) and not hidden(c)])
         elif child.tag in ("thead", "tbody", "tfoot"):
             more, inner = rows_of(child)
@@ -375,10 +466,13 @@ def table_lines(node: Node) -> list[str]:
 
 
 def visible_text(html: str | None) -> str:
-    """All text a page shows, laid out in lines; empty for null."""
+    """The text a page shows, laid out in lines; empty for null."""
     if not html:
         return ""
-    return "\n".join(block_lines(parsed(html.replace("\x00", ""))))
+    page = parsed(html.replace("\x00", ""))
+    if "visibility" in html.lower():
+        page = without_unseen(page)
+    return "\n".join(block_lines(page))
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

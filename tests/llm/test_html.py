@@ -74,6 +74,34 @@ def test_quotes_open_strings_only_after_equals():
     assert show(long) == "" and show(long + ">x") == "x"
 
 
+def test_what_browsers_show_is_kept():
+    assert show("<table><tr>stray<td>cell</table>") == "stray\ncell"
+    assert show("<table><tbody><tr><td>a</td> b <td>c</tr>d</table>e") == "b\nd\na  c\n\ne"
+    assert show("<math><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> b") == "a= 1 2 b"
+    assert show("<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>") == "x"
+    assert show("a<svg>no<title>t</title><g><text>b<tspan>c</tspan></text><text>d</text></g></svg>e") == "a bc d e"
+    assert show("<svg><style/><defs><text>no</text></defs><path d=x/><text>b</text></svg>c") == "b c"
+    assert show("<svg><foreignObject><p>a</p></foreignObject></svg><svg><g><p>b") == "a\n\nb"
+    assert show("a<dialog open>b</dialog><dialog>c</dialog>d") == "a\nb\nd"
+    assert show("<select><option>a<option selected>b<option>c</select>d") == "b d"
+    assert show("<select multiple><option>a<option>b</select><select size=2><option>c</select>d") == "a b c d"
+    assert show("<select><option>a<input value=b>c") == "bc"
+
+
+def test_visibility_is_not_display():
+    assert show("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</p>d") == "b\n\nd"
+    assert show("<div style='display:none'>a<b style='visibility:visible'>b</b></div>c") == "c"
+    assert show("<i style='visibility:hidden;visibility:visible'>a</i><i style='display:none;display:inline'>b</i>") == "ab"
+    assert show("<div style='VISIBILITY:Collapse'><img alt=a><i style=visibility:inherit>b</i></div>c") == "c"
+
+
+def test_heads_end_at_what_does_not_belong_there():
+    assert show("<head><title>t</title>Hello <b>world</b>") == "Hello world"
+    assert show("<head> <title>t</title><b>Hello</b> world</head>!") == "Hello world!"
+    assert show("<head><meta charset=x><style>s</style> <noscript><p>n</p></noscript></head>a") == "a"
+    assert show("<html><head><script>x</script><img alt=a>b") == "ab"
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000 + "y"
     assert show(deep).split() == ["x", "y"]
