@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard join by banded MinHash LSH, verified exactly.
 
 Texts become sets of five-word shingles; equal sets form one class at once. Every distinct set has
-in each of `TREES` prefix tries a label of `DEPTH` minhash values. Sets that share a prefix
-of a label meet; the prefix starts at full depth and is shortened level by level until a pair at the
-threshold meets in some trie with the target probability. Meeting sets are linked to one of their
-bucket, which gives candidate clusters. Within a cluster all sets are compared exactly by their
+in each of `TREES` bands one key of its minhash values, and sets with equal keys meet. This is not an LSH
+forest: the number of values in a key is one constant of the parameters, the most up to `DEPTH` at which
+a pair at the threshold meets in some band with the target probability, and does not follow what the data
+match. Meeting sets are linked to one of their bucket, which gives candidate clusters. Within a cluster all sets are compared exactly by their
 shingles, in blocks of `BLOCK` sets, so no task holds more than two blocks and no pair leaves a task:
 blocks return the number of links of each set and a spanning forest of the links.
 """
@@ -32,7 +32,7 @@ def meeting_probability(similarity: float, trees: int, depth: int) -> float:
 
 
 def matched_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix at which pairs at the threshold meet with the target recall."""
+    """The most values in a key at which pairs at the threshold meet with the target recall."""
     while depth > 1 and meeting_probability(threshold, trees, depth) < recall:
         depth -= 1
     return depth
@@ -61,7 +61,7 @@ def _set_ids(hashed: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 
 
 def _signatures(hashed: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Keys of the label prefixes: one 64-bit value per nonempty set and trie."""
+    """Keys of the bands: one 64-bit value per nonempty set and band."""
     starts = bounds[:-1][np.diff(bounds) > 0]
     keys = np.zeros((len(starts), trees), dtype=np.uint64)
     for tree in range(trees):
