@@ -5,8 +5,8 @@ item its k smallest shingle hashes, k = floor((1 - threshold) * largest size of
 document that contains a share of `threshold` of an item misses at most k - 1 of its shingles,
 so it meets one of these minima for sure, however long it is; a fixed banded signature of a whole
 long document would miss short items. Documents are read once and give only shingles that pass
-a bit set of the item shingles. Pairs that meet in a minimum are verified by counting the item's
-shingles, as text, in the document.
+a bit set of the item shingles. Documents are joined with the minima alone; the pairs that meet are
+verified by counting the item's shingles, as text, in the document.
 """
 
 from __future__ import annotations
@@ -78,6 +78,12 @@ def item_minima(items: DataFrame, threshold: float = THRESHOLD, width: int = WID
     return sized.withColumn("minimum", rank <= minima)
 
 
+def candidates(hits: DataFrame, minima: DataFrame) -> DataFrame:
+    """Pairs (doc_id, text_key, item_id) of a document and an item of which it has a minimum."""
+    least = minima.where("minimum").select("item_id", "shingle")
+    return hits.join(least, "shingle").select("doc_id", "text_key", "item_id").distinct()
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 ) -> DataFrame:
@@ -98,18 +104,24 @@ def contained_items(
         width,
         bits,
     )
+    hits = kept(hits.select(F.col("row_id").alias("doc_id"), "text_key", "shingle").distinct(), "hits")
+    asked, spelled, given = candidates(hits, minima).alias("c"), minima.alias("i"), hits.alias("h")
+    sought = asked.join(spelled, F.col("c.item_id").eqNullSafe(F.col("i.item_id"))).select(
+        "c.doc_id", "c.text_key", "c.item_id", "n_item", "shingle"
+    )
+    same = (
+        F.col("s.doc_id").eqNullSafe(F.col("h.doc_id"))
+        & (F.col("s.text_key") == F.col("h.text_key"))
+        & (F.col("s.shingle") == F.col("h.shingle"))
+    )
     shared = (
-        hits.select(F.col("row_id").alias("doc_id"), "text_key", "shingle")
-        .distinct()
-        .join(minima, "shingle")
+        sought.alias("s")
+        .join(given, same, "left_semi")
         .groupBy("doc_id", "text_key", "item_id", "n_item")
-        .agg(F.count("*").alias("n_shared"), F.max("minimum").alias("met"))
+        .agg(F.count("*").alias("n_shared"))
     )
-    return (
-        shared.where("met")
-        .withColumn("containment", F.col("n_shared") / F.col("n_item"))
-        .where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
-        .drop("met")
+    return shared.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(
+        F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9
     )
 
 

@@ -56,6 +56,21 @@ def test_items_whole_partly_and_short(spark):
     assert found(spark, docs, items) == want
 
 
+def test_only_minima_make_candidates(spark):
+    rng = random.Random(9)
+    common = "the end of the text"  # its hash is no minimum of most items
+    items = [(i, common + "".join(f" w{rng.randrange(10**6)}" for _ in range(40))) for i in range(40)]
+    docs = [(d, f"x{d} {common} y{d}") for d in range(20)] + [(99, items[7][1])]
+    frame, given = frames(spark, docs, items)
+    minima = D.item_minima(given)
+    said = [(d, bytes(16), " ".join(s).encode()) for d, t in docs for s in shingle_set(t)]
+    hits = spark.createDataFrame(said, "doc_id long, text_key binary, shingle binary")
+    of_common = minima.where("minimum and shingle = cast('the end of the text' as binary)").count()
+    got = {(r["doc_id"], r["item_id"]) for r in D.candidates(hits, minima).collect()}
+    assert (99, 7) in got and len(got) <= 1 + 21 * of_common and of_common < 40
+    assert found(spark, docs, items) == brute(docs, items) == {(99, 7, 41, 41)}
+
+
 def test_clean_documents_keep_all_columns_and_rows(spark):
     item = "a b c d e f g h"
     docs = [(1, "x " + item), (1, "x y z"), (1, "x y z"), (None, item), (None, "fine"), (2, None)]
