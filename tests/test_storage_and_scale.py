@@ -13,7 +13,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SMALL
 from outlay.functions.ordering import (
     exact_quantile,
     percent_rank,
@@ -199,7 +198,7 @@ def test_copies_of_a_line_weigh_in_the_trees(spark):
     assert min(r["hot"] for r in rows) > 15
 
 
-def test_forest_runs_where_workers_lack_the_library(spark, tmp_path):
+def test_forest_runs_where_workers_lack_the_library(small, tmp_path):
     """The functions shipped to workers name nothing of this library."""
     script = f"""
 import os, sys
@@ -208,7 +207,7 @@ sys.path.insert(0, {str(ROOT)!r})
 import __spark_entry__ as entry
 from outlay.session import build_session
 spark = build_session("local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
-print("ROWS", entry.queries()["anomaly_top50"](spark, {SMALL!r}).count())
+print("ROWS", entry.queries()["anomaly_top50"](spark, {small!r}).count())
 """
     env = {k: v for k, v in os.environ.items() if not k.startswith(("PYTHONPATH", "PYSPARK", "SPARK"))}
     done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=600)
