@@ -25,6 +25,9 @@ from outlay.sources.schemas import EXTRACTS, ORDER_BOOK
 INDIRECT_TYPES = ("ECONOMY", "STANDARD", "PROMO")
 PERCENT = "decimal(4,2)"
 
+#: What tells one line of an order from another.
+ORDER_LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
 
 def _keyed(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
@@ -81,12 +84,15 @@ class OrderBook:
         )
 
     @cached_property
-    def _lines(self) -> DataFrame:
+    def _priced(self) -> DataFrame:
+        """Order lines with their rates and amounts, by numeric keys alone."""
         cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
         per_unit = F.floor(cents * 100 / F.nullif("l_quantity", F.lit(0.0)))
         ext = F.col("l_extendedprice").cast(MONEY)
         credit = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
-        items = self.table("lineitem")
+        # a file has few row groups; one exchange on the order line gives every core its share, and
+        # grouping by order line needs no further one
+        items = self.table("lineitem").repartition(*ORDER_LINE)
         lines = items.select(
             "l_orderkey",
             "l_partkey",
@@ -105,10 +111,17 @@ class OrderBook:
         # some suppliers grant no discount, so their lines are paid above the agreed rate
         discount = F.when(F.col("l_suppkey") % 10 == 3, F.lit(0).cast(PERCENT)).otherwise(F.col("disc"))
         paid = F.round(F.col("unit") * (F.lit(1).cast(PERCENT) + F.col("tax") - discount), 4)
-        priced = lines.withColumn("act", paid.cast(RATE))
-        with_part = lookup(priced, self._parts, {"p_partkey": F.col("l_partkey")})
+        return lines.withColumn("act", paid.cast(RATE))
+
+    def _described(self, lines: DataFrame) -> DataFrame:
+        """Lines with the attributes of their part and order."""
+        with_part = lookup(lines, self._parts, {"p_partkey": F.col("l_partkey")})
         return lookup(with_part, self._orders, {"o_orderkey": F.col("l_orderkey")})
 
+    @cached_property
+    def _lines(self) -> DataFrame:
+        return self._described(self._priced)
+
     @staticmethod
     def _document(prefix: str) -> Column:
         return F.concat(F.lit(prefix), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey"))
@@ -255,46 +268,36 @@ class OrderBook:
         )
 
     def raw_purchase_orders(self) -> DataFrame:
-        lines = self._lines
-        return (
-            lines.groupBy(
-                self._document("PO-").alias("po_id"), F.col("l_linenumber").alias("po_line")
-            )
-            .agg(
-                F.min("day").alias("po_date"),
-                F.min(_keyed("SUP-", "l_suppkey")).alias("supplier_id"),
-                F.min("category_id").alias("category_id"),
-                F.min(F.when(F.col("covered"), _keyed("CTR-", "l_suppkey"))).alias("contract_id"),
-                F.min("o_orderpriority").alias("cost_center_id"),
-                F.min(self._business_unit("o_orderpriority")).alias("business_unit"),
-                F.sum("qty").cast(MONEY).alias("qty"),
-                F.max("act").alias("unit_price"),
-                F.sum("ext").cast(MONEY).alias("po_amount"),
-                F.min("o_orderstatus").alias("order_status"),
-                F.min("l_suppkey").alias("first_key"),
-            )
-            .select(
-                "po_id",
-                "po_line",
-                "po_date",
-                "supplier_id",
-                "category_id",
-                "contract_id",
-                "cost_center_id",
-                "business_unit",
-                "qty",
-                F.lit("EA").alias("uom"),
-                "unit_price",
-                "po_amount",
-                F.lit("USD").alias("currency"),
-                F.concat(
-                    F.lit("BUY-"), F.lpad((1 + F.col("first_key") % 11).cast("string"), 2, "0")
-                ).alias("buyer_id"),
-                F.when(F.col("order_status") == "F", "Closed")
-                .when(F.col("order_status") == "P", "Received")
-                .otherwise("Open")
-                .alias("status"),
-            )
+        """One row per order line, grouped by numeric keys where the lines already lie together;
+        texts come after the grouping, which is then a hash aggregation without an exchange."""
+        grouped = self._priced.groupBy(*ORDER_LINE).agg(
+            F.min("day").alias("po_date"),
+            F.max("covered").alias("covered"),
+            F.sum("qty").cast(MONEY).alias("qty"),
+            F.max("act").alias("unit_price"),
+            F.sum("ext").cast(MONEY).alias("po_amount"),
+        )
+        return self._described(grouped).select(
+            self._document("PO-").alias("po_id"),
+            F.col("l_linenumber").alias("po_line"),
+            "po_date",
+            _keyed("SUP-", "l_suppkey").alias("supplier_id"),
+            "category_id",
+            F.when(F.col("covered"), _keyed("CTR-", "l_suppkey")).alias("contract_id"),
+            F.col("o_orderpriority").alias("cost_center_id"),
+            self._business_unit("o_orderpriority").alias("business_unit"),
+            "qty",
+            F.lit("EA").alias("uom"),
+            "unit_price",
+            "po_amount",
+            F.lit("USD").alias("currency"),
+            F.concat(
+                F.lit("BUY-"), F.lpad((1 + F.col("l_suppkey") % 11).cast("string"), 2, "0")
+            ).alias("buyer_id"),
+            F.when(F.col("o_orderstatus") == "F", "Closed")
+            .when(F.col("o_orderstatus") == "P", "Received")
+            .otherwise("Open")
+            .alias("status"),
         )
 
     def raw_invoices(self) -> DataFrame:

@@ -302,3 +302,16 @@ def test_question_log_grows_with_the_turns(spark, small):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() == 83 and df.columns[0] == "period_month"
+
+
+def physical(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_lines_are_grouped_where_they_lie(spark, small):
+    """The file is dealt out once on the order line; grouping by it is a hash aggregation that
+    needs no exchange of its own."""
+    grouped = OrderBook(spark, small).raw_purchase_orders().select("po_id", "po_line", "po_amount")
+    _, plan = physical(grouped)
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
+    assert "SortAggregate" not in plan and "Sort [" not in plan and "HashAggregate" in plan
