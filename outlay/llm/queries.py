@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import chat, decontamination, html, mixing, neardup, ngrams, pii, quality, rules, suffixes
+from outlay.llm import chat, decontamination, html, interactions, mixing, neardup, ngrams, pii, quality, rules, suffixes
 from outlay.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(docs).drop("row_key", "first_of_class")
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -96,4 +100,5 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": op8_html_extraction,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op12_filter_interactions": op12_filter_interactions,
     }

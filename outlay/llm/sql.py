@@ -199,6 +199,51 @@ from d join classed using (k)
 left join (select a as k, count(*) as n_links from links group by a) using (k)
 """
 
+OP12 = """
+with letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as x,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda a: a <> '') as w,
+    min(doc_id) over (partition by coalesce(text, '')) as least
+  from documents
+), marked as (
+  select part,
+    case when len(w) < 200 then 'A' else '' end
+      || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+      || case when 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 3 * length(x) then 'C' else '' end
+      || case when regexp_matches(x, '[#$%&*|]') then 'D' else '' end
+      || case when doc_id > least then 'E' else '' end as fails,
+    doc_id in (select doc_id from labels where quality = 1 and doc_id is not null) as good,
+    doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null) as toxic
+  from d
+), g as (
+  select part, fails, count(*) as n, count(*) filter (where good) as good,
+    count(*) filter (where toxic) as toxic
+  from marked group by part, fails
+), met as (
+  select part, filter_order, step, substr(filter_order, step, 1) as f, fails, n, good, toxic,
+    length(translate(substr(filter_order, 1, step - 1), fails, '')) = step - 1 as here,
+    contains(fails, substr(filter_order, step, 1)) as failing
+  from g, orders, (select unnest(range(1, 6))::int as step)
+), r as (
+  select part, filter_order, step, f,
+    coalesce(sum(n) filter (where here and not failing), 0)::bigint as kept,
+    coalesce(sum(n) filter (where here and failing), 0)::bigint as removed,
+    coalesce(sum(n) filter (where not here and failing), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where fails = f), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where here and failing), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where here and failing), 0)::bigint as toxic_lost
+  from met group by part, filter_order, step, f
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, f))::bigint as shapley
+from r
+"""
+
 
 def all_sql() -> dict[str, str]:
     return {
@@ -208,4 +253,5 @@ def all_sql() -> dict[str, str]:
         "op4_source_mixing": OP4,
         "op5_quality_rules": OP5,
         "op9_benchmark_decontamination": OP9,
+        "op12_filter_interactions": OP12,
     }
