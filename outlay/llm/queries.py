@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import chat, decontamination, html, interactions, mixing, neardup, ngrams, pii, quality, rules, suffixes
+from outlay.llm import chat, decontamination, html, interactions, mixing, neardup, ngrams, pii, quality, rules, suffixes, warc
 from outlay.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -101,4 +105,5 @@ def queries() -> dict[str, Query]:
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op12_filter_interactions": op12_filter_interactions,
+        "op13_warc": op13_warc,
     }

@@ -244,6 +244,18 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 from r
 """
 
+OP13 = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as digest,
+    max(page_id) over (partition by coalesce(html, '')) as best
+  from pages
+)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+  case when n >= 1000 and page_id is distinct from best then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id is distinct from best then best end as refers_to
+from p
+"""
+
 
 def all_sql() -> dict[str, str]:
     return {
@@ -254,4 +266,5 @@ def all_sql() -> dict[str, str]:
         "op5_quality_rules": OP5,
         "op9_benchmark_decontamination": OP9,
         "op12_filter_interactions": OP12,
+        "op13_warc": OP13,
     }
