@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import chat, decontamination, html, interactions, mixing, neardup, ngrams, pii, quality, rules, suffixes, warc
+from outlay.llm import chat, decontamination, html, interactions, mixing, neardup, ngrams, pii, quality, repair, rules, suffixes, warc
 from outlay.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(docs).drop("row_key", "first_of_class")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.verdicts(repair.damaged(given), given)
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -104,6 +109,7 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": op8_html_extraction,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_filter_interactions": op12_filter_interactions,
         "op13_warc": op13_warc,
     }

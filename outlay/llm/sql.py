@@ -199,6 +199,91 @@ from d join classed using (k)
 left join (select a as k, count(*) as n_links from links group by a) using (k)
 """
 
+OP11 = """
+with recursive given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as place
+  from conversations
+), hurt as (
+  select *, xor(list_reduce([ascii(c) for c in string_split(place, '')], lambda crc, byte:
+      list_reduce(range(8), lambda x, bit: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end, xor(crc, byte::bigint)),
+      4294967295::bigint), 4294967295) % 20 as h
+  from given
+), rows_ as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+    case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when h = 3 then [0, 1] else [0] end) as copy
+  from hurt where h <> 0
+), numbered as (
+  select *, substr(role, 1, 1) as i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as shown,
+    row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as nr,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again
+  from rows_
+), r as (
+  select *, shown = '' as blank, shown <> '' and again as duplicate,
+    shown <> '' and not again and right(shown, 1) not in ('.', '!', '?') as truncated,
+    case when shown <> '' and not again and right(shown, 1) not in ('.', '!', '?') then 5 else 0 end as extra
+  from numbered
+), ids as (select distinct conv_id from conversations),
+dp as (
+  -- least cost (eight digits) and audit by state: nothing, system, user, assistant
+  select conv_id, 0::bigint as nr, '00000000' as e, null::varchar as s, '00000005I' as u, '00000010II' as a from ids
+  union all
+  select conv_id, nr, e, s, u, least(a, printf('%08d', substr(u, 1, 8)::int + 5) || substr(u, 9) || 'I') as a
+  from (
+    select conv_id, nr, e, s, a, least(u,
+      printf('%08d', substr(e, 1, 8)::int + 5) || substr(e, 9) || 'I',
+      printf('%08d', substr(s, 1, 8)::int + 5) || substr(s, 9) || 'I',
+      printf('%08d', substr(a, 1, 8)::int + 5) || substr(a, 9) || 'I') as u
+    from (
+      select dp.conv_id, r.nr,
+        printf('%08d', substr(e, 1, 8)::int + 2) || substr(e, 9) || 'D' as e,
+        least(printf('%08d', substr(s, 1, 8)::int + 2) || substr(s, 9) || 'D',
+          case when not blank and not duplicate and i = 's' then printf('%08d', substr(e, 1, 8)::int + extra) || substr(e, 9) || 'K' end) as s,
+        least(printf('%08d', substr(u, 1, 8)::int + 2) || substr(u, 9) || 'D',
+          case when not blank and not duplicate then printf('%08d', substr(least(e, s, a), 1, 8)::int + extra + case when i = 'u' then 0 else 1 end)
+            || substr(least(e, s, a), 9) || case when i = 'u' then 'K' else 'R' end end) as u,
+        least(printf('%08d', substr(a, 1, 8)::int + 2) || substr(a, 9) || 'D',
+          case when not blank and not duplicate then printf('%08d', substr(u, 1, 8)::int + extra + case when i = 'a' then 0 else 1 end)
+            || substr(u, 9) || case when i = 'a' then 'K' else 'R' end end) as a
+      from dp join r on r.conv_id is not distinct from dp.conv_id and r.nr = dp.nr + 1
+    )
+  )
+), counted as (
+  select conv_id, max(nr) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate,
+    count(*) filter (where truncated) as truncated
+  from r group by conv_id
+), pairs as (
+  select conv_id, count(*) filter (where nr > 1 and before || i not in ('su', 'ua', 'au')) as illegal
+  from (select conv_id, nr, i, lag(i) over (partition by conv_id order by nr) as before from r) group by conv_id
+), best as (
+  select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, least(e, a) as v
+  from ids
+  left join counted c on c.conv_id is not distinct from ids.conv_id
+  left join pairs p on p.conv_id is not distinct from ids.conv_id
+  join dp on dp.conv_id is not distinct from ids.conv_id and dp.nr = coalesce(c.n, 0)
+), letters as (
+  select conv_id, unnest(string_split(substr(v, 9), '')) as letter, generate_subscripts(string_split(substr(v, 9), ''), 1) as j
+  from best where length(v) > 8
+), placed as (
+  select *, sum((letter <> 'I')::int) over w as nr, sum((letter <> 'D')::int) over w as o
+  from letters window w as (partition by conv_id order by j)
+), out_ as (
+  select p.conv_id, j, o, letter, role, text, first_value(letter = 'K' and i = 's') over (partition by p.conv_id order by j) as with_system
+  from placed p left join r on letter <> 'I' and r.conv_id is not distinct from p.conv_id and r.nr = p.nr
+  where letter <> 'D'
+), texts as (
+  select conv_id, string_agg(case when letter = 'K' then role when (o - with_system::int) % 2 = 1 then 'user' else 'assistant' end
+      || ':' || case when letter = 'I' then '' else text end, chr(10) order by j) as t
+  from out_ group by conv_id
+)
+select b.conv_id, gaps::bigint as gaps, blank, duplicate, truncated, illegal, substr(v, 1, 8)::bigint as cost, substr(v, 9) as audit,
+  sha256(coalesce(t, '')) as repaired_sha256
+from best b left join texts on texts.conv_id is not distinct from b.conv_id
+"""
+
 OP12 = """
 with letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
 orders as (
@@ -265,6 +350,7 @@ def all_sql() -> dict[str, str]:
         "op4_source_mixing": OP4,
         "op5_quality_rules": OP5,
         "op9_benchmark_decontamination": OP9,
+        "op11_conversation_repair": OP11,
         "op12_filter_interactions": OP12,
         "op13_warc": OP13,
     }
