@@ -43,8 +43,8 @@ FILE_BYTES = 256 << 20
 #: Entries that a task sorts at a time, and that a merging task holds.
 RUN_ENTRIES = 100_000
 RANGE_ENTRIES = 200_000
-#: Bytes of an archive file that one group of entries reads.
-STRETCH = 32 << 20
+#: Packed bytes of an archive file that one group of entries reads.
+STRETCH = 8 << 20
 
 ENTRY = (
     "url_key string, at long, page_id long, kind string, record_id string, refers_id string, "
@@ -356,8 +356,11 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     shape = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in fields.split(", "))])
+    # entries are small, what they read is not: the number of tasks follows the bytes of the archives
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(total / STRETCH))
     stretch = F.shiftright("start", STRETCH.bit_length() - 1)
-    dealt = index.select("file", "start", "length").repartition("file", stretch)
+    dealt = index.select("file", "start", "length").repartition(tasks, "file", stretch)
     return dealt.sortWithinPartitions("file", "start").mapInArrow(read, fields)
 
 
