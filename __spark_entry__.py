@@ -32,8 +32,11 @@ from outlay.operators import (  # noqa: E402
     risk,
     routing,
 )
+from outlay.operators import model  # noqa: E402
 from outlay.plans.medallion import Medallion  # noqa: E402
+from outlay.plans.rolled import RolledMedallion  # noqa: E402
 from outlay.plans.star import Star  # noqa: E402
+from outlay.plans.warehouse import refresh_star, refresh_warehouse  # noqa: E402
 from outlay.sources import extracts, star, storage  # noqa: E402
 from outlay.sources.orderbook import OrderBook  # noqa: E402
 
@@ -137,8 +140,14 @@ def _extracts_folder(spark: SparkSession, sf_dir: str, leave_out: tuple[str, ...
     return folder
 
 
+def _landing(spark: SparkSession, folder: str) -> extracts.Landing:
+    return extracts.store_landed(
+        extracts.land_extracts(spark, folder, LOADED_AT), lambda name, df: storage.written(df, f"landed-{name}")
+    )
+
+
 def src_bronze_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landed = extracts.land_extracts(spark, _extracts_folder(spark, sf_dir), LOADED_AT)
+    landed = _landing(spark, _extracts_folder(spark, sf_dir)).bronze
     metadata = (
         F.max("_source_file").alias("source_file"),
         F.countDistinct("_loaded_at_utc").alias("load_times"),
@@ -147,14 +156,33 @@ def src_bronze_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, digests)
 
 
+def src_rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts with amounts that are no numbers, days that are no dates, columns in another order and
+    line feeds inside names: what landing accepts and rejects."""
+    raw = dict(_book(spark, sf_dir).raw())
+    bad_amount = F.when(F.col("invoice_line") == 7, F.concat(F.lit("about "), F.col("invoice_amount").cast("string")))
+    raw["invoices"] = raw["invoices"].withColumn(
+        "invoice_amount", bad_amount.otherwise(F.col("invoice_amount").cast("string"))
+    )
+    raw["contracts"] = raw["contracts"].withColumn(
+        "start_date", F.when(F.col("volume_commitment") % 5 == 0, "soon").otherwise(F.col("start_date").cast("string"))
+    )
+    raw["suppliers"] = raw["suppliers"].withColumn("supplier_name", F.regexp_replace("supplier_name", "#", "\n"))
+    folder = storage.new_folder(spark, "faulty-extracts")
+    extracts.write_extracts(raw, folder, backwards=("gl_actuals", "suppliers"))
+    landing = _landing(spark, folder)
+    rejected = landing.rejects.groupBy("extract").agg(F.count("record").alias("rejected"))
+    digests = _digests(landing.bronze, _MEASURED).withColumnRenamed("name", "extract")
+    return digests.join(rejected, "extract", "left").withColumn("rejected", F.coalesce("rejected", F.lit(0).cast("bigint")))
+
+
 def src_missing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _extracts_folder(spark, sf_dir, leave_out=("gl_actuals", "invoices"))
     return extracts.extract_status(spark, folder)
 
 
 def src_load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landed = extracts.land_extracts(spark, _extracts_folder(spark, sf_dir), LOADED_AT)
-    return extracts.load_manifest(landed, LOADED_AT)
+    return extracts.load_manifest(spark, _landing(spark, _extracts_folder(spark, sf_dir)), LOADED_AT)
 
 
 def src_star_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,16 +207,164 @@ def sink_replace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_folder(spark, "fact")
     name = "outlay_" + path.rsplit("-", 1)[1]
     for _ in range(2):
-        storage.replace_table(fact, name, partition_by=("period_month",), path=path)
+        storage.replace_table(fact, name, partition_by=("period_month",), folder=path)
+    version = storage.location_of(spark, name)
     spark.sql(f"drop table {name}")
     return _presented(
         spark.read.schema(fact.schema)
-        .parquet(path)
+        .parquet(version)
         .groupBy("period_month")
         .agg(F.count("*").alias("lines"), F.sum("invoice_amount").alias("spend"))
     )
 
 
+def fact_spend_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact from invoices and order lines that are stored in equal buckets."""
+    m = _medallion(spark, sf_dir)
+    path = storage.new_folder(spark, "buckets")
+    stem = "outlay_" + path.rsplit("-", 1)[1]
+    sides = {
+        "invoices": model.invoices_for_orders(m.invoices),
+        "orders": model.orders_for_invoices(m.purchase_orders),
+    }
+    stored = {
+        n: storage.replace_table(df, f"{stem}_{n}", folder=f"{path}/{n}", bucket_by=model.ORDER_BUCKETS, buckets=16)
+        for n, df in sides.items()
+    }
+    levels = model.category_levels(m.categories)
+    return _presented(model.colocated_fact(stored["invoices"], stored["orders"], levels))
+
+
+def _scratch_databases(spark: SparkSession, *names: str) -> tuple[str, dict[str, str]]:
+    folder = storage.new_folder(spark, "warehouse")
+    stem = "outlay_" + folder.rsplit("-", 1)[1]
+    return folder, {n: f"{stem}_{n}" for n in names}
+
+
+def warehouse_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two full refreshes from extracts to stored products; a digest of what is stored then."""
+    extracts_folder = _extracts_folder(spark, sf_dir)
+    folder, named = _scratch_databases(spark, "bronze", "silver", "gold", "analytics", "ml")
+    for _ in range(2):
+        refresh_warehouse(
+            spark, extracts_folder, f"{folder}/exports", CONTRACT_DAY, LOADED_AT, folder, named, buckets=16
+        )
+    measures = {
+        ("gold", "fact_spend"): "invoice_amount",
+        ("gold", "spend_cube"): "spend",
+        ("gold", "mart_monthly_executive"): "active_suppliers",
+        ("gold", "mart_supplier_performance"): "total_spend",
+        ("gold", "mart_category_spend"): "supplier_count",
+        ("gold", "mart_finance_alignment"): "budget_variance",
+        ("gold", "dim_calendar"): "date_key",
+        ("analytics", "leakage"): "rate_leakage",
+        ("analytics", "tco"): "tco",
+        ("analytics", "opportunity"): "opportunity_usd",
+        ("analytics", "pvm_category_monthly"): "spend_change",
+        ("analytics", "pvm_latest_summary"): "spend_change",
+        ("ml", "supplier_risk"): None,
+        ("silver", "data_quality_results"): "rows_passed",
+    }
+    digests = [_digest(t, spark.table(f"{named[layer]}.{t}"), m) for (layer, t), m in measures.items()]
+    return _kept_after(spark, reduce(DataFrame.unionByName, digests), "warehouse-digest", named.values())
+
+
+def _kept_after(spark: SparkSession, digest: DataFrame, label: str, databases) -> DataFrame:
+    """The digest as stored; the databases it was read from go."""
+    found = storage.written(digest, label)
+    for name in databases:
+        spark.sql(f"drop database if exists {name} cascade")
+    return found
+
+
+def star_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star stored twice with its checks and views; the views are read from another session."""
+    folder, named = _scratch_databases(spark, "star", "semantic", "semantic_store")
+    tables = _book(spark, sf_dir).star()
+    checked_at = dt.datetime.fromisoformat(LOADED_AT)
+    for _ in range(2):
+        refresh_star(spark, tables, QUALITY_DAY, checked_at, folder, named)
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "UTC")
+    views = {n: other.table(f"{named['semantic']}.{n}") for n in _VIEW_MEASURES}
+    checks = other.table(f"{named['star']}.data_quality_results")
+    digest = _digests(views, _VIEW_MEASURES).unionByName(_digest("data_quality_results", checks, "row_count"))
+    return _kept_after(spark, digest, "star-digest", named.values())
+
+
+def _rolled(spark: SparkSession, sf_dir: str) -> RolledMedallion:
+    m = _medallion(spark, sf_dir)
+    rolled = RolledMedallion(
+        m.bronze, CONTRACT_DAY, m.fact, lambda name, df: storage.written(df, f"rolled-{name}")
+    )
+    rolled.dim_supplier = m.dim_supplier
+    return rolled
+
+
+def rollup_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of all products that are derived from the sums of one pass over the fact."""
+    m = _rolled(spark, sf_dir)
+    return _digests(
+        {
+            "spend_cube": m.cube,
+            "mart_monthly_executive": m.monthly,
+            "mart_supplier_performance": m.performance,
+            "mart_category_spend": m.category_spend,
+            "leakage": m.leakage,
+            "tco": m.tco,
+            "opportunity": m.opportunity,
+            "pvm_category_monthly": m.pvm,
+        },
+        {
+            "spend_cube": "spend",
+            "mart_monthly_executive": "active_suppliers",
+            "mart_supplier_performance": "rate_leakage",
+            "mart_category_spend": "supplier_count",
+            "leakage": "off_contract_spend",
+            "tco": "tco",
+            "opportunity": "opportunity_usd",
+            "pvm_category_monthly": "spend_change",
+        },
+    )
+
+
+def _faulty_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables before conforming in which every declared rule fails for some rows."""
+    raw = _book(spark, sf_dir).raw()
+    lines, text = F.col("invoice_line"), F.col("category_id")
+    return {
+        "silver_suppliers": raw["suppliers"].withColumn(
+            "supplier_name", F.when(F.col("payment_terms_days") < 90, F.col("supplier_name"))
+        ),
+        "silver_invoices": raw["invoices"].withColumn("po_id", F.when(lines != 6, F.col("po_id"))),
+        "silver_categories": raw["categories"].withColumn(
+            "category_l1", F.when(text.endswith("1"), "Other").when(~text.endswith("2"), F.col("category_l1"))
+        ),
+        "silver_po_lines": raw["purchase_orders"].withColumn(
+            "qty", F.when(F.col("po_line") == 7, -F.col("qty")).when(F.col("po_line") != 5, F.col("qty"))
+        ),
+        "silver_contracts": raw["contracts"].withColumn(
+            "unit_price", F.when(F.col("volume_commitment") % 3 > 0, F.col("unit_price")).otherwise(F.lit(0).cast("decimal(14,4)"))
+        ),
+    }
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> quality.Ruled:
+    tables = _faulty_tables(spark, sf_dir)
+    return quality.store_ruled(tables, lambda name, df: storage.written(df, f"ruled-{name}"))
+
+
+def dq_rules_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules judged while the tables are written: rows that passed, failed, and lie in quarantine."""
+    ruled = _ruled(spark, sf_dir)
+    held = ruled.quarantine.groupBy("rule_name").agg(F.count("*").alias("quarantined"))
+    left = reduce(
+        DataFrame.unionByName,
+        [df.agg(F.lit(t).alias("table_name"), F.count("*").alias("kept")) for t, df in ruled.passed.items()],
+    )
+    return ruled.report.join(held, "rule_name", "left").join(left, "table_name", "left")
+
+
 def sink_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _medallion(spark, sf_dir)
     folder = storage.new_folder(spark, "exports")
@@ -218,18 +394,20 @@ def sink_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_VIEW_MEASURES = {
+    "v_spend_cube": "spend",
+    "v_price_variance": "leakage_amount",
+    "v_tco_by_supplier": "tco",
+    "v_maverick_spend": "spend",
+    "v_executive_monthly": "total_spend",
+    "v_pvm_monthly": "spend_change",
+}
+
+
 def sink_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     _star(spark, sf_dir).publish()
     names = _star(spark, sf_dir).publish()
-    measures = {
-        "v_spend_cube": "spend",
-        "v_price_variance": "leakage_amount",
-        "v_tco_by_supplier": "tco",
-        "v_maverick_spend": "spend",
-        "v_executive_monthly": "total_spend",
-        "v_pvm_monthly": "spend_change",
-    }
-    return _digests({n: spark.table(n) for n in names}, measures)
+    return _digests({n: spark.table(n) for n in names}, _VIEW_MEASURES)
 
 
 # ---- registry calls
@@ -327,12 +505,15 @@ def queries() -> dict[str, Query]:
     return {
         # sources and sinks
         "src_bronze_ingest": src_bronze_ingest,
+        "src_rejected_rows": src_rejected_rows,
         "src_missing_check": src_missing_check,
         "src_load_manifest": src_load_manifest,
         "src_star_tables": src_star_tables,
         "sink_replace_table": sink_replace_table,
         "sink_exports": sink_exports,
         "sink_views": sink_views,
+        "warehouse_refresh": warehouse_refresh,
+        "star_refresh": star_refresh,
         # conformance
         "silver_suppliers": _m(lambda m: m.suppliers.drop("_loaded_at_utc")),
         "silver_categories": _m(lambda m: m.categories),
@@ -353,6 +534,10 @@ def queries() -> dict[str, Query]:
         ),
         "dim_calendar": _m(lambda m: m.dim_calendar),
         "fact_spend": _m(lambda m: m.fact),
+        "fact_spend_colocated": fact_spend_colocated,
+        "rollup_products": rollup_products,
+        "rollup_by_quarter": _on(_rolled, lambda m: m.by_quarter),
+        "rollup_by_level": _on(_rolled, lambda m: m.by_level),
         "spend_cube": _m(lambda m: m.cube),
         "mart_monthly_executive": _m(lambda m: m.monthly),
         "mart_supplier_performance": _m(lambda m: m.performance),
@@ -453,6 +638,7 @@ def queries() -> dict[str, Query]:
         "dq_future_dated": _s(lambda s: quality.dq_future_dated(s.fact, s.as_of)),
         "dq_report": _s(lambda s: s.dq_report.drop("check_no")),
         "dq_rules_declared": _m(lambda m: quality.dq_rules(m.rule_tables())),
+        "dq_rules_stored": dq_rules_stored,
         "anomaly_features": _m(lambda m: _rounded(anomaly.anomaly_features(m.fact))),
         "spend_anomalies": _m(lambda m: m.spend_anomalies()),
         "anomaly_export": _m(lambda m: anomaly.anomaly_export(m.spend_anomalies())),

@@ -70,30 +70,3 @@ def quantile_at(measure: str, q: float) -> Column:
 
     lo, hi = holding(low), holding(F.least(low + 1, F.col("_total") - 1))
     return lo + (hi - lo) * F.max(at - low.cast("double"))
-
-
-def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 100_000) -> DataFrame:
-    """One row `quantile`: exact, linearly interpolated. Runs one count of `df`.
-
-    A sketch gives two values surely around the wanted position; only the distinct values
-    between them (about 6/accuracy of the rows) are then put in order.
-    """
-    rows = df.where(F.col(value).isNotNull()).select(value)
-    total = rows.count()
-    slack = 3.0 / accuracy + 2.0 / max(total, 1)
-    lower, upper = max(q - slack, 0.0), min(q + slack, 1.0)
-    bounds = rows.agg(
-        F.percentile_approx(value, F.array(F.lit(lower), F.lit(upper)), F.lit(accuracy))
-    ).scalar()
-    marked = rows.withColumn("_bounds", bounds)
-    low, high = F.col("_bounds")[0], F.col("_bounds")[1]
-    below = marked.agg(F.count(F.when(F.col(value) < low, 1))).scalar()
-    band = marked.where(F.col(value).between(low, high)).groupBy(value)
-    so_far = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    positions = band.agg(F.count("*").alias("_n")).select(
-        value,
-        "_n",
-        (F.sum("_n").over(so_far) - F.col("_n") + below).alias("_before"),
-        F.lit(total).cast("bigint").alias("_total"),
-    )
-    return positions.agg(quantile_at(value, q).alias("quantile"))

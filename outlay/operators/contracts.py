@@ -1,93 +1,139 @@
-"""Which contracts were in force for a spend line."""
+"""Which contracts were in force for a spend line, and which of them applies.
+
+An interval join without pairs. The days are cut into aligned bins of several widths; a contract's
+span is a few bins of each (a long one mostly wide bins), and a day lies in one bin per width. Contracts
+are folded per supplier, scope and bin to a count and the best of them, so a line meets one row per
+width and scope however many contracts its supplier has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.functions.relations import lookup
-from outlay.sources.storage import written
 
+#: Widths of the bins in days; each divides the next.
+WIDTHS = (1, 32, 1024)
+PICKED = ("active_contract_id", "active_rate")
 
-def _in_force(changes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of contracts in force per wanted (keys, day).
 
-    `changes` has +1 on a start day and -1 on the day after an end. Both sides are folded to one
-    row per key and day first, so a window partition is at most as long as the calendar and
-    no line is ever paired with a contract.
-    """
-    day = [*keys, "day"]
-    moves = changes.groupBy(*day).agg(F.sum("delta").alias("delta")).withColumn("asked", F.lit(0))
-    asked = wanted.select(*day).distinct().withColumn("delta", F.lit(0).cast("bigint"))
-    timeline = (
-        moves.unionByName(asked.withColumn("asked", F.lit(1)))
-        .groupBy(*day)
-        .agg(F.sum("delta").alias("delta"), F.max("asked").alias("asked"))
-    )
-    until = Window.partitionBy(*keys).orderBy("day")
-    running = F.sum("delta").over(until.rowsBetween(Window.unboundedPreceding, 0))
-    return timeline.withColumn("in_force", running).where("asked = 1").select(*day, "in_force")
+def _floor_div(days: Column, width: int) -> Column:
+    return F.floor(days / width).cast("int")
 
 
-def match_active_contract(lines: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Add candidate_contracts and has_active_contract to spend lines.
+def span_bins(first: Column, after: Column) -> Column:
+    """Bins (width, bin) that cover the days from `first` up to, without, `after`, each day once."""
+    rest = F.array(F.struct(first.alias("lo"), after.alias("hi")))
+    bins = []
+    for width in sorted(WIDTHS, reverse=True):
+        inner, outer = _parts(width)
+        bins.append(F.flatten(F.transform(rest, inner)))
+        rest = F.filter(F.flatten(F.transform(rest, outer)), lambda p: p["lo"] < p["hi"])
+    return F.concat(*bins)
 
-    Counts are taken per distinct (supplier, category, day), a set written once because three
-    steps read it, and looked up by the lines in one join.
 
-    A contract counts when it has the line's supplier, spans the spend date (both ends
-    included) and names the line's category or none.
-    """
-    spans = contracts.where(
-        F.col("supplier_id").isNotNull() & (F.col("start_date") <= F.col("end_date"))
+def _parts(width: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """For a piece (lo, hi): the bins of a width inside it, and the pieces left and right of them."""
+
+    def whole(p: Column) -> tuple[Column, Column]:
+        return _floor_div(p["lo"] + (width - 1), width), _floor_div(p["hi"], width)
+
+    def inner(p: Column) -> Column:
+        a, b = whole(p)
+        some = F.transform(
+            F.sequence(a, F.greatest(a, b - 1)), lambda n: F.struct(F.lit(width).alias("width"), n.alias("bin"))
+        )
+        return F.when(a < b, some).otherwise(F.filter(some, lambda _: F.lit(False)))
+
+    def outer(p: Column) -> Column:
+        a, b = whole(p)
+        left = F.struct(p["lo"].alias("lo"), F.when(a < b, a * width).otherwise(p["hi"]).alias("hi"))
+        right = F.struct(F.when(a < b, b * width).otherwise(p["hi"]).alias("lo"), p["hi"].alias("hi"))
+        return F.array(left, right)
+
+    return inner, outer
+
+
+def _best(open_scope: Column) -> Column:
+    """What decides between contracts: the category's own before those for all categories, the latest
+    start, the least id; the least struct is the best contract."""
+    return F.struct(
+        open_scope.alias("open_scope"),
+        (-F.unix_date("start_date")).alias("later_first"),
+        F.col("contract_id").alias("contract_id"),
+        F.col("negotiated_rate").alias("negotiated_rate"),
     )
-    changes = spans.select(
-        F.col("supplier_id").alias("_supplier"),
-        F.col("category_id").alias("_category"),
-        F.inline(
-            F.array(
-                F.struct(F.col("start_date").alias("day"), F.lit(1).cast("bigint").alias("delta")),
-                F.struct(
-                    F.date_add("end_date", 1).alias("day"), F.lit(-1).cast("bigint").alias("delta")
-                ),
-            )
-        ),
+
+
+def contract_bins(contracts: DataFrame) -> DataFrame:
+    """Per supplier, scope (null: all categories), width and bin: contracts in force and the best."""
+    for name, kind in (("contract_id", "bigint"), ("negotiated_rate", "decimal(14,4)")):
+        if name not in contracts.columns:
+            contracts = contracts.withColumn(name, F.lit(None).cast(kind))
+    spans = contracts.where(F.col("supplier_id").isNotNull() & (F.col("start_date") <= F.col("end_date")))
+    binned = spans.select(
+        F.col("supplier_id").alias("supplier"),
+        F.col("category_id").alias("scope"),
+        _best(F.col("category_id").isNull()).alias("best"),
+        F.explode(span_bins(F.unix_date("start_date"), F.unix_date("end_date") + 1)).alias("at"),
     )
+    return binned.groupBy("supplier", "scope", "at.width", "at.bin").agg(
+        F.count("*").alias("n"), F.min("best").alias("best")
+    )
+
+
+def contract_hits(lines: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Per supplier, category and day with any contract in force: how many, and the best."""
     keys = lines.select(
-        F.col("supplier_id").alias("_supplier"),
-        F.col("category_id").alias("_category"),
-        F.col("spend_date").alias("day"),
-    ).where(F.col("_supplier").isNotNull() & F.col("day").isNotNull())
-    wanted = written(keys.distinct(), "contract-keys")
-    named = _in_force(
-        changes.where(F.col("_category").isNotNull()),
-        wanted.where(F.col("_category").isNotNull()),
-        ["_supplier", "_category"],
-    ).withColumnRenamed("in_force", "_named")
-    open_scope = _in_force(
-        changes.where(F.col("_category").isNull()).drop("_category"), wanted, ["_supplier"]
-    ).withColumnRenamed("in_force", "_open")
-    by_day = {"_supplier": F.col("_supplier"), "day": F.col("day")}
-    counted = lookup(
-        lookup(wanted, named, {**by_day, "_category": F.col("_category")}), open_scope, by_day
+        F.col("supplier_id").alias("hit_supplier"),
+        F.col("category_id").alias("hit_category"),
+        F.col("spend_date").alias("hit_day"),
+    ).where("hit_supplier is not null and hit_day is not null")
+    bins = F.array(
+        *[
+            F.struct(F.lit(w).alias("width"), _floor_div(F.unix_date("hit_day"), w).alias("bin"))
+            for w in WIDTHS
+        ]
+    )
+    open_only = F.array(F.lit(None).cast("string"))
+    scopes = F.when(F.col("hit_category").isNull(), open_only).otherwise(
+        F.array(F.col("hit_category"), F.lit(None).cast("string"))
+    )
+    asked = (
+        keys.distinct()
+        .withColumn("ask_bin", F.explode(bins))
+        .withColumn("ask_scope", F.explode(scopes))
+        .select("hit_supplier", "hit_category", "hit_day", "ask_scope", "ask_bin.width", "ask_bin.bin")
     )
-    total = (F.coalesce("_named", F.lit(0)) + F.coalesce("_open", F.lit(0))).cast("bigint")
-    hits = counted.select("_supplier", "_category", "day", total.alias("_total")).where("_total > 0")
-    matched = lookup(
-        lines,
-        hits,
-        {
-            "_supplier": F.col("supplier_id"),
-            "_category": F.col("category_id"),
-            "day": F.col("spend_date"),
-        },
-        null_safe=True,
+    on = {"supplier": F.col("hit_supplier"), "scope": F.col("ask_scope"), "at_width": F.col("width"), "at_bin": F.col("bin")}
+    side = contract_bins(contracts).withColumnsRenamed({"width": "at_width", "bin": "at_bin"})
+    met = lookup(asked, side, on, null_safe=True).where(F.col("n").isNotNull())
+    return met.groupBy("hit_supplier", "hit_category", "hit_day").agg(
+        F.sum("n").alias("hits"), F.min("best").alias("best")
     )
-    candidates = F.coalesce("_total", F.lit(0).cast("bigint"))
+
+
+def match_active_contract(lines: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Add candidate_contracts, has_active_contract and the contract that applies, PICKED, to spend lines.
+
+    A contract counts when it has the line's supplier, spans the spend date (both ends
+    included) and names the line's category or none. Of several the one for the category applies
+    before one for all, then the one that started last, then the least id. A contract that counts twice
+    in the table counts twice here.
+    """
+    hits = contract_hits(lines, contracts)
+    on = {"hit_supplier": F.col("supplier_id"), "hit_category": F.col("category_id"), "hit_day": F.col("spend_date")}
+    matched = lookup(lines, hits, on, null_safe=True)
+    candidates = F.coalesce("hits", F.lit(0).cast("bigint"))
     return matched.select(
         *lines.columns,
         candidates.alias("candidate_contracts"),
         (candidates > 0).alias("has_active_contract"),
+        F.col("best.contract_id").alias(PICKED[0]),
+        F.col("best.negotiated_rate").alias(PICKED[1]),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import ratio, sum_if
@@ -79,12 +79,19 @@ def tco(fact: DataFrame) -> DataFrame:
 
 
 def opportunity(fact: DataFrame) -> DataFrame:
-    """Four savings levers with their amounts, from one pass over the fact."""
+    """Four savings levers with their amounts, from one pass over the fact, or over sums that hold what
+    is above zero line by line."""
     amount = F.col("invoice_amount")
     wide = "decimal(38,6)"
+
+    def above_zero(summed: str, measure: str) -> Column:
+        if summed in fact.columns:
+            return F.coalesce(F.sum(summed), F.lit(0).cast("decimal(1,0)"))
+        return sum_if(F.col(measure) > 0, F.col(measure))
+
     levers = {
-        "rate_leakage": sum_if(F.col("price_variance") > 0, F.col("price_variance")),
-        "should_cost_gap": sum_if(F.col("should_cost_gap") > 0, F.col("should_cost_gap")),
+        "rate_leakage": above_zero("leakage_above_zero", "price_variance"),
+        "should_cost_gap": above_zero("gap_above_zero", "should_cost_gap"),
         "maverick_spend": sum_if(F.col("maverick_flag"), amount),
         "off_contract_spend": sum_if(~F.col("on_contract"), amount),
     }

@@ -25,6 +25,11 @@ def _mean(column: str) -> Column:
     return as_double(F.sum(column)) / F.nullif(F.count(column).cast("double"), F.lit(0.0))
 
 
+def line_count(rows: DataFrame) -> Column:
+    """Lines of a group, of lines or of sums over lines that count them in `lines`."""
+    return F.sum("lines") if "lines" in rows.columns else F.count("*")
+
+
 def spend_cube(fact: DataFrame) -> DataFrame:
     return fact.groupBy(*CUBE_KEYS).agg(
         F.sum("qty").alias("volume"),
@@ -42,11 +47,9 @@ def spend_cube(fact: DataFrame) -> DataFrame:
     )
 
 
-def mart_monthly_executive(fact: DataFrame) -> DataFrame:
-    """Lines are summed per month, supplier and category first; suppliers and categories of a month
-    are then counted on those sums, so no line is copied for a distinct count."""
+def _monthly_measures() -> dict[str, Column]:
     amount = F.col("invoice_amount")
-    measures = {
+    return {
         "total_spend": F.sum(amount),
         "direct_spend": sum_if(F.col("spend_type") == "Direct", amount),
         "indirect_spend": sum_if(F.col("spend_type") == "Indirect", amount),
@@ -58,6 +61,17 @@ def mart_monthly_executive(fact: DataFrame) -> DataFrame:
         "savings_realized": F.sum("savings_realized"),
         "tco_spend": F.sum("tco_amount"),
     }
+
+
+def monthly_sums(rows: DataFrame) -> DataFrame:
+    """The monthly view without its distinct counts, from lines or from sums over lines."""
+    return rows.groupBy("period_month").agg(*[m.alias(name) for name, m in _monthly_measures().items()])
+
+
+def mart_monthly_executive(fact: DataFrame) -> DataFrame:
+    """Lines are summed per month, supplier and category first; suppliers and categories of a month
+    are then counted on those sums, so no line is copied for a distinct count."""
+    measures = _monthly_measures()
     sums = fact.groupBy("period_month", "supplier_id", "category_id").agg(
         *[m.alias(name) for name, m in measures.items()]
     )
@@ -85,7 +99,7 @@ def mart_supplier_performance(fact: DataFrame, suppliers: DataFrame) -> DataFram
         F.sum("should_cost_gap").alias("should_cost_gap"),
         sum_if(F.col("on_contract"), amount).alias("covered"),
         sum_if(F.col("maverick_flag"), amount).alias("maverick_spend"),
-        F.count("*").alias("invoice_lines"),
+        line_count(fact).alias("invoice_lines"),
     )
     return sums.join(suppliers, "supplier_id").select(
         "supplier_id",
@@ -104,16 +118,25 @@ def mart_supplier_performance(fact: DataFrame, suppliers: DataFrame) -> DataFram
     )
 
 
-def mart_category_spend(fact: DataFrame) -> DataFrame:
+def category_sums(rows: DataFrame) -> DataFrame:
+    """The category mart without its distinct count, from lines or from sums over lines."""
     amount = F.col("invoice_amount")
-    return fact.groupBy("spend_type", "category_l2", "category_l3", "category_id").agg(
+    return rows.groupBy("spend_type", "category_l2", "category_l3", "category_id").agg(*_category_measures(amount))
+
+
+def _category_measures(amount: Column) -> list[Column]:
+    return [
         F.sum(amount).alias("total_spend"),
         F.sum("price_variance").alias("rate_leakage"),
         F.sum("should_cost_gap").alias("should_cost_gap"),
         F.sum("savings_realized").alias("savings_realized"),
-        ratio(sum_if(F.col("on_contract"), amount), F.sum(amount)).alias(
-            "contract_compliance_rate"
-        ),
+        ratio(sum_if(F.col("on_contract"), amount), F.sum(amount)).alias("contract_compliance_rate"),
+    ]
+
+
+def mart_category_spend(fact: DataFrame) -> DataFrame:
+    return fact.groupBy("spend_type", "category_l2", "category_l3", "category_id").agg(
+        *_category_measures(F.col("invoice_amount")),
         F.countDistinct("supplier_id").alias("supplier_count"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import MONEY
@@ -60,7 +60,11 @@ def dim_cost_center(cost_centers: DataFrame) -> DataFrame:
 
 def dim_calendar(invoices: DataFrame) -> DataFrame:
     """Every day from the first to the last invoice date; fiscal periods follow the calendar."""
-    span = invoices.agg(F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last"))
+    return calendar(invoices.agg(F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last")))
+
+
+def calendar(span: DataFrame) -> DataFrame:
+    """The days of a span, one row with `first` and `last`."""
     days = span.where(F.col("first").isNotNull()).select(
         F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("calendar_date")
     )
@@ -90,19 +94,54 @@ def category_levels(categories: DataFrame) -> DataFrame:
     return unique_by(levels, "category_id")
 
 
+def order_key() -> Column:
+    """The purchase order of an invoice line. Lines without one would all meet under their null key;
+    they are spread by invoice number instead, under a key no order can have."""
+    return F.coalesce(F.col("po_id"), F.concat(F.lit("\u0000"), F.col("invoice_id")))
+
+
 def fact_spend(invoices: DataFrame, purchase_orders: DataFrame, levels: DataFrame) -> DataFrame:
     """Invoice lines with the ordered amount, the category levels and the derived amounts.
 
-    Invoices without a purchase order would all meet in one join partition under their null
-    key; they are spread by invoice number instead, under a key no order can have. Both joined
-    sides are unique on their key, so products that read none of their columns skip the join.
+    Both joined sides are unique on their key, so products that read none of their columns skip the
+    join.
     """
-    spread = F.coalesce(F.col("po_id"), F.concat(F.lit("\u0000"), F.col("invoice_id")))
     with_order = lookup(
         invoices,
         order_amounts(purchase_orders),
-        {"po_id": spread, "po_line": F.col("invoice_line")},
+        {"po_id": order_key(), "po_line": F.col("invoice_line")},
     )
+    return _fact(with_order, levels)
+
+
+#: What both sides of the co-located join are bucketed on.
+ORDER_BUCKETS = ("order_key", "order_line")
+
+
+def invoices_for_orders(invoices: DataFrame) -> DataFrame:
+    """Invoice lines with the columns that `colocated_fact` joins on, to be stored in buckets."""
+    return invoices.withColumns({"order_key": order_key(), "order_line": F.col("invoice_line")})
+
+
+def orders_for_invoices(purchase_orders: DataFrame) -> DataFrame:
+    """Order lines by the same columns, to be stored in as many buckets."""
+    return purchase_orders.select(
+        F.col("po_id").alias("order_key"), F.col("po_line").alias("order_line"), "po_amount"
+    )
+
+
+def colocated_fact(invoices: DataFrame, orders: DataFrame, levels: DataFrame) -> DataFrame:
+    """The fact from sides that are stored in equal buckets of the order line: neither is exchanged.
+
+    A bucket is read by one task, so an order line with a large share of all invoices is better
+    joined by `fact_spend`, which splits it.
+    """
+    ordered = orders.groupBy(*ORDER_BUCKETS).agg(F.sum("po_amount").cast(MONEY).alias("ordered"))
+    joined = invoices.join(ordered, list(ORDER_BUCKETS), "left").drop(*ORDER_BUCKETS)
+    return _fact(joined, levels)
+
+
+def _fact(with_order: DataFrame, levels: DataFrame) -> DataFrame:
     joined = lookup(with_order, levels, {"category_id": F.col("category_id")})
     qty, paid = F.col("qty"), F.col("actual_unit_price")
     return joined.select(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import ratio
-from outlay.sources.storage import written
 
 EFFECTS = ("price_effect", "volume_effect", "mix_effect")
 
@@ -79,19 +78,24 @@ def pvm_category_monthly(fact: DataFrame) -> DataFrame:
     )
 
 
-def latest_month(pvm: DataFrame) -> DataFrame:
-    """Rows of the last month present. The effects, one row per month and category, are written
-    once, so the fact is not read again for the month."""
-    pvm = written(pvm, "pvm-effects")
-    last = pvm.agg(F.max("period_month")).scalar()
-    return pvm.where(F.col("period_month") == last)
+def latest_month(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of the last month present; `rows` has one per month and `keys`.
+
+    Every key is folded to its own last month, then the keys that reach the last month of all stay.
+    The second step is one short list, a row per category, so nothing is written or read twice.
+    """
+    own = rows.where(F.col("period_month").isNotNull()).groupBy(*keys).agg(
+        F.max_by(F.struct(*rows.columns), "period_month").alias("row")
+    )
+    folded = own.agg(F.max("row.period_month").alias("last"), F.collect_list("row").alias("rows"))
+    return folded.select(F.inline(F.filter("rows", lambda r: r["period_month"] == F.col("last"))))
 
 
 def pvm_latest_summary(pvm: DataFrame) -> DataFrame:
     """Effects of the last month by spend type and category level 3."""
     measures = ("spend", "spend_change", *EFFECTS)
     return (
-        latest_month(pvm)
+        latest_month(pvm, "category_id")
         .where(F.col("spend_type").isNotNull() & F.col("category_l3").isNotNull())
         .groupBy("spend_type", "category_l3")
         .agg(*[F.sum(m).alias(m) for m in measures])

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from outlay.functions.numeric import count_if
@@ -104,6 +105,11 @@ def dq_report(fact: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
+def dq_results(report: DataFrame, checked_at: dt.datetime) -> DataFrame:
+    """The report as it is stored: with the time of the check."""
+    return report.withColumn("checked_at", F.lit(checked_at).cast("timestamp"))
+
+
 def read_dq(report: DataFrame) -> DataFrame:
     return report.orderBy("check_no").select("check_name", "status", "row_count", "detail")
 
@@ -151,6 +157,20 @@ def dq_silver(
     return reduce(DataFrame.unionByName, facts).withColumn("checked_at", F.current_timestamp())
 
 
+def dq_silver_counted(
+    spark: SparkSession, landed: Mapping[str, int], suppliers: Mapping[str, int], invoices: int, categories: Mapping[str, int]
+) -> DataFrame:
+    """The same four rows from counts that the writes of both layers took, without reading a table."""
+    rows = [
+        ("supplier_master_completeness", suppliers["rows"], landed["suppliers"]),
+        ("supplier_potential_duplicates", suppliers["duplicates"], suppliers["rows"]),
+        ("invoice_po_or_maverick", invoices, landed["invoices"]),
+        ("category_hierarchy_valid", categories["valid"], categories["rows"]),
+    ]
+    found = spark.createDataFrame(rows, "rule_name string, rows_passed long, rows_source long")
+    return found.withColumn("checked_at", F.current_timestamp())
+
+
 def _rule(name: str, passed: Column, source: Column) -> Column:
     return F.struct(
         F.lit(name).alias("rule_name"),
@@ -183,3 +203,65 @@ def dq_rules(
             )
         )
     return reduce(DataFrame.unionByName, reports)
+
+
+FAILED = "_failed_rules"
+
+
+def with_failed_rules(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
+    """df with FAILED, the names of the rules (name to predicate) that a row does not meet, null
+    predicates included."""
+    return df.withColumn(
+        FAILED,
+        F.array_compact(
+            F.array(*[F.when(F.coalesce(F.expr(p), F.lit(False)), None).otherwise(F.lit(n)) for n, p in rules.items()])
+        ),
+    )
+
+
+@dataclass(frozen=True)
+class Ruled:
+    """Tables with the rows that meet their rules, the others by rule, and a report of the counts."""
+
+    passed: Mapping[str, DataFrame]
+    quarantine: DataFrame
+    report: DataFrame
+
+
+def store_ruled(
+    tables: Mapping[str, DataFrame],
+    store: Callable[[str, DataFrame], DataFrame],
+    rules: Sequence[tuple[str, str, str]] = DECLARED_RULES,
+) -> Ruled:
+    """Store the tables that rules name, each in one pass that also judges and counts its rows.
+
+    `tables` are the frames before conforming, so that a rule sees the rows that conforming would drop.
+    A quarantined row is kept once per rule that it fails, as JSON with the rule's name.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    passed, held, counts = {}, [], []
+    for table in dict.fromkeys(t for _, t, _ in rules):
+        mine = {name: predicate for name, t, predicate in rules if t == table}
+        seen = Observation()
+        judged = with_failed_rules(tables[table], mine)
+        stored = store(
+            table,
+            judged.observe(
+                seen,
+                F.count("*").alias("rows"),
+                *[count_if(F.array_contains(FAILED, name)).alias(name) for name in mine],
+            ),
+        )
+        found = seen.get
+        counts += [(name, table, found["rows"] - found[name], found[name]) for name in mine]
+        columns = tables[table].columns
+        passed[table] = stored.where(F.size(FAILED) == 0).drop(FAILED)
+        held.append(
+            stored.where(F.size(FAILED) > 0).select(
+                F.explode(FAILED).alias("rule_name"),
+                F.lit(table).alias("table_name"),
+                F.to_json(F.struct(*columns)).alias("record"),
+            )
+        )
+    report = spark.createDataFrame(counts, "rule_name string, table_name string, passed long, failed long")
+    return Ruled(passed, reduce(DataFrame.unionByName, held), report)

@@ -189,7 +189,7 @@ def view_tco(tco: DataFrame, limit: int = 15) -> DataFrame:
 
 
 def view_pvm(pvm: DataFrame) -> DataFrame:
-    return latest_month(pvm).agg(
+    return latest_month(pvm, "category_id").agg(
         *_sums("price_effect", "volume_effect", "mix_effect", "spend_change")
     )
 

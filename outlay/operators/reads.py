@@ -119,7 +119,7 @@ def read_executive_monthly(monthly: DataFrame) -> DataFrame:
 
 def read_pvm_latest(pvm: DataFrame, limit: int = PVM_LIMIT) -> DataFrame:
     return (
-        latest_month(pvm)
+        latest_month(pvm, "category_id")
         .orderBy(F.abs("spend_change").desc_nulls_first(), "category_id")
         .limit(limit)
         .select(

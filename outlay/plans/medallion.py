@@ -1,6 +1,7 @@
 """Lazy products of the medallion side: bronze frames in, marts and analytics out.
 
-Every attribute is a DataFrame built on first use; nothing runs until a product is read.
+Every attribute is a DataFrame built on first use, and building it runs nothing. The scores
+(`supplier_risk`, `spend_anomalies`) pass over their input several times and write it when they are called.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,24 +49,107 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def table_root(spark: SparkSession, name: str) -> str:
+    """Where the versions of a table lie unless a folder is given: below its database's folder."""
+    database, _, table = name.rpartition(".")
+    place = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    return f"{place.rstrip('/')}/{table}"
+
+
+def location_of(spark: SparkSession, name: str) -> str:
+    """The folder of the version a table points to."""
+    rows = spark.sql(f"describe table extended {name}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"]
+
+
+def _unlisted(spark: SparkSession) -> SparkSession:
+    """A session of the same catalog in which partitions are found in the folder, not kept in the
+    catalog, so that a table's location is all there is to swap."""
+    child = spark.newSession()
+    child.conf.set("spark.sql.hive.manageFilesourcePartitions", "false")
+    return child
+
+
+def _point(df: DataFrame, name: str, version: str, partition_by: Sequence[str], buckets: str) -> None:
+    """Let a table mean a version: one step in the catalog where the columns stay the same."""
+    spark = df.sparkSession
+    child = _unlisted(spark)
+    place = version.replace("'", "\\'")
+    if spark.catalog.tableExists(name):
+        had = {f.name: f.dataType for f in spark.table(name).schema}
+        if had == {f.name: f.dataType for f in df.schema}:
+            child.sql(f"alter table {name} set location '{place}'")
+            spark.catalog.refreshTable(name)
+            return
+        child.sql(f"drop table {name}")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    parts = f"partitioned by ({', '.join(partition_by)})" if partition_by else ""
+    child.sql(f"create table {name} ({columns}) using parquet {parts} {buckets} location '{place}'")
+    spark.catalog.refreshTable(name)
+
+
+def _drop_versions(spark: SparkSession, root: str, kept: Sequence[str]) -> None:
+    files, path = _files(spark, root)
+    names = {k.rstrip("/").rpartition("/")[2] for k in kept}
+    for entry in files.listStatus(path):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name not in names:
+            files.delete(entry.getPath(), True)
+
+
 def replace_table(
-    df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None
+    df: DataFrame,
+    name: str,
+    partition_by: Sequence[str] = (),
+    folder: str | None = None,
+    bucket_by: Sequence[str] = (),
+    buckets: int = 0,
 ) -> DataFrame:
     """Full refresh of a table; returns the table as stored.
 
+    The rows are written to a new version folder below `folder`, then the table's location is swapped
+    in one step. A write that fails leaves the table as it was; the version before stays for those
+    who still read it, older ones go. One writer per table at a time. Where the columns differ from
+    the stored ones the table is dropped and made anew, which is two steps.
+
     A partitioned write is rebalanced on the partition columns first: few files per partition,
-    and a partition holding a third of the rows is still written by many tasks.
+    and a partition holding a third of the rows is still written by many tasks. A bucketed write
+    gives one file per bucket, so tables of equal buckets join without an exchange.
     """
     spark = df.sparkSession
-    if partition_by:
-        df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite").format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
-    return spark.table(name)
+    root = (folder or table_root(spark, name)).rstrip("/")
+    version = f"{root}/v-{uuid.uuid4().hex}"
+    before = location_of(spark, name) if spark.catalog.tableExists(name) else None
+    clause = ""
+    if buckets:
+        clause = f"clustered by ({', '.join(bucket_by)}) into {buckets} buckets"
+        written_as = f"{name}_{uuid.uuid4().hex}"
+        rows = df.repartition(buckets, *bucket_by)
+        writer = rows.write.bucketBy(buckets, *bucket_by).format("parquet").option("path", version)
+        try:
+            writer.saveAsTable(written_as)
+        finally:
+            spark.sql(f"drop table if exists {written_as}")
+    else:
+        rows = df.hint("rebalance", *partition_by) if partition_by else df
+        rows.write.partitionBy(*partition_by).parquet(version)
+    _point(df, name, version, partition_by, clause)
+    _drop_versions(spark, root, [version, *([before] if before else [])])
+    return spark.table(name).select(*df.columns)
+
+
+def day_span(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """First and last value of a date column, from the footers of the Parquet files alone."""
+    child = spark.newSession()
+    child.conf.set("spark.sql.sources.useV1SourceList", "")
+    child.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    days = child.read.parquet(path)
+    return days.agg(F.min(column).alias("first"), F.max(column).alias("last"))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -81,3 +165,23 @@ def publish_views(views: Mapping[str, DataFrame]) -> list[str]:
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return list(views)
+
+
+def publish_catalog_views(
+    spark: SparkSession, views: Mapping[str, DataFrame], database: str, store: str, folder: str | None = None
+) -> list[str]:
+    """Publish frames as views of the catalog, which other sessions see and which outlive this one.
+
+    Each frame is stored as a table of the database `store`, replaced in the given order, and its
+    view names the table's columns, so a reader sees the old rows or the new ones, never a mixture.
+    """
+    spark.sql(f"create database if not exists {store}")
+    spark.sql(f"create database if not exists {database}")
+    published = []
+    for name, df in views.items():
+        table = f"{store}.{name}"
+        replace_table(df, table, folder=f"{folder.rstrip('/')}/{name}" if folder else None)
+        columns = ", ".join(f"`{c}`" for c in df.columns)
+        spark.sql(f"create or replace view {database}.{name} as select {columns} from {table}")
+        published.append(f"{database}.{name}")
+    return published

@@ -467,6 +467,38 @@ def test_contract_matching_equals_brute_force(spark):
         assert got[r["transaction_id"]] == want
 
 
+def test_the_contract_that_applies(spark):
+    """The category's own before one for all, then the last start, then the least id; long spans."""
+    rng = __import__("random").Random(5)
+    lines = star_rows(
+        spark,
+        *[
+            {"transaction_id": i, "supplier_id": rng.choice([None, 1, 2]), "category_id": rng.choice([None, "A", "B"]),
+             "spend_date": DAY + dt.timedelta(rng.randrange(-4000, 4000))}
+            for i in range(300)
+        ],
+    )
+    terms = [
+        (rng.choice([None, i % 7, i]), rng.choice([1, 2, None]), D(i), DAY + dt.timedelta(a), DAY + dt.timedelta(a + rng.choice([-1, 0, 31, 700, 5000])),
+         rng.choice([None, "A", "B"]))
+        for i in range(120)
+        for a in [rng.randrange(-4500, 4500)]
+    ]
+    df = spark.createDataFrame(
+        terms, "contract_id bigint, supplier_id bigint, negotiated_rate decimal(14,4), start_date date, end_date date, category_id string"
+    )
+    got = {r["transaction_id"]: r for r in contracts.match_active_contract(lines, df).collect()}
+    assert len(got) == 300
+    for line in lines.collect():
+        fit = [
+            t for t in terms
+            if t[1] is not None and t[1] == line["supplier_id"] and t[3] <= line["spend_date"] <= t[4] and t[5] in (None, line["category_id"])
+        ]
+        best = min(fit, key=lambda t: (t[5] is None, -t[3].toordinal(), t[0] is not None, t[0] or 0, t[2]), default=(None, None, None))
+        row = got[line["transaction_id"]]
+        assert (row["candidate_contracts"], row["active_contract_id"], row["active_rate"]) == (len(fit), best[0], best[2])
+
+
 def performance(spark, rows):
     return spark.createDataFrame(
         rows,

@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+from decimal import Decimal as D
 from pathlib import Path
 
 import numpy as np
@@ -14,16 +15,16 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from outlay.functions.ordering import (
-    exact_quantile,
     percent_rank,
     quantile_at,
     value_positions,
 )
 from outlay.functions.relations import lookup, repeated_keys, unique_by
-from outlay.operators import anomaly
+from outlay.operators import anomaly, model, rollup
 from outlay.operators.routing import question_log
 from outlay.plans.medallion import Medallion
-from outlay.plans.warehouse import refresh_warehouse
+from outlay.plans.rolled import RolledMedallion
+from outlay.plans.warehouse import refresh_star, refresh_warehouse
 from outlay.sources import extracts, star, storage
 from outlay.sources.orderbook import OrderBook
 from outlay.sources.schemas import EXTRACTS
@@ -55,11 +56,184 @@ def test_extracts_round_trip(spark, small, folder):
     assert landed["invoices"].where(F.col("po_id").isNull()).count() == 1001
 
 
+def one_extract(spark, folder, name, text):
+    """Only `name` in a folder, as one file of the given lines."""
+    place = folder / EXTRACTS[name][0]
+    place.mkdir(parents=True, exist_ok=True)
+    (place / "part-0.csv").write_text(text)
+    return extracts.read_extract(spark, str(folder), name)
+
+
+def test_columns_are_found_by_name_and_bad_cells_are_kept(spark, tmp_path):
+    text = (
+        "forecast_amount,cost_center_id,remark,category_id,gl_account,actual_amount,gl_period,budget_amount\n"
+        "3.00,C1,x,CAT,62,1.50,2024-01,2.00\n"
+        "3.00,C2,x,CAT,62,many,2024-01,2.00\n"
+        '4.00,"C\n3, ""new""",,CAT,62,,2024-02,2.00\n'
+        "5.00,C4\n"
+    )
+    df = one_extract(spark, tmp_path, "gl_actuals", text)
+    landing = extracts.store_landed(
+        {"gl_actuals": extracts.with_load_metadata(df, "gl_actuals.csv", "now")}, lambda n, d: storage.written(d, n)
+    )
+    rows = landing.bronze["gl_actuals"].orderBy("gl_period").collect()
+    assert [(r["gl_period"], r["cost_center_id"], r["actual_amount"], r["forecast_amount"]) for r in rows] == [
+        ("2024-01", "C1", D("1.50"), D("3.00")),
+        ("2024-02", 'C\n3, "new"', None, D("4.00")),
+    ]
+    assert {r["record"].strip() for r in landing.rejects.collect()} == {"3.00,C2,x,CAT,62,many,2024-01,2.00", "5.00,C4"}
+    assert (landing.accepted, landing.rejected) == ({"gl_actuals": 2}, {"gl_actuals": 2})
+    assert extracts.load_manifest(spark, landing, "now").first()["row_count_total"] == 4
+
+
+def test_a_missing_column_and_differing_headers_are_errors(spark, tmp_path):
+    with pytest.raises(extracts.HeaderMismatch, match="business_unit"):
+        one_extract(spark, tmp_path, "cost_centers", "cost_center_id,cost_center_name\n1,a\n")
+    df = one_extract(spark, tmp_path, "categories", ",".join(EXTRACTS["categories"][1].names) + "\n")
+    assert df.count() == 0
+    one_extract(spark, tmp_path / "two", "cost_centers", "cost_center_id,cost_center_name,business_unit\n1,a,b\n")
+    other = tmp_path / "two" / "cost_centers.csv" / "part-1.csv"
+    other.write_text("business_unit,cost_center_name,cost_center_id\nb,a,2\n")
+    with pytest.raises(Exception, match="header"):
+        extracts.read_extract(spark, str(tmp_path / "two"), "cost_centers").collect()
+
+
+def test_a_failed_refresh_leaves_the_old_rows(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    rows = spark.range(10).withColumn("part", F.col("id") % 2)
+    try:
+        storage.replace_table(rows, "swapped", ("part",), folder)
+        bad = F.when(F.col("id") == 7, F.raise_error("half way").cast("bigint")).otherwise(F.col("id") + 1)
+        with pytest.raises(Exception, match="half way"):
+            storage.replace_table(rows.withColumn("id", bad), "swapped", ("part",), folder)
+        assert sorted(map(tuple, spark.table("swapped").collect())) == [(i, i % 2) for i in range(10)]
+        held = spark.table("swapped")
+        assert storage.replace_table(rows.where("id < 3"), "swapped", ("part",), folder).count() == 3
+        assert held.count() == 10 and spark.newSession().table("swapped").count() == 3
+        plan = spark.table("swapped").where("part = 1")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(part" in plan
+        storage.replace_table(rows.where("id < 2"), "swapped", ("part",), folder)
+        assert len(list((tmp_path / "t").glob("v-*"))) == 2
+        wider = storage.replace_table(rows.withColumn("more", F.lit("x")), "swapped", ("part",), folder)
+        assert wider.columns == ["id", "part", "more"] and wider.count() == 10
+    finally:
+        spark.sql("drop table if exists swapped")
+
+
+def test_stored_sides_of_the_fact_are_not_exchanged(spark, small, tmp_path):
+    m = entry._medallion(spark, small)
+    sides = {"i": model.invoices_for_orders(m.invoices), "o": model.orders_for_invoices(m.purchase_orders)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        stored = {
+            n: storage.replace_table(df, f"side_{n}", folder=str(tmp_path / n), bucket_by=model.ORDER_BUCKETS, buckets=4)
+            for n, df in sides.items()
+        }
+        assert len(list((tmp_path / "i").glob("v-*/*.parquet"))) == 4
+        ordered = stored["o"].groupBy(*model.ORDER_BUCKETS).agg(F.sum("po_amount").alias("ordered"))
+        plan = stored["i"].join(ordered, list(model.ORDER_BUCKETS), "left")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        fact = model.colocated_fact(stored["i"], stored["o"], model.category_levels(m.categories))
+        text = fact._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(order_key" not in text and "hashpartitioning(po_id" not in text
+        assert fact.exceptAll(m.fact).count() == 0 and fact.count() == m.fact.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for n in sides:
+            spark.sql(f"drop table if exists side_{n}")
+
+
+def test_products_are_derived_from_sums_alone(spark, small, tmp_path):
+    """Only the base reads the fact; a grain comes from the narrowest one that holds it."""
+    m = entry._medallion(spark, small)
+    fact = storage.written(m.fact, "fact-once")
+    reads = []
+
+    def store(name, df):
+        if fact.inputFiles()[0].rsplit("/", 1)[0] in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            reads.append(name)
+        return storage.written(df, name)
+
+    rolled = RolledMedallion(m.bronze, dt.date(1998, 6, 1), fact, store)
+    rolled.dim_supplier = storage.written(m.dim_supplier, "dim")
+    plain = Medallion(m.bronze, dt.date(1998, 6, 1), stored_fact=fact)
+    plain.dim_supplier = rolled.dim_supplier
+    assert reads == ["spend_base"]
+    place = fact.inputFiles()[0].rsplit("/", 1)[0]
+    for name in ("cube", "monthly", "performance", "category_spend", "leakage", "tco", "opportunity", "pvm", "pvm_summary"):
+        mine, theirs = getattr(rolled, name), getattr(plain, name)
+        assert place not in {f.rsplit("/", 1)[0] for f in mine.inputFiles()}, name
+        kinds = [F.col(f.name).cast("decimal(38,6)") if "decimal" in f.dataType.simpleString() else F.col(f.name) for f in theirs.schema]
+        a, b = mine.select(*kinds), theirs.select(*kinds)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+    assert rolled.rollup.parent(("spend_type", "category_l3")) == rollup.SUPPLIER_GRAIN
+    assert rolled.rollup.parent(("period_month",)) == rollup.MONTHLY_GRAIN
+    with pytest.raises(KeyError):
+        rolled.rollup.at("invoice_id")
+
+
+def test_member_sets_count_as_distinct_does(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(4), rng.choice([None, f"m{rng.randrange(70_000)}"])) for _ in range(60_000)]
+    df = spark.createDataFrame(rows, "g string, h int, member string").repartition(5)
+    df = df.withColumns({m: F.lit(1) for m in rollup.MEASURES})
+    lattice = rollup.Rollup(df, lambda name, d: storage.written(d, name), ("g", "h", "member"))
+    sets = storage.written(lattice.member_sets("member", "g", "h"), "sets")
+    sizes = rollup.set_sizes(rollup.merged_sets(sets, "g"), "n", "g")
+    assert {r["g"]: r["n"] for r in sizes.collect()} == {
+        g: len({m for x, _, m in rows if x == g and m is not None}) for g in ("a", "b", None)
+    }
+
+
+def test_calendar_comes_from_file_footers(spark, small, tmp_path):
+    invoices = entry._medallion(spark, small).invoices
+    invoices.write.parquet(str(tmp_path / "i"))
+    span = storage.day_span(spark, str(tmp_path / "i"), "invoice_date")
+    assert "PushedAggregation: [MIN(invoice_date), MAX(invoice_date)]" in span._jdf.queryExecution().executedPlan().toString()
+    want = invoices.agg(F.min("invoice_date"), F.max("invoice_date")).first()
+    assert tuple(span.first()) == tuple(want)
+
+
+def test_catalog_views_outlive_the_session(spark):
+    try:
+        storage.publish_catalog_views(spark, {"v_a": spark.range(3), "v_b": spark.range(4)}, "seen", "seen_store")
+        published = storage.publish_catalog_views(spark, {"v_a": spark.range(5).toDF("id")}, "seen", "seen_store")
+        assert published == ["seen.v_a"]
+        other = spark.newSession()
+        assert other.table("seen.v_a").count() == 5 and other.table("seen.v_b").count() == 4
+    finally:
+        for name in ("seen", "seen_store"):
+            spark.sql(f"drop database if exists {name} cascade")
+
+
+def test_rules_hold_rows_back(spark, small):
+    ruled = entry._ruled(spark, small)
+    report = {r["rule_name"]: (r["passed"], r["failed"]) for r in ruled.report.collect()}
+    assert len(report) == 5 and all(p > 0 and f > 0 for p, f in report.values())
+    held = {r["rule_name"]: r["n"] for r in ruled.quarantine.groupBy("rule_name").agg(F.count("*").alias("n")).collect()}
+    assert held == {name: f for name, (_, f) in report.items()}
+    assert ruled.passed["silver_po_lines"].where("qty is null or qty <= 0").count() == 0
+
+
+def test_star_refresh_stores_checks_with_their_time(spark, small, tmp_path):
+    names = {n: f"t_{n}" for n in ("star", "semantic", "semantic_store")}
+    try:
+        at = dt.datetime(2024, 5, 1, 12)
+        refresh_star(spark, OrderBook(spark, small).star(), dt.date(2001, 9, 1), at, str(tmp_path), names)
+        checks = spark.newSession().table("t_star.data_quality_results").collect()
+        assert len(checks) == 5 and {r["checked_at"] for r in checks} == {at}
+        assert spark.newSession().table("t_semantic.v_executive_monthly").count() == 83
+    finally:
+        for name in names.values():
+            spark.sql(f"drop database if exists {name} cascade")
+
+
 def test_warehouse_refresh_and_invariants(spark, folder, tmp_path):
-    args = (spark, folder, str(tmp_path / "exports"), dt.date(1998, 6, 1), "now")
+    args = (spark, folder, str(tmp_path / "exports"), dt.date(1998, 6, 1), "now", str(tmp_path / "tables"))
     try:
-        refresh_warehouse(*args)
-        built = refresh_warehouse(*args)
+        refresh_warehouse(*args, buckets=4)
+        built = refresh_warehouse(*args, buckets=4)
         fact = spark.table("gold.fact_spend")
         assert fact.count() == 6000
         assert spark.table("gold.spend_cube").count() > 100
@@ -85,6 +259,12 @@ def test_warehouse_refresh_and_invariants(spark, folder, tmp_path):
         exported = spark.read.option("header", True).csv(str(tmp_path / "exports/leakage.csv"))
         assert exported.count() == spark.table("analytics.leakage").count()
         assert spark.table("ml.spend_anomalies").where("is_anomaly").count() == 180
+        assert spark.table("bronze._rejects").count() == 0
+        calendar, days = spark.table("gold.dim_calendar"), spark.table("silver.invoices")
+        assert calendar.count() == days.agg(F.datediff(F.max("invoice_date"), F.min("invoice_date")) + 1).first()[0]
+        silver = {r["rule_name"]: (r["rows_passed"], r["rows_source"]) for r in spark.table("silver.data_quality_results").collect()}
+        want = {r["rule_name"]: (r["rows_passed"], r["rows_source"]) for r in built.silver_quality.collect()}
+        assert silver == want
     finally:
         for layer in ("ml", "analytics", "gold", "silver", "bronze"):
             spark.sql(f"drop database if exists {layer} cascade")
@@ -109,16 +289,6 @@ def test_average_ranks_equal_pandas(spark, slices):
     assert list(cuts.first()) == pytest.approx(list(want.quantile([0.0, 0.5, 0.8, 1.0])))
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 100, 101, 999])
-def test_exact_quantile_equals_numpy(spark, n):
-    rng = random.Random(n)
-    values = [rng.choice([0.25, rng.random()]) for _ in range(n)]
-    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
-    for q in (0.0, 0.5, 0.97, 1.0):
-        got = exact_quantile(df, "x", q, accuracy=1000).first()[0]
-        assert got == pytest.approx(np.quantile(values, q), abs=1e-12)
-
-
 def test_repeated_keys_keep_one_whole_row(spark):
     rows = spark.createDataFrame([(1, "b", 1), (1, "a", 9), (2, None, 3)], "k int, x string, y int")
     assert sorted(map(tuple, unique_by(rows, "k").collect())) == [(1, "a", 9), (2, None, 3)]
