@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Generator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -23,7 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
     "head script style template noscript iframe noembed noframes object audio video canvas datalist title "
-    "meta link textarea annotation annotation-xml mphantom".split()
+    "meta link annotation annotation-xml mphantom".split()
 )
 #: What may stand in a head; anything else ends it.
 HEADS = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
@@ -65,7 +67,6 @@ IMPLIED = {
 TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
 #: End tags of other elements do not reach over these.
 SCOPES = frozenset("table td th caption html template object".split())
-MAX_DEPTH = 200
 
 #: An attribute as the standard reads it: a quote opens a string right after "=" only.
 NAME = r"=?[^\s/>=]++|="
@@ -98,24 +99,35 @@ def attributes_of(raw: str) -> dict[str, str]:
 
 
 def parsed(html: str) -> Node:
-    """The tree of a page. Text in raw elements is kept as it is; nothing nests deeper than MAX_DEPTH:
-    what is deeper joins the deepest element."""
+    """The tree of a page, however deep. Text in raw elements is kept as it is."""
     root = Node("html")
     stack = [root]
+    opened: Counter[str] = Counter()
     at, n = 0, len(html)
 
-    def close(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+    def is_open(names) -> bool:
+        return any(opened[t] for t in names)
+
+    def cut(i: int) -> None:
+        """Close the element at place i of the stack and all inside it."""
+        for node in stack[i:]:
+            opened[node.tag] -= 1
+        del stack[i:]
+
+    def close(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> bool:
         """Close the nearest open element of `names` that is not beyond one of `stop`."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+        if is_open(names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in names:
+                    cut(i)
+                    return True
+                if stack[i].tag in stop:
+                    break
+        return False
 
     def say(text: str) -> None:
         if stack[-1].tag == "head" and not text.isspace():
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(unescape(text))
 
     while at < n:
@@ -134,18 +146,20 @@ def parsed(html: str) -> Node:
         if html[found.start() + 1] == "/":
             if name == "br":
                 stack[-1].children.append(Node("br"))
-            elif name == "p" and not any(e.tag == "p" for e in stack):
+            elif name == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p"))
             else:
                 close({name}, {"table"} - {name} if name in TABLE_PARTS else SCOPES)
             continue
         raw = found[2]
-        if name in BREAKOUT or (name == "font" and {"color", "face", "size"} & attributes_of(raw).keys()):
+        if is_open(("svg", "math")) and (
+            name in BREAKOUT or (name == "font" and {"color", "face", "size"} & attributes_of(raw).keys())
+        ):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in INTEGRATION:
                     break
                 if stack[i].tag in ("svg", "math"):
-                    del stack[i:]
+                    cut(i)
                     break
         if name in ("html", "body"):
             stack[-1].attributes.update(attributes_of(raw))
@@ -157,64 +171,62 @@ def parsed(html: str) -> Node:
             close({"h1", "h2", "h3", "h4", "h5", "h6"}, BLOCKS - {"h1", "h2", "h3", "h4", "h5", "h6"})
         if name in IMPLIED:
             closed, stop = IMPLIED[name]
-            names = set(closed.split())
-            while any(e.tag in names for e in _since(stack, stop)):
-                close(names, stop)
+            while close(frozenset(closed.split()), stop):
+                pass
         if name in ("input", "textarea", "select"):
             close({"select"}, SCOPES)
         if stack[-1].tag == "head" and name not in HEADS:
-            stack.pop()
+            cut(len(stack) - 1)
         node = Node(name, attributes_of(raw) if raw.strip() else {})
         stack[-1].children.append(node)
         if name in VOID:
             continue
-        if name in RAW and not (raw.endswith("/") and any(e.tag in ("svg", "math") for e in stack)):
+        if name in RAW and not (raw.endswith("/") and is_open(("svg", "math"))):
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
             text = html[at : end.start() if end else n]
+            if name == "textarea":
+                text = re.sub(r"\A\r?\n", "", text)
             node.children.append(unescape(text) if name in ("textarea", "title") else text)
             at = end.end() if end else n
         elif name == "plaintext":
             node.children.append(html[at:])
             break
         elif not raw.rstrip().endswith("/") or name in BLOCKS:
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
+            stack.append(node)
+            opened[name] += 1
     return root
 
 
-def _since(stack: list[Node], stop: set[str]) -> list[Node]:
-    """Open elements above the nearest one of `stop`."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].tag in stop:
-            return stack[i + 1 :]
-    return stack
-
-
 def hidden(node: Node) -> bool:
     """Whether a browser shows nothing of the element."""
     a = node.attributes
     if node.tag in HIDDEN or "hidden" in a:
         return True
-    if a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type") == "hidden"):
+    if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return True
     if node.tag == "dialog" and "open" not in a:
         return True
     return "style" in a and DISPLAY.findall(a["style"].lower())[-1:] == ["none"]
 
 
-def without_unseen(node: Node, seen: bool = True) -> Node:
+def without_unseen(root: Node) -> Node:
     """The tree without the text of invisible elements; visible ones inside them keep theirs."""
-    kept: list[Node | str] = []
-    for child in node.children:
-        if isinstance(child, str):
-            if seen:
-                kept.append(child)
-            continue
-        said = VISIBILITY.findall(child.attributes.get("style", "").lower())[-1:]
-        own = seen if not said or said[0] in ("inherit", "unset") else said[0] not in ("hidden", "collapse")
-        if own or child.tag not in ("img", "input", "br"):
-            kept.append(without_unseen(child, own))
-    return Node(node.tag, node.attributes, kept)
+    top = Node(root.tag, root.attributes)
+    open_: list[tuple[Node, Node, bool]] = [(root, top, True)]
+    while open_:
+        node, copy, seen = open_.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                if seen:
+                    copy.children.append(child)
+                continue
+            said = VISIBILITY.findall(child.attributes.get("style", "").lower())[-1:]
+            own = seen if not said or said[0] in ("inherit", "unset") else said[0] not in ("hidden", "collapse")
+            if own or child.tag not in ("img", "input", "br"):
+                below = Node(child.tag, child.attributes)
+                copy.children.append(below)
+                open_.append((child, below, own))
+    return top
 
 
 def width_of(text: str) -> int:
@@ -285,7 +297,27 @@ class Lines:
         return self.done
 
 
-def render(node: Node, into: Lines, pre: bool = False) -> None:
+# A step renders an element and yields the steps of what is inside it; `done` runs them on a stack of its
+# own, so pages may nest as deep as they like.
+Step = Generator["Step", object, object]
+
+
+def done(step: Step):
+    """The value of a step."""
+    stack, value = [step], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
+def render(node: Node, into: Lines, pre: bool = False) -> Step:
     """Render an element's children."""
     for child in node.children:
         if isinstance(child, str):
@@ -300,10 +332,10 @@ def render(node: Node, into: Lines, pre: bool = False) -> None:
             else:
                 into.text(child)
         else:
-            element(child, into, pre)
+            yield element(child, into, pre)
 
 
-def element(node: Node, into: Lines, pre: bool) -> None:
+def element(node: Node, into: Lines, pre: bool) -> Step:
     tag = node.tag
     if hidden(node):
         return
@@ -315,138 +347,156 @@ def element(node: Node, into: Lines, pre: bool) -> None:
     elif tag == "input":
         if value := node.attributes.get("value", "").strip():
             into.text(value)
+    elif tag == "textarea":
+        yield apart(node, into, True)
     elif tag == "select":
         for option in chosen(node):
-            apart(option, into)
+            yield apart(option, into)
     elif tag == "svg":
-        drawing(node, into)
+        yield drawing(node, into)
     elif tag in ("mfrac", "mroot", "mtd"):
         for child in [node] if tag == "mtd" else node.children:
             if isinstance(child, Node):
-                apart(child if tag == "mtd" else Node("mrow", {}, [child]), into)
+                yield apart(child if tag == "mtd" else Node("mrow", {}, [child]), into)
     elif tag == "hr":
         into.gap()
     elif tag == "table":
         into.gap()
-        into.add(table_lines(node))
+        into.add((yield table_lines(node)))
         into.gap()
     elif tag in ("ul", "ol", "menu", "dir"):
         into.gap()
-        into.add(list_lines(node))
+        into.add((yield list_lines(node)))
         into.gap()
     elif tag in ("dd", "blockquote"):
         (into.gap if tag == "blockquote" else into.end_line)()
-        into.add(block_lines(node, pre), "    ", "    ")
+        into.add((yield block_lines(node, pre)), "    ", "    ")
         (into.gap if tag == "blockquote" else into.end_line)()
+    elif tag == "details" and "open" not in node.attributes:
+        into.end_line()
+        yield render(Node(tag, {}, summary_of(node)), into, pre)
+        into.end_line()
     elif tag in PARAGRAPHS:
         into.gap()
-        render(node, into, pre or tag == "pre")
+        yield render(node, into, pre or tag == "pre")
         into.gap()
     elif tag in BLOCKS:
         into.end_line()
-        render(node, into, pre)
+        yield render(node, into, pre)
         into.end_line()
     else:
-        render(node, into, pre)
+        yield render(node, into, pre)
+
 
+def summary_of(details: Node) -> list[Node]:
+    """What closed details show: their first summary."""
+    return [c for c in details.children if isinstance(c, Node) and c.tag == "summary"][:1]
 
-def apart(node: Node, into: Lines) -> None:
+
+def apart(node: Node, into: Lines, pre: bool = False) -> Step:
     """Render an element's children as words of their own."""
     into.text(" ")
-    render(node, into)
+    yield render(node, into, pre)
     into.text(" ")
 
 
 def chosen(select: Node) -> list[Node]:
-    """Options that are shown: all of a list box, the one marked as selected of a menu."""
+    """Options that are shown: all of a list box; of a menu the one marked as selected, else the first
+    that is not disabled."""
     options: list[Node] = []
-
-    def gather(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, Node) and not hidden(child):
-                options.append(child) if child.tag == "option" else gather(child)
-
-    gather(select)
+    open_: list[Node] = [select]
+    while open_:
+        node = open_.pop()
+        if node.tag == "option" and node is not select:
+            options.append(node)
+        else:
+            open_ += [c for c in reversed(node.children) if isinstance(c, Node) and not hidden(c)]
     a = select.attributes
     if "multiple" in a or re.fullmatch(r"0*(?:[2-9]|[1-9][0-9]+)", a.get("size", "").strip()):
         return options
-    return [o for o in options if "selected" in o.attributes][-1:]
+    marked = [o for o in options if "selected" in o.attributes][-1:]
+    return marked or [o for o in options if "disabled" not in o.attributes][:1]
 
 
-def drawing(node: Node, into: Lines) -> None:
+def drawing(node: Node, into: Lines) -> Step:
     """The texts of a drawing, each as words of its own, and pages embedded in it."""
     for child in node.children:
         if isinstance(child, str) or child.tag in UNDRAWN or hidden(child):
             continue
         if child.tag in ("text", "foreignobject"):
-            apart(child, into)
+            yield apart(child, into)
         else:
-            drawing(child, into)
+            yield drawing(child, into)
 
 
-def block_lines(node: Node, pre: bool = False) -> list[str]:
+def block_lines(node: Node, pre: bool = False) -> Step:
     own = Lines()
-    render(node, own, pre)
+    yield render(node, own, pre)
     return own.finish()
 
 
-def list_lines(node: Node) -> list[str]:
+def whole_number(text: str, default: int) -> int:
+    """The number an attribute begins with, as browsers read it; at most nine digits count."""
+    found = re.match(r"[ \t\n\f\r]*([+-]?[0-9]{1,9})", text)
+    return int(found[1]) if found else default
+
+
+def list_lines(node: Node) -> Step:
     """Items with a dash or their number; what stands outside items keeps its place."""
     own = Lines()
-    start = node.attributes.get("start", "1")
-    number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+    number = whole_number(node.attributes.get("start", ""), 1)
     for child in node.children:
         if isinstance(child, str):
             own.text(child)
         elif child.tag == "li" and not hidden(child):
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            own.add(block_lines(child), mark, " " * len(mark))
+            own.add((yield block_lines(child)), mark, " " * len(mark))
         elif child.tag in ("ul", "ol") and not hidden(child):
-            own.add(list_lines(child), "  ", "  ")
+            own.add((yield list_lines(child)), "  ", "  ")
         else:
-            element(child, own, False)
+            yield element(child, own, False)
     return own.finish()
 
 
-def rows_of(node: Node) -> tuple[list[str], list[list[Node]]]:
+def rows_of(node: Node) -> Step:
     """Caption lines with what stands outside cells, and rows of cells of a table and its row groups."""
     caption, rows = [], []
     loose: list[Node] = []
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
-                caption += block_lines(Node("div", {}, [child]))
+                caption += yield block_lines(Node("div", {}, [child]))
         elif hidden(child):
             continue
         elif child.tag == "tr":
             for stray in child.children:
                 if isinstance(stray, str) and stray.strip():
-                    caption += block_lines(Node("div", {}, [stray]))
+                    caption += yield block_lines(Node("div", {}, [stray]))
             rows.append([c for c in child.children if isinstance(c, Node) and not hidden(c)])
         elif child.tag in ("thead", "tbody", "tfoot"):
-            more, inner = rows_of(child)
+            more, inner = yield rows_of(child)
             caption += more
             rows += inner
         elif child.tag in ("td", "th"):
             loose.append(child)
         elif child.tag not in ("colgroup", "col"):
-            caption += block_lines(Node("div", {}, [child]))
+            caption += yield block_lines(Node("div", {}, [child]))
     if loose:
         rows.append(loose)
     return caption, rows
 
 
-def table_lines(node: Node) -> list[str]:
+def table_lines(node: Node) -> Step:
     """Rows with cells in columns two blanks apart; a cell of several lines makes a row as high."""
-    caption, rows = rows_of(node)
+    caption, rows = yield rows_of(node)
     cells = []
     for row in rows:
         out: list[list[str]] = []
         for cell in row:
-            out.append(block_lines(cell) if cell.tag in ("td", "th") else block_lines(Node("td", {}, [cell])))
-            span = cell.attributes.get("colspan", "1")
-            out += [[]] * (min(int(span), 100) - 1 if span.isdigit() else 0)
+            out.append((yield block_lines(cell if cell.tag in ("td", "th") else Node("td", {}, [cell]))))
+            span = whole_number(cell.attributes.get("colspan", ""), 1)
+            out += [[]] * (min(span, 100) - 1)
         cells.append(out)
     widths: list[int] = []
     for row in cells:
@@ -472,7 +522,7 @@ def visible_text(html: str | None) -> str:
     page = parsed(html.replace("\x00", ""))
     if "visibility" in html.lower():
         page = without_unseen(page)
-    return "\n".join(block_lines(page))
+    return "\n".join(done(block_lines(page)))
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

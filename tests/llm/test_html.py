@@ -43,8 +43,10 @@ def test_visibility():
     assert show("<head><title>t</title><style>p{}</style></head><body>b") == "b"
     assert show("a<script>var t='</p>';x()</script>b<!-- c -->d<noscript>n</noscript>") == "abd"
     assert show("a<span hidden>b</span><i style='color:red; DISPLAY : none'>c</i>d") == "ad"
-    assert show("<p style='visibility:hidden'>a</p><p aria-hidden=true>b</p>c") == "c"
-    assert show("<select><option>x</select><textarea>y</textarea>z<input value=v><img alt=pic>") == "zvpic"
+    assert show("<p style='visibility:hidden'>a</p><p aria-hidden=true>b</p>c") == "b\n\nc"
+    assert show("<select><option>x</select><textarea>y</textarea>z<input value=v><img alt=pic>") == "x y zvpic"
+    assert show("<select><option disabled>x<option>y<option>z</select><textarea>\na  b\n c</textarea>") == "y a  b\n c"
+    assert show("<details>a<summary>s</summary>b<summary>t</summary></details><details open>c<summary>u</summary></details>") == "s\nc\nu"
     assert show("<title>t</title><p>x") == "x"
 
 
@@ -85,7 +87,45 @@ def test_what_browsers_show_is_kept():
     assert show("a<dialog open>b</dialog><dialog>c</dialog>d") == "a\nb\nd"
     assert show("<select><option>a<option selected>b<option>c</select>d") == "b d"
     assert show("<select multiple><option>a<option>b</select><select size=2><option>c</select>d") == "a b c d"
-    assert show("<select><option>a<input value=b>c") == "bc"
+    assert show("<select><option>a<input value=b>c") == "a bc"
+
+
+def test_odd_numbers_in_attributes():
+    assert show('<table><tr><td colspan="²">a<td>b<tr><td colspan=-3>c<td colspan=x>d</table>') == "a  b\nc  d"
+    assert show(f"<table><tr><td colspan={'9' * 5000}>a<td>b</table>").split() == ["a", "b"]
+    assert show(f"<ol start=-2><li>a</ol><ol start='³'><li>b</ol><ol start={'1' * 5000}><li>c</ol>").split()[:4] == ["-2.", "a", "1.", "b"]
+
+
+def test_nothing_is_too_deep():
+    assert show("<table><tr><td>" * 5000 + "x y").split() == ["x", "y"]
+    assert show("<ul><li>" * 1000 + "x").split()[-1] == "x"
+    assert show("<svg>" + "<g>" * 40000 + "<text>in</text>").split() == ["in"]
+    assert show("<b style='visibility:hidden'>" * 40000 + "<i style='visibility:visible'>x").split() == ["x"]
+    assert show("<div>" * 200_000 + "x" + "</div>" * 200_000 + "y").split() == ["x", "y"]
+
+
+def shown_words(source):
+    """All words but those of tags: what markup without invisible parts shows, in any order."""
+    return sorted(re.sub(r"<[^>]*>", " ", source).split())
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(
+        st.one_of(
+            st.sampled_from(["w ", "x y ", "\n", "</p>", "</td>", "</table>", "</div>", "</li>", "</b>", "</zz>"]),
+            st.tuples(
+                st.sampled_from("p div ul li table tr td th tbody b h1 blockquote dl dd dt section pre article".split()),
+                st.sampled_from(["", " colspan=²", " colspan='7x'", " start=-9", " class=\"a'b\"", " a=b'c", " ='", " style='color:red'"]),
+            ).map(lambda t: f"<{t[0]}{t[1]}>"),
+        ),
+        max_size=60,
+    )
+)
+def test_random_markup_loses_no_word(parts):
+    source = "".join(parts).replace(" ='>", " =q>")
+    got = re.sub(r"(?m)^\s*(?:- )+", " ", show(source))
+    assert sorted(w for w in got.split() if w != "-") == shown_words(source)
 
 
 def test_visibility_is_not_display():
