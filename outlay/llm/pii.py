@@ -200,6 +200,15 @@ def spans_of(text: Column, kind: Kind) -> Column:
     """Accepted spans of one kind, in order of their start."""
     match = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.ahead else 0))
     gaps = F.split(text, kind.pattern, -1)
+    # only what may be accepted is kept on the way: a table of numbers has a match in every cell
+    def possible(hit: Column) -> Column:
+        score = F.lit(kind.base_score + (kind.context_score if kind.context else 0.0))
+        if kind.checksum:
+            ends = F.array(hit, *[F.regexp_extract(hit, p, 0) for p in kind.shorter])
+            sound = F.exists(ends, lambda e: (F.length(e) > 0) & kind.checksum(e))
+            score = score + F.when(sound, kind.checked_score).otherwise(0.0)
+        return (score >= ACCEPT - 1e-9) & (F.lit(True) if kind.shorter else kind.valid(hit))
+
     placed = F.aggregate(
         F.arrays_zip(gaps.alias("gap"), match.alias("hit")),
         F.struct(
@@ -209,16 +218,21 @@ def spans_of(text: Column, kind: Kind) -> Column:
         lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(
             F.struct(
                 (acc["at"] + F.length(x["gap"]) + (1 if kind.ahead else F.length(x["hit"]))).alias("at"),
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            x["hit"].alias("hit"),
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                        )
+                F.when(
+                    possible(x["hit"]),
+                    F.concat(
+                        acc["found"],
+                        F.array(
+                            F.struct(
+                                x["hit"].alias("hit"),
+                                (acc["at"] + F.length(x["gap"])).alias("start"),
+                                (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
+                            )
+                        ),
                     ),
-                ).alias("found"),
+                )
+                .otherwise(acc["found"])
+                .alias("found"),
             )
         ),
         lambda acc: acc["found"],
@@ -260,13 +274,14 @@ def spans_of(text: Column, kind: Kind) -> Column:
     return F.when(kind.hint(text), accepted.cast(SPAN)).otherwise(nothing)
 
 
-def with_spans(docs: DataFrame, kinds=(*BASE_KINDS, *MORE_KINDS)) -> DataFrame:
-    """docs with `spans_<kind>` for each kind, in whole texts; null texts have none.
+def with_spans(docs: DataFrame, kinds=(*BASE_KINDS, *MORE_KINDS), prefix: str = "spans_") -> DataFrame:
+    """docs with a column of spans, prefix and kind, for each kind, in whole texts; null texts have none.
 
-    Rows are judged one by one; repeated rows give repeated results.
+    Rows are judged one by one: repeated rows give repeated results, an empty table an empty one. Columns of
+    docs with these names are replaced. The time for a text grows with its length and its accepted spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({f"spans_{k.name}": spans_of(text, k) for k in kinds})
+    return docs.withColumns({f"{prefix}{k.name}": spans_of(text, k) for k in kinds})
 
 
 def joined_spans(kinds) -> Column:
@@ -279,8 +294,12 @@ def joined_spans(kinds) -> Column:
 
 def redacted(docs: DataFrame, kinds=(*BASE_KINDS, *MORE_KINDS)) -> DataFrame:
     """docs with each span in the text replaced by [KIND]; overlapping spans become one, named
-    by the span that starts first (the longer of two that start together). Null stays null."""
-    names = [f"spans_{k.name}" for k in kinds]
+    by the span that starts first (the longer of two that start together). Null stays null, and all
+    other columns of docs stay."""
+    prefix = "spans_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    names = [f"{prefix}{k.name}" for k in kinds]
     every = F.sort_array(
         F.flatten(
             F.array(
@@ -310,4 +329,4 @@ def redacted(docs: DataFrame, kinds=(*BASE_KINDS, *MORE_KINDS)) -> DataFrame:
         every, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     )
     clean = F.when(F.size(every) > 0, rest).otherwise(text)
-    return with_spans(docs, kinds).withColumn("text", clean).drop(*names)
+    return with_spans(docs, kinds, prefix).withColumn("text", clean).drop(*names)

@@ -165,3 +165,13 @@ def test_query_equals_plain_search(spark, small):
             assert got[f"n_{kind}"] == sum(s[0] == kind for s in spans)
         assert got["base_sha256"] == hashlib.sha256(spans_text(spans).encode()).hexdigest()
         assert got["spans"].startswith(spans_text(spans))
+
+
+def test_long_texts_of_numbers(spark):
+    """A megabyte of single digits, one of words with some finds, and columns named like the operator's."""
+    digits = "1 x " * 250_000
+    words = "word " * 200_000 + "a.b@c.de 378282246310005 amex GB82 WEST 1234 5698 7654 32"
+    docs = spark.createDataFrame([(1, digits, "kept"), (2, words, "kept")], "doc_id int, text string, spans_email string")
+    out = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
+    assert out[1]["text"] == digits and out[1]["spans_email"] == out[2]["spans_email"] == "kept"
+    assert out[2]["text"] == "word " * 200_000 + "[EMAIL] [SHORT_CARD] amex [IBAN]"
