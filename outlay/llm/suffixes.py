@@ -8,11 +8,10 @@ with them, and one anchor in about a hundred bytes is enough.
 1. Every anchor gives a fingerprint of the bytes to its left and one of those to its right; one
    of the two lies inside any window of the anchor. Fingerprints seen at one place only are out.
 2. The others give their context, `LENGTH` bytes to either side. Equal contexts become one.
-3. Sampled splitters range-partition the contexts by the first bytes of their suffix, and those
-   of a lead with more than `BUCKET` contexts by the whole suffix. Each bucket sorts its suffixes and the
-   reversed prefixes by multikey quicksort, eight bytes at a time, and common prefixes of
-   neighbours tell which windows two contexts share. Where splitters cut through such a lead, windows
-   whose classes may go on beyond the bucket are compared across buckets by their hash.
+3. Sampled splitters range-partition the contexts by the first bytes of their suffix, then the rest of it.
+   Each bucket sorts its suffixes and the reversed prefixes by multikey quicksort, eight bytes at a time,
+   and common prefixes of neighbours tell which windows two contexts share. Where a splitter cuts through
+   equal leads, windows whose classes may go on beyond the bucket are compared across buckets by 128 bits.
 4. The widest shared windows of an anchor are removed around every place that has its context.
 
 A third of all texts may be copies of one, or share one passage: copies fold into one context before
@@ -211,8 +210,8 @@ def _matrix(contexts: list[bytes], left: np.ndarray, length: int):
 
 
 def _shared(length: int):
-    """A bucket of distinct contexts (id, context, left, wide): the widest window shared inside it, as
-    (id, before, after), and window hashes for classes that may reach beyond the bucket."""
+    """A bucket of distinct contexts (id, context, left): the widest window shared inside it, as
+    (id, before, after), and window keys for classes that may reach beyond the bucket."""
 
     def shared(batches):
         batches = [b for b in batches if len(b)]
@@ -235,17 +234,7 @@ def _shared(length: int):
         last = np.zeros(n, dtype=np.int64)
         last[by_suffix[-1]] = right[by_suffix[-1]]
         last[by_suffix[:-1]] = np.minimum.accumulate(suffix_lcp[:0:-1])[::-1]
-        # only a wide lead is cut by a splitter
-        edge = np.maximum(edge, last) * table["wide"].to_numpy()
-        # of contexts whose classes may go on elsewhere, prefix sums hash any part
-        asked = np.flatnonzero(edge >= GRAM)
-        hasher, row_of = Anchors(length), np.full(n, -1)
-        row_of[asked] = np.arange(len(asked))
-        sums = np.zeros((len(asked), 2 * length + 1), dtype=np.uint64)
-        up, down = powers(2 * length, BASE), powers(2 * length + 1, hasher.inverse)
-        for i, j in enumerate(asked.tolist()):
-            raw = np.frombuffer(contexts[j], dtype=np.uint8)
-            np.cumsum(hasher.values[raw] * up[: len(raw)], out=sums[i, 1 : len(raw) + 1])
+        edge = np.maximum(edge, last)
         most, least = np.full(n, -1, dtype=np.int64), np.full(n, length + 1, dtype=np.int64)
         for r in range(GRAM, length + 1):
             fits = (right >= r) & (left >= length - r)
@@ -264,14 +253,17 @@ def _shared(length: int):
             open_ = mine[one]
             open_ = open_[edge[open_] >= r]
             if len(open_):
-                i, a = row_of[open_], left[open_] - (length - r)
-                hashed = mixed((sums[i, a + length] - sums[i, a]) * down[a] + np.uint64(r))
+                at = (left[open_] - (length - r)).tolist()
+                keys = [
+                    hashlib.blake2b(contexts[i][a : a + length], digest_size=16, salt=b"%d" % r).digest()
+                    for i, a in zip(open_.tolist(), at)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[i] for i in open_.tolist()], pa.binary()),
                         pa.array(np.full(len(open_), r, np.int32)),
                         pa.array(np.full(len(open_), r, np.int32)),
-                        pa.array(hashed.view(np.int64)),
+                        pa.array(keys, pa.binary()),
                     ],
                     names=["id", "before", "after", "window"],
                 )
@@ -281,7 +273,7 @@ def _shared(length: int):
                 pa.array([ids[i] for i in found.tolist()], pa.binary()),
                 pa.array((length - least[found]).astype(np.int32)),
                 pa.array(most[found].astype(np.int32)),
-                pa.nulls(len(found), pa.int64()),
+                pa.nulls(len(found), pa.binary()),
             ],
             names=["id", "before", "after", "window"],
         )
@@ -316,19 +308,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     size = distinct.count()
     parts = max(1, -(-size // BUCKET))
     lead, suffix = (F.expr(f"substring(context, left + 1{n})") for n in (f", {GRAM}", ""))
-    wide = kept(
-        distinct.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET),
-        "wide-leads",
-    )
-    dealt = (
-        distinct.select("id", "context", "left", lead.alias("lead"))
-        .join(wide.withColumn("wide", F.lit(True)).drop("n"), "lead", "left")
-        .withColumn("wide", F.coalesce("wide", F.lit(False)))
-        .repartitionByRange(parts, "lead", F.when(F.col("wide"), suffix), F.when(F.col("wide"), F.col("id")))
-        .select("id", "context", "left", "wide")
-    )
+    # splitters are sampled whole: the lead, the rest of the suffix, and the id make every place a cut
+    dealt = distinct.select("id", "context", "left").repartitionByRange(parts, lead, suffix, "id")
     shared = kept(
-        dealt.mapInArrow(_shared(length), "id binary, before int, after int, window long"), "shared"
+        dealt.mapInArrow(_shared(length), "id binary, before int, after int, window binary"), "shared"
     )
     across = shared.where("window is not null")
     reached = across.groupBy("window").agg(F.min("id").alias("a"), F.max("id").alias("b"))
@@ -407,13 +390,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept_bytes may end inside a character. Columns of docs with the added names are replaced.
     """
     names = [c for c in docs.columns if c not in ("text", "n_bytes", "removed", "kept_bytes")]
-    keyed = docs.select(*names, "text").withColumn("_key", text_key(F.col("text")))
+    # inside, the given columns go by their place, so none can be taken for one of ours
+    given = [F.col(f"`{c}`").alias(f"given_{i}") for i, c in enumerate(names)]
+    keyed = docs.select(*given, "text", text_key(F.col("text")).alias("key"))
     texts = docs.select(text_key(F.col("text")).alias("text_key"), "text")
     spans = repeated_spans(texts, length)
     copies = texts.groupBy("text_key").agg((F.count("*") > 1).alias("copied"))
-    known = copies.where("copied").join(spans, "text_key", "full_outer").withColumnRenamed("text_key", "_known")
-    joined = keyed.join(known, keyed["_key"] == known["_known"], "left").select(
-        *names, "text", "spans", F.coalesce("copied", F.lit(False)).alias("copied")
+    known = copies.where("copied").join(spans, "text_key", "full_outer").withColumnRenamed("text_key", "known")
+    joined = keyed.join(known, keyed["key"] == known["known"], "left").select(
+        *[f"given_{i}" for i in range(len(names))], "text", "spans", F.coalesce("copied", F.lit(False)).alias("copied")
     )
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
     return joined.mapInArrow(

@@ -100,3 +100,13 @@ def test_query(spark, small):
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op6_suffix_array_dedup(spark, small).collect()}
     for d, (n, removed, spans, kept) in zip(docs, want):
         assert got[d["doc_id"]] == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_columns_named_like_the_operators_own(spark):
+    shared = "".join(chr(97 + i * i % 23) for i in range(260))
+    rows = [(1, "k1", "s1", True, "x" * 50 + shared), (2, "k2", "s2", False, shared + "y" * 70), (3, None, "s3", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, _key string, spans string, copied boolean, text string")
+    out = {r["doc_id"]: r for r in suffixes.without_repeats(docs).collect()}
+    assert out[1].asDict().keys() == {"doc_id", "_key", "spans", "copied", "n_bytes", "removed", "kept_bytes"}
+    assert [(out[i]["_key"], out[i]["spans"], out[i]["copied"]) for i in (1, 2, 3)] == [("k1", "s1", True), ("k2", "s2", False), (None, "s3", None)]
+    assert bytes(out[1]["kept_bytes"]) == b"x" * 50 and bytes(out[2]["kept_bytes"]) == b"y" * 70 and out[3]["n_bytes"] == 0
