@@ -5,27 +5,30 @@ item its k smallest shingle hashes, k = floor((1 - threshold) * largest size of
 document that contains a share of `threshold` of an item misses at most k - 1 of its shingles,
 so it meets one of these minima for sure, however long it is; a fixed banded signature of a whole
 long document would miss short items. Documents are read once and give only shingles that pass
-a bit set of the item shingles. Documents are joined with the minima alone; the pairs that meet are
+a bit set of the item shingles; items shorter than a shingle make them give windows of those few
+widths too. Documents are joined with the minima alone; the pairs that meet are
 verified by counting the item's shingles, as text, in the document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlay.llm.frames import has_bit, hash_bits, kept, text_key
-from outlay.llm.words import WordHasher, chunks, shingles
+from outlay.llm.words import WordHasher, chunks, shingles, windows
 
 WIDTH = 5
 THRESHOLD = 0.8
 
 
-def _shingled(df: DataFrame, width: int, bits=None) -> DataFrame:
-    """Distinct shingles, hash and text, of every row (row_id, text_key, text); with `bits`, only
-    those in that bit set."""
+def _shingled(df: DataFrame, width: int, bits=None, short: Sequence[int] = ()) -> DataFrame:
+    """Distinct shingles, hash and text, of every row (row_id, text_key, text), and its windows of the
+    widths in `short`; with `bits`, only those in that bit set."""
 
     def rows(batches):
         hasher = WordHasher()
@@ -33,7 +36,8 @@ def _shingled(df: DataFrame, width: int, bits=None) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column(2)):
                 words = hasher.words(chunk)
-                hashed, owner, at, length = shingles(words, width)
+                found = [shingles(words, width), *[windows(words, w) for w in short]]
+                hashed, owner, at, length = map(np.concatenate, zip(*found))
                 if wanted is not None:
                     hit = has_bit(wanted, hashed)
                     hashed, owner, at, length = hashed[hit], owner[hit], at[hit], length[hit]
@@ -91,18 +95,20 @@ def contained_items(
     item's distinct shingles in the document of at least the threshold.
 
     docs has doc_id and text, items has item_id and text; other columns are ignored. Words are
-    case-sensitive. A text of fewer than five words has one shingle of all its words, so a short
-    item is found only in documents that consist of it. Null and empty texts have no shingle and
-    no pair. Null ids are kept as ids. Repeated rows give one pair, as do rows of one id and text;
+    case-sensitive. An item of fewer than five words has one shingle of all its words, and is found in
+    every document that has these words in a row. Null and empty texts have no shingle and no pair. Null ids are kept as ids. Repeated rows give one pair, as do rows of one id and text;
     rows of one item id form one item. Empty tables give no pair.
     """
     spark = docs.sparkSession
     minima = kept(item_minima(items, threshold, width), "items")
     bits = spark.sparkContext.broadcast(hash_bits(minima.select("hash").distinct(), "hash"))
+    n_words = F.size(F.split(F.col("shingle").cast("string"), " "))
+    short = [r[0] for r in minima.select(n_words.alias("n")).where(F.col("n") < width).distinct().collect()]
     hits = _shingled(
         docs.select(F.col("doc_id").alias("row_id"), text_key(F.col("text")).alias("text_key"), "text"),
         width,
         bits,
+        short,
     )
     hits = kept(hits.select(F.col("row_id").alias("doc_id"), "text_key", "shingle").distinct(), "hits")
     asked, spelled, given = candidates(hits, minima).alias("c"), minima.alias("i"), hits.alias("h")

@@ -181,12 +181,8 @@ def mixed(
     plan = plan.withColumn("cut", F.coalesce("cut", F.lit(-1)))
     placed = sized.join(F.broadcast(plan), "sources")
     sure = placed.where("bucket <> cut").withColumn("extra", (F.col("bucket") < F.col("cut")).cast("int"))
-    ahead = Window.partitionBy("sources").orderBy("draw", "doc_id", "size")
-    before = F.coalesce(
-        F.sum("size").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    middle = (F.col("before") + before) * 2 + F.col("size")
-    near = placed.where("bucket = cut").withColumn("extra", (middle <= F.col("rest") * 2).cast("int"))
+    near = _in_cut_bucket(placed.where("bucket = cut"))
+    sure = sure.select(*near.columns)
     return (
         sure.unionByName(near)
         .withColumn("copies", F.col("full") + F.col("extra"))
@@ -195,6 +191,43 @@ def mixed(
     )
 
 
+def _in_cut_bucket(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets in which a pattern's rest ends, with `extra`.
+
+    Rows equal in id and size are one row with their number, so an id that repeats without end is one
+    row of the order. A second cut by the next digits of the draw leaves one in 16 million rows to it.
+    """
+    rows = ("sources", "draw", "doc_id", "size")
+    known = ("full", "source_size", "target", "rest", "before")
+    folded = placed.groupBy(*rows, *known).agg(F.count("*").alias("n"))
+    folded = folded.withColumn("part", F.conv(F.substring("draw", 4, 3), 16, 10).cast("int"))
+    words = F.col("size") * F.col("n")
+    running = Window.partitionBy("sources").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = (
+        folded.groupBy("sources", "part", "rest", "before")
+        .agg(F.sum(words).alias("own"))
+        .withColumn("upto", F.col("before") + F.sum("own").over(running))
+        .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("own") <= F.col("rest")))
+        .select(F.col("sources").alias("_p"), F.col("part").alias("end"), (F.col("upto") - F.col("own")).alias("start"))
+    )
+    # one row per pattern again
+    dealt = folded.join(F.broadcast(ends), F.col("sources") == F.col("_p")).drop("_p")
+    ahead = Window.partitionBy("sources").orderBy("draw", "doc_id", "size")
+    so_far = F.col("start") + F.coalesce(F.sum(words).over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = 2 * F.col("rest") - 2 * so_far - F.col("size")
+    fits = F.when(room < 0, 0).when(F.col("size") == 0, F.col("n")).otherwise(
+        F.least(F.col("n"), F.floor(room / (2 * F.nullif("size", F.lit(0)))) + 1)
+    )
+    inside = dealt.where(F.col("part") == F.col("end")).withColumn("fits", fits.cast("long"))
+    around = dealt.where(F.col("part") != F.col("end")).withColumn(
+        "fits", F.when(F.col("part") < F.col("end"), F.col("n")).otherwise(F.lit(0).cast("long"))
+    )
+    each = inside.unionByName(around).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select(
+        "doc_id", "sources", "size", "source_size", "target", "full", (F.col("copy") <= F.col("fits")).cast("int").alias("extra")
+    )
+
+
 def _planned(patterns, weights, volume, repeats) -> list[tuple]:
     """Solve targets and flow for collected (sources, words) patterns."""
     names = {s for p in patterns for s in p["sources"]}

@@ -16,6 +16,10 @@ with w as (
     case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
     else list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) end) as s
   from w
+  union
+  -- runs of as many words as a short item has
+  select distinct doc_id, k, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) as s
+  from w, (select distinct len(w) as n from i where len(w) between 1 and 4) where len(w.w) >= n
 ), its as (
   select distinct item_id, unnest(
     case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]

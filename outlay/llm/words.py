@@ -144,3 +144,13 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         hashed, at = np.concatenate([hashed, few]), np.concatenate([at, first[short]])
         length = np.concatenate([length, counts[short]])
     return hashed, text[at], at, length
+
+
+def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like `shingles` for all runs of `width` words, with the hashes of texts that are that short."""
+    text = words.text_of()
+    at = np.flatnonzero(np.arange(len(words.hash)) + width <= words.first[1:][text])
+    total = np.zeros(len(at), dtype=np.uint64)
+    for j in range(width):
+        total = total * np.uint64(0xD6E8FEB86659FD93) + words.hash[at + j]
+    return mixed(total + np.uint64(width)), text[at], at, np.full(len(at), width)

@@ -18,6 +18,9 @@ def brute(docs, items):
         s = shingle_set(text)
         for d, t in docs:
             n = len(s & shingle_set(t))
+            if s and len(text.split()) < 5:
+                run, w = text.split(), (t or "").split()
+                n = int(any(w[p : p + len(run)] == run for p in range(len(w))))
             if s and n >= 0.8 * len(s) - 1e-9:
                 out.add((d, i, len(s), n))
     return out
@@ -56,6 +59,16 @@ def test_items_whole_partly_and_short(spark):
     assert found(spark, docs, items) == want
 
 
+def test_short_items_are_found_in_long_documents(spark):
+    items = [(1, "alpha beta gamma"), (2, "one"), (3, "a b c d"), (4, " \n"), (5, "p q r s t u"), (6, "beta gamma")]
+    filler = " ".join(f"f{i}" for i in range(9000))
+    docs = [(1, f"{filler} alpha beta gamma {filler}"), (2, "alpha beta x gamma"), (3, "one"), (4, f"x\tone\n{filler}"), (5, "a b c d e"),
+            (6, "b c d a"), (7, "a b c"), (8, None), (9, "p q r s t u"), (10, "gamma alpha beta gamma"), (None, "beta gamma")]
+    want = brute(docs, items)
+    assert {(1, 1), (10, 1), (4, 2), (5, 3), (9, 5), (None, 6)} <= {p[:2] for p in want}
+    assert found(spark, docs, items) == want
+
+
 def test_only_minima_make_candidates(spark):
     rng = random.Random(9)
     common = "the end of the text"  # its hash is no minimum of most items

@@ -88,3 +88,15 @@ def test_empty_table_and_empty_texts(spark):
     assert mixing.mixed(spark.createDataFrame([], schema)).collect() == []
     row = mixing.mixed(spark.createDataFrame([(1, "", None)], schema)).first()
     assert (row["size"], row["target"], row["taken"]) == (0, 0.0, 0)
+
+
+def test_one_id_in_all_rows(spark):
+    """Rows of one id share a draw; folded ones take as many copies as an order of all rows would."""
+    rows = [(None if i % 3 else 7, "w " * (i % 4), "s" if i % 5 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed(docs).select("doc_id", "sources", "size", "target", "taken").collect()
+    assert len(out) == 600
+    for name in ("s", None):
+        mine = [r for r in out if r["sources"] == [name]]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 3
+        assert sorted((r["doc_id"] or 0, r["size"]) for r in mine) == sorted((i or 0, len(t.split())) for i, t, s in rows if s == name)
