@@ -242,13 +242,12 @@ def _scratch_databases(spark: SparkSession, *names: str) -> tuple[str, dict[str,
 
 
 def warehouse_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two full refreshes from extracts to stored products; a digest of what is stored then."""
+    """A full refresh from extracts to stored products; a digest of what is stored then."""
     extracts_folder = _extracts_folder(spark, sf_dir)
     folder, named = _scratch_databases(spark, "bronze", "silver", "gold", "analytics", "ml")
-    for _ in range(2):
-        refresh_warehouse(
-            spark, extracts_folder, f"{folder}/exports", CONTRACT_DAY, LOADED_AT, folder, named, buckets=16
-        )
+    refresh_warehouse(
+        spark, extracts_folder, f"{folder}/exports", CONTRACT_DAY, LOADED_AT, folder, named, buckets=16
+    )
     measures = {
         ("gold", "fact_spend"): "invoice_amount",
         ("gold", "spend_cube"): "spend",
