@@ -8,10 +8,11 @@ with them, and one anchor in about a hundred bytes is enough.
 1. Every anchor gives a fingerprint of the bytes to its left and one of those to its right; one
    of the two lies inside any window of the anchor. Fingerprints seen at one place only are out.
 2. The others give their context, `LENGTH` bytes to either side. Equal contexts become one.
-3. Sampled splitters range-partition the contexts by the first bytes of their suffix, then the rest of it.
-   Each bucket sorts its suffixes and the reversed prefixes by multikey quicksort, eight bytes at a time,
-   and common prefixes of neighbours tell which windows two contexts share. Where a splitter cuts through
-   equal leads, windows whose classes may go on beyond the bucket are compared across buckets by 128 bits.
+3. Sampled splitters range-partition the contexts by the first bytes of their suffix, and those
+   of a lead with more than `BUCKET` contexts by the whole suffix. Each bucket sorts its suffixes and the
+   reversed prefixes by multikey quicksort, eight bytes at a time, and common prefixes of
+   neighbours tell which windows two contexts share. Where splitters cut through such a lead, windows
+   whose classes may go on beyond the bucket are compared across buckets by 128 bits.
 4. The widest shared windows of an anchor are removed around every place that has its context.
 
 A third of all texts may be copies of one, or share one passage: copies fold into one context before
@@ -210,7 +211,7 @@ def _matrix(contexts: list[bytes], left: np.ndarray, length: int):
 
 
 def _shared(length: int):
-    """A bucket of distinct contexts (id, context, left): the widest window shared inside it, as
+    """A bucket of distinct contexts (id, context, left, wide): the widest window shared inside it, as
     (id, before, after), and window keys for classes that may reach beyond the bucket."""
 
     def shared(batches):
@@ -234,7 +235,8 @@ def _shared(length: int):
         last = np.zeros(n, dtype=np.int64)
         last[by_suffix[-1]] = right[by_suffix[-1]]
         last[by_suffix[:-1]] = np.minimum.accumulate(suffix_lcp[:0:-1])[::-1]
-        edge = np.maximum(edge, last)
+        # only a wide lead is cut by a splitter
+        edge = np.maximum(edge, last) * table["wide"].to_numpy()
         most, least = np.full(n, -1, dtype=np.int64), np.full(n, length + 1, dtype=np.int64)
         for r in range(GRAM, length + 1):
             fits = (right >= r) & (left >= length - r)
@@ -308,8 +310,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     size = distinct.count()
     parts = max(1, -(-size // BUCKET))
     lead, suffix = (F.expr(f"substring(context, left + 1{n})") for n in (f", {GRAM}", ""))
-    # splitters are sampled whole: the lead, the rest of the suffix, and the id make every place a cut
-    dealt = distinct.select("id", "context", "left").repartitionByRange(parts, lead, suffix, "id")
+    wide = kept(
+        distinct.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET),
+        "wide-leads",
+    )
+    dealt = (
+        distinct.select("id", "context", "left", lead.alias("lead"))
+        .join(wide.withColumn("wide", F.lit(True)).drop("n"), "lead", "left")
+        .withColumn("wide", F.coalesce("wide", F.lit(False)))
+        .repartitionByRange(parts, "lead", F.when(F.col("wide"), suffix), F.when(F.col("wide"), F.col("id")))
+        .select("id", "context", "left", "wide")
+    )
     shared = kept(
         dealt.mapInArrow(_shared(length), "id binary, before int, after int, window binary"), "shared"
     )
