@@ -4,16 +4,22 @@ Texts become sets of five-word shingles; equal sets form one class at once. Ever
 in each of `TREES` bands one key of its minhash values, and sets with equal keys meet. This is not an LSH
 forest: the number of values in a key is one constant of the parameters, the most up to `DEPTH` at which
 a pair at the threshold meets in some band with the target probability, and does not follow what the data
-match. Meeting sets are linked to one of their bucket, which gives candidate clusters. Within a cluster all sets are compared exactly by their
-shingles, in blocks of `BLOCK` sets, so no task holds more than two blocks and no pair leaves a task:
-blocks return the number of links of each set and a spanning forest of the links.
+match. A bucket is known by its least set, and a set is at home with the least of its buckets. Sets of one
+home are dealt by hash into blocks of about `BLOCK`. Two blocks are compared, all sets of the one with all of the
+other, if they have one home or meet in a bucket; so a pair is counted once, in the one pair of blocks that
+holds it, and a chain of buckets costs what its buckets cost, not the square of the chain. No task holds more
+than two blocks and no pair leaves a task: blocks return the number of links of each set and a
+spanning forest of the links.
+
+The least of n sets in a bucket is low among all N, and homes are lower still: a bucket of n sets has about
+N / n homes at most, so the blocks that meet in it stay near n / BLOCK + N / n, whatever n is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.llm.frames import has_bit, hash_bits, kept, row_key
@@ -172,7 +178,7 @@ def components(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
 
 
 def _compare(threshold: float):
-    """A task on one pair of blocks of a cluster: links of each set, and a spanning forest."""
+    """A task on one pair of blocks: links of each set, and a spanning forest."""
 
     def spanning(n: int, left: np.ndarray, right: np.ndarray):
         root = list(range(n))
@@ -193,9 +199,9 @@ def _compare(threshold: float):
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table["set_id"].to_pylist()
-        blocks = table["block"].to_numpy()
+        side = table["side"].to_numpy()
         copies = table["copies"].to_numpy()
-        first, second = table["first"][0].as_py(), table["second"][0].as_py()
+        within = table["first"][0] == table["second"][0]
         members = [np.frombuffer(s, dtype=np.uint64) for s in table["shingles"].to_pylist()]
         size = np.array([len(m) for m in members], dtype=np.int64)
         n = len(ids)
@@ -220,10 +226,10 @@ def _compare(threshold: float):
         linked = inside >= np.ceil(
             threshold * (size[:, None] + size[None, :] - inside) - 1e-9
         )
-        if first == second:
+        if within:
             np.fill_diagonal(linked, False)
         else:
-            linked &= blocks[:, None] != blocks[None, :]
+            linked &= side[:, None] != side[None, :]
         links = linked @ copies
         left, right = np.nonzero(np.triu(linked))
         forest = spanning(n, left, right)
@@ -241,6 +247,41 @@ def _compare(threshold: float):
     return compare
 
 
+def met_blocks(members: DataFrame, placed: DataFrame, homes: DataFrame) -> DataFrame:
+    """(first, second): pairs of blocks of one home, each block with itself, and pairs that meet in a bucket.
+
+    members: (set_id, tree, b) of all buckets, placed: (set_id, block, home), homes: (home, parts).
+    """
+    inside = homes.select(
+        "home", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    ).select(
+        _block("home", F.col("part")).alias("first"),
+        F.explode(
+            F.transform(F.sequence(F.col("part"), F.col("parts") - 1), lambda q: _block("home", q))
+        ).alias("second"),
+    )
+    touched = members.join(placed.select("set_id", "home", "block"), "set_id").select(
+        "tree", "b", "home", "block"
+    )
+    # one home in a bucket: its blocks are compared anyway. Buckets of other trees often hold the same blocks
+    lists = (
+        touched.distinct()
+        .groupBy("tree", "b")
+        .agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.min("home").alias("lo"), F.max("home").alias("hi"))
+        .where("lo <> hi")
+        .select("blocks")
+        .distinct()
+    )
+    across = lists.select("blocks", F.posexplode("blocks").alias("at", "first")).select(
+        "first", F.explode(F.expr("slice(blocks, at + 2, size(blocks))")).alias("second")
+    )
+    return inside.unionByName(across).distinct()
+
+
+def _block(home: str, part: Column) -> Column:
+    return F.concat(F.col(home), F.unhex(F.lpad(F.hex(part.cast("long")), 16, "0")))
+
+
 def classes(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -274,42 +315,37 @@ def classes(
     buckets = met.groupBy("tree", "prefix").agg(F.min("set_id").alias("b"), F.count("*").alias("n"))
     # sides of joins are stored where a hot key must be split: that needs an exchange of their own
     buckets = kept(buckets.where("n > 1").drop("n"), "buckets")
-    # a set's buckets have at most `trees` centres: it hangs on the least, and so do the others
-    centres = (
-        met.join(buckets, ["tree", "prefix"])
-        .groupBy("set_id")
-        .agg(F.collect_set("b").alias("centres"))
-        .withColumn("b", F.array_min("centres"))
+    members = kept(
+        met.join(buckets, ["tree", "prefix"]).select("set_id", "tree", "b"), "members"
     )
-    hung = centres.select(F.explode(F.array_union(F.array("set_id"), "centres")).alias("a"), "b")
-    edges = kept(hung.where("a <> b").distinct(), "candidates")
-    nodes = kept(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    clusters = components(edges, nodes, "clusters")
-    # blocks by hash, so that a cluster of any size is dealt out evenly without ranking it
-    sizes = kept(
-        clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes"
+    at_home = kept(members.groupBy("set_id").agg(F.min("b").alias("home")), "homes")
+    homes = kept(
+        at_home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts")), "home-sizes"
     )
-    placed = clusters.join(sizes, "root").select(
-        F.col("node").alias("set_id"),
-        "root",
-        "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+    # parts by hash, so that a home of any size is dealt out evenly without ranking it
+    placed = at_home.join(homes, "home").select(
+        "set_id", "home", _block("home", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("block")
     )
     head = F.expr("cast(conv(hex(substring(set_id, 1, 8)), 16, -10) as long)")
     placed = kept(placed.join(sets.select("set_id", "copies"), "set_id"), "placed")
     bits = spark.sparkContext.broadcast(
         hash_bits(placed.select(head.alias("head")), "head")
     )
-    members = _members(docs, bits, width).groupBy("set_id").agg(F.any_value("shingles").alias("shingles"))
+    content = _members(docs, bits, width).groupBy("set_id").agg(F.any_value("shingles").alias("shingles"))
+    compared_blocks = kept(met_blocks(members, placed, homes), "met-blocks")
+    first, second = F.col("first"), F.col("second")
+    sides = F.array(F.struct(first.alias("block"), F.lit(True).alias("side")))
+    other = F.array(F.struct(second.alias("block"), F.lit(False).alias("side")))
+    wanted = compared_blocks.select(
+        "first", "second", F.inline(F.when(first == second, sides).otherwise(F.concat(sides, other)))
+    )
     pairs = (
-        placed.join(members, "set_id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-        .withColumn("first", F.least("block", "other"))
-        .withColumn("second", F.greatest("block", "other"))
-        .select("root", "first", "second", "block", "set_id", "copies", "shingles")
+        placed.join(content, "set_id")
+        .join(wanted, "block")
+        .select("first", "second", "side", "set_id", "copies", "shingles")
     )
     compared = kept(
-        pairs.groupBy("root", "first", "second").applyInArrow(
+        pairs.groupBy("first", "second").applyInArrow(
             _compare(threshold), "set_id binary, links long, other binary"
         ),
         "compared",
@@ -344,7 +380,10 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     other), of rows that share it one by a hash of the text. Texts without words stay, once for each id.
     Of rows equal in id and text one stays.
     """
+    name = "_row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     found = classes(docs, **options)
-    first = found.where("first_of_class").select(F.col("row_key").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", row_key())
-    return keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    first = found.where("first_of_class").select(F.col("row_key").alias(name)).distinct()
+    keyed = docs.withColumn(name, row_key())
+    return keyed.join(first, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -113,3 +113,22 @@ def test_query_equals_all_pairs(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = [tuple(r) for r in queries.op10_ngram_jaccard_join(spark, small).collect()]
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
+
+
+def test_a_chain_of_homes(spark, monkeypatch):
+    """Texts that drift: neighbours are linked, the ends are not alike, and homes differ along the way."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    w = [rng.choice(words) for _ in range(100)]
+    rows = []
+    for i in range(120):
+        w = w[3:] + [rng.choice(words) for _ in range(3)]
+        rows.append((i, " ".join(w)))
+    check(spark, rows)
+
+
+def test_a_column_named_like_the_row_key(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5), (2, "a  b c", 6)], "doc_id long, text string, _ROW int")
+    got = neardup.deduplicated(docs)
+    assert [tuple(r) for r in got.collect()] == [(1, "a b c", 5)] and got.columns == docs.columns
