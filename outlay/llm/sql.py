@@ -99,15 +99,19 @@ with t as (
           lag(again, 2, false) over (partition by k order by p) as again2 from found)
   group by k
 ), lines as (
-  select k, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(string_split(x, chr(10))) as n_lines
-  from (select k, x,
+  select k, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(every) as n_lines,
+    len(list_filter(every, lambda a: ends_with(a, '...'))) as n_broken,
+    len(list_filter(every, lambda a: regexp_matches(a, '^[\\x20\\t]*[-*\\x{2022}]'))) as n_items, n_plain
+  from (select k, string_split(x, chr(10)) as every,
+          len(list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'),
+            lambda a: a <> '' and not regexp_matches(a, '\\p{L}'))) as n_plain,
           list_filter(string_split(x, chr(10)), lambda a: regexp_matches(a, '[^\\x20\\x09-\\x0D]')) as ls
         from t)
 ), s as (
   select t.k, doc_id, x, coalesce(n_words, 0) as n_words,
     length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars,
     length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) as n_symbols,
-    n_dup_lines, n_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+    n_dup_lines, n_lines, n_broken, n_items, n_plain, coalesce(n_repeat_words, 0) as n_repeat_words
   from t left join covered using (k) join lines using (k)
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -115,7 +119,10 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words
     or word_chars < 2 * n_words or word_chars > 20 * n_words
     or n_symbols * 5 > n_words * 2 or n_dup_lines * 2 > n_lines
-    or length(regexp_replace(x, '\\p{L}+', '', 'g')) * 2 > length(x)) as kept
+    or length(regexp_replace(x, '\\p{L}+', '', 'g')) * 2 > length(x)
+    or length(regexp_replace(x, '[0-9]+', '', 'g')) * 10 < length(x) * 7
+    or length(regexp_replace(x, '[A-Z]+', '', 'g')) * 2 < length(x)
+    or n_plain * 2 > n_words or n_broken * 10 > n_lines * 3 or n_items * 10 > n_lines * 9) as kept
 from s
 """
 

@@ -69,7 +69,7 @@ def test_verdicts(spark):
     good = " ".join(f"word{i} stands" for i in range(60))
     texts = [good, "few words", "same three words " * 40, good + "".join(f" ##w{i}#" for i in range(60)), good.replace(" ", "x"), None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in rules.judged(docs).collect()}
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in rules.judged(docs, report=rules.STATISTICS).collect()}
     assert got == {0: (False, True), 1: (True, False), 2: (True, False), 3: (False, False), 4: (True, False), 5: (True, False)}
     assert rules.judged(docs.limit(0)).collect() == []
 
@@ -81,3 +81,34 @@ def test_query(spark, small):
         assert got == plain(docs[r["doc_id"]])
         assert r["base_failed"] == (got[0] < 50 or 100 * got[4] > 50 * got[0])
         assert not (r["kept"] and r["base_failed"])
+
+
+def test_lazy_statistics_give_the_same_verdicts(spark):
+    line = " ".join(f"word{chr(97 + i % 26)} is no{i}" for i in range(60))
+    texts = {
+        "": line, "few_words": "a b", "repeated_words": "same three words " * 40,
+        "mean_word_length": line.replace(" word", "word" * 30), "symbols": line + " #%$" * 40,
+        "duplicate_lines": "x one\n" * 4 + line, "letters": line + " 12-34" * 400,
+        "capitals": line.upper(), "ellipsis_lines": line + "...", "bullet_lines": " - " + line,
+    }
+    docs = spark.createDataFrame([(k, t, 7) for k, t in texts.items()], "name string, text string, _Words int")
+    lazy = rules.judged(docs)
+    assert lazy.columns == ["name", "text", "_Words", "rejected_by", "kept"]
+    got = {r["name"]: r["kept"] for r in lazy.collect()}
+    full = {r["name"]: r["kept"] for r in rules.judged(docs, report=rules.STATISTICS).collect()}
+    assert got == full and [k for k, v in got.items() if v] == [""]
+    # each rule by itself rejects the text that bears its name
+    words = docs.withColumn("w", rules.words_of(F.col("text")))
+    stat = rules.expressions(F.col("text"), F.col("w"))
+    for rule in rules.default_rules(stat, F.col("w")):
+        if rule.name in texts and rule.name:
+            assert words.where(F.col("name") == rule.name).where(rule.fails).count() == 1, rule.name
+
+
+def test_a_rule_is_timed_with_its_statistic(spark):
+    docs = spark.range(400).select("id", F.repeat(F.lit("some words here "), 300).alias("text"))
+    stat = rules.expressions(F.col("text"), rules.words_of(F.col("text")))
+    slow, fast = rules.Rule("slow", stat["n_repeat_words"] > 5), rules.Rule("fast", F.col("id") >= 0)
+    measured = {m.rule.name: m for m in rules.measure(docs, [slow, fast])}
+    assert measured["slow"].rejected == measured["fast"].rejected == 400
+    assert measured["slow"].seconds > measured["fast"].seconds
