@@ -11,7 +11,7 @@ changes the cost, never the verdict.
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -178,16 +178,20 @@ class Measured:
 
 
 def measure(
-    docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, repeats: int = 2
+    docs: DataFrame,
+    rules: Sequence[Rule],
+    sample_rows: int = SAMPLE_ROWS,
+    repeats: int = 2,
+    prepared: Callable[[DataFrame], DataFrame] = lambda sample: sample,
 ) -> list[Measured]:
     """Cost and rejections of each rule on a sample of about `sample_rows` rows of docs.
 
-    The sample is written once. A rule's cost is the least time of a job that evaluates it on every sampled
+    The sample is written once, with the columns that `prepared` adds to its rows alone. A rule's cost is the least time of a job that evaluates it on every sampled
     row, statistic included, less that of a job without a rule, and a millisecond at least. It only decides
     the order of the rules.
     """
     share = min(1.0, sample_rows / max(docs.count(), 1))
-    sample = kept(docs.sample(fraction=share, seed=7), "rule-sample")
+    sample = kept(prepared(docs.sample(fraction=share, seed=7)), "rule-sample")
 
     def timed(fails: Column) -> tuple[float, int]:
         times, rejected = [], 0
@@ -241,11 +245,13 @@ def judged(
         stat = expressions(F.col("text"), F.col(words))
         return default_rules(stat | {name: F.col(name) for name in reported}, F.col(words))
 
-    held = docs.withColumn(words, words_of(F.col("text")))
-    found = expressions(F.col("text"), F.col(words))
-    held = held.withColumns({name: found[name] for name in reported})
-    order = ordered(measure(held, cascade_rules()))
-    out = held.withColumn("rejected_by", cascade(order)).withColumn("kept", F.col("rejected_by").isNull())
+    def prepared(frame: DataFrame) -> DataFrame:
+        found = expressions(F.col("text"), F.col(words))
+        frame = frame.withColumn(words, words_of(F.col("text")))
+        return frame.withColumns({name: found[name] for name in reported})
+
+    order = ordered(measure(docs, cascade_rules(), prepared=prepared))
+    out = prepared(docs).withColumn("rejected_by", cascade(order)).withColumn("kept", F.col("rejected_by").isNull())
     if {"n_words", "n_repeat_words"} <= set(reported):
         base = base_rules({name: F.col(name) for name in reported})
         out = out.withColumn("base_failed", base[0].fails | base[1].fails)
