@@ -1,8 +1,9 @@
 """Language-model scoring by deleted interpolation of n-grams.
 
 P(w | context) mixes the maximum-likelihood estimates of all orders with the uniform one. The
-weights depend on how often the longest context was seen, by buckets of that frequency, and are
-learned by expectation-maximisation on texts whose n-grams are left out of the estimates.
+weights depend on how often the longest context was seen, by buckets of that frequency, one per power
+of two up to the size of the corpus, and are learned by expectation-maximisation on texts whose
+n-grams are left out of the estimates. A bucket with few such tokens leans on the one below it.
 
 Texts are dealt into blocks of about `BLOCK_BYTES`. A block asks for the counts of its distinct
 n-grams with sorted 64-bit hashes, packed per range of hashes; a range's task adds up what all
@@ -13,6 +14,8 @@ and neither a model nor a vocabulary is ever held in one place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +26,18 @@ from outlay.llm.words import WordHasher, chunks, mixed
 
 ORDER = 2
 BLOCK_BYTES = 4 << 20
+#: Blocks whose questions a hash range answers: messages are order * blocks ** 2 / RANGE_BLOCKS.
+RANGE_BLOCKS = 8
 TUNING = 10
-BUCKETS = 12
-CELLS = 64
+#: Half bits that an estimate is rounded to for the weights; 2 ** -63 is the least count over a context.
+CELLS = 128
 EM_ROUNDS = 60
+#: Tokens of the bucket below that a bucket's weights start from.
+PRIOR = 100
+#: Copies of a row that one task writes out again.
+PIECE = 1000
 END = 0x5851F42D4C957F2D
+COLUMNS = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -88,9 +98,25 @@ def token_grams(texts: pa.Array, order: int, hasher: WordHasher):
     return grams, first
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """Equal rows as one row with the sum of their copies."""
+    keys = ["block", "doc_id", "text", "use"]
+    summed = table.group_by(keys).aggregate([("copies", "sum")])
+    return summed.select([*keys, "copies_sum"]).rename_columns([*keys, "copies"])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch as one, before they are shuffled."""
+    for batch in batches:
+        yield from _merged(pa.Table.from_batches([batch])).to_batches()
+
+
 def blocks(docs: DataFrame, folds: int, test_fold: int, block_bytes: int) -> tuple[DataFrame, int]:
-    """(block, doc_id, text, use), and the number of blocks. use: 0 for counting, 1 for the mixture
-    weights, 2 for test. Every `TUNING`-th block is for the weights; blocks are random texts."""
+    """(block, doc_id, text, use, copies), and the number of blocks. use: 0 for counting, 1 for the
+    mixture weights, 2 for test. Every `TUNING`-th block is for the weights; blocks are random texts.
+
+    Equal rows share a block, and reach it once per batch of the scan with the number of copies.
+    """
     text = F.coalesce("text", F.lit(""))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(TUNING, -(-size // block_bytes))
@@ -98,7 +124,8 @@ def blocks(docs: DataFrame, folds: int, test_fold: int, block_bytes: int) -> tup
     block = F.pmod(F.xxhash64("doc_id", text), F.lit(count)).cast("int")
     dealt = docs.select(block.alias("block"), "doc_id", text.alias("text"), fold.alias("fold"))
     use = F.when(F.col("fold") == test_fold, 2).when(F.col("block") % TUNING == 0, 1).otherwise(0)
-    return dealt.select("block", "doc_id", "text", use.alias("use")), count
+    rows = dealt.select("block", "doc_id", "text", use.alias("use"), F.lit(1).cast("long").alias("copies"))
+    return rows.mapInArrow(_folded, rows.schema), count
 
 
 def _asked(order: int, ranges: int):
@@ -106,13 +133,15 @@ def _asked(order: int, ranges: int):
     training texts hold them. All training texts of a block count, or all are for tuning."""
 
     def ask(table: pa.Table) -> pa.Table:
+        table = _merged(table)
         block = table["block"][0].as_py()
         grams, first = token_grams(table["text"], order, WordHasher(fold_case=True))
-        train = np.repeat(table["use"].to_numpy() < 2, np.diff(first))
+        copies = np.where(table["use"].to_numpy() < 2, table["copies"].to_numpy(), 0)
+        copies = np.repeat(copies, np.diff(first))
         rows = []
         for n in range(1, order + 1):
             values, where = np.unique(grams[n - 1], return_inverse=True)
-            held = np.bincount(where[train], minlength=len(values))
+            held = np.bincount(where, copies, minlength=len(values)).astype(np.int64)
             part = (values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             cut = np.searchsorted(part, np.arange(ranges + 1))
             for r in np.flatnonzero(np.diff(cut)).tolist():
@@ -172,6 +201,11 @@ def _counted(order: int, text: pa.ChunkedArray, replies: pa.Table, column: str):
     return counts, first
 
 
+def _bucket(context: np.ndarray) -> np.ndarray:
+    """One bucket per power of two of a context's count."""
+    return np.log2(context + 1).astype(np.int64)
+
+
 def _estimates(counts: list[np.ndarray], first: np.ndarray, total: int, types: int):
     """Estimates by order (uniform first), whether each exists, and the context bucket.
 
@@ -189,31 +223,36 @@ def _estimates(counts: list[np.ndarray], first: np.ndarray, total: int, types: i
             context[first[:-1]] = texts
         exists.append(context > 0)
         estimates.append(c / np.maximum(context, 1))
-    bucket = np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1)
-    return np.stack(estimates), np.stack(exists), bucket
+    return np.stack(estimates), np.stack(exists), _bucket(context)
 
 
 def _cells(order: int, total: int, types: int):
     """Tuning tokens of a block by context bucket and half bits of each estimate."""
 
     def cells(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = _merged(table)
         counts, first = _counted(order, table["text"], replies, "counting")
         estimates, _, cell = _estimates(counts, first, total, types)
         for e in estimates[1:]:
-            bits = np.where(e > 0, 1 + np.floor(-2 * np.log2(np.maximum(e, 1e-30))), 0)
+            bits = np.where(e > 0, 1 + np.floor(-2 * np.log2(np.maximum(e, 2.0**-63))), 0)
             cell = cell * CELLS + np.minimum(bits, CELLS - 1).astype(np.int64)
         tuning = np.repeat(table["use"].to_numpy(), np.diff(first)) == 1
-        values, many = np.unique(cell[tuning], return_counts=True)
+        copies = np.repeat(table["copies"].to_numpy(), np.diff(first))
+        values, where = np.unique(cell[tuning], return_inverse=True)
+        many = np.bincount(where, copies[tuning], len(values)).astype(np.int64)
         return pa.table([pa.array(values), pa.array(many)], names=["cell", "tokens"])
 
     return cells
 
 
-def mixture_weights(cells: np.ndarray, tokens: np.ndarray, order: int, types: int) -> np.ndarray:
+def mixture_weights(
+    cells: np.ndarray, tokens: np.ndarray, order: int, types: int, buckets: int
+) -> np.ndarray:
     """Weights (bucket, order + 1) by expectation-maximisation on the tuning cells.
 
-    A bucket without tuning tokens has the weights of all buckets together, and equal ones if there is
-    no tuning token at all.
+    The weights of all buckets together are learned from equal ones. Each bucket then takes those of
+    the bucket below, the first one those of all, as `PRIOR` further tokens; without tuning tokens it has
+    just these.
     """
     estimates = np.empty((order + 1, len(cells)))
     estimates[0] = 1.0 / (types + 1)
@@ -223,22 +262,27 @@ def mixture_weights(cells: np.ndarray, tokens: np.ndarray, order: int, types: in
         estimates[k] = np.where(bits > 0, 2.0 ** (-(bits - 0.5) / 2), 0.0)
         rest //= CELLS
 
-    def learned(mine: np.ndarray, start: np.ndarray) -> np.ndarray:
-        weight = start
-        if not tokens[mine].sum():
+    def learned(mine: np.ndarray, start: np.ndarray, prior: float) -> np.ndarray:
+        weight, many = start, tokens[mine]
+        if not many.sum():
             return weight
         for _ in range(EM_ROUNDS):
             parts = weight[:, None] * estimates[:, mine]
-            parts *= tokens[mine] / parts.sum(axis=0)
-            weight = parts.sum(axis=1) / tokens[mine].sum()
+            parts *= many / parts.sum(axis=0)
+            weight = (parts.sum(axis=1) + prior * start) / (many.sum() + prior)
         return np.maximum(weight, 1e-9) / np.maximum(weight, 1e-9).sum()
 
-    together = learned(np.ones(len(cells), dtype=bool), np.full(order + 1, 1.0 / (order + 1)))
-    return np.stack([learned(rest == b, together) for b in range(BUCKETS)])
+    below = learned(np.ones(len(cells), dtype=bool), np.full(order + 1, 1.0 / (order + 1)), 0)
+    weights = []
+    for bucket in range(buckets):
+        below = learned(rest == bucket, below, PRIOR)
+        weights.append(below)
+    return np.stack(weights)
 
 
 def _scores(order: int, total: int, types: int, weights: np.ndarray):
     def scores(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = _merged(table)
         counts, first = _counted(order, table["text"], replies, "all")
         estimates, exists, bucket = _estimates(counts, first, total, types)
         mine = weights.T[:, bucket] * exists
@@ -255,13 +299,26 @@ def _scores(order: int, total: int, types: int, weights: np.ndarray):
                 pa.array(np.full(len(starts), total)),
                 pa.array(np.add.reduceat(base, starts)),
                 pa.array(np.add.reduceat(np.log10(chance), starts)),
+                table["copies"],
             ],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            names=[*COLUMNS, "copies"],
         )
 
     return scores
 
 
+def _written_out(rows: DataFrame) -> DataFrame:
+    """Each row as often as it has copies. Many copies are cut into pieces for other tasks."""
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PIECE))
+    many = F.least(F.lit(PIECE), F.col("copies") - F.col("piece") * PIECE)
+    return (
+        rows.withColumn("piece", F.explode(pieces))
+        .repartition("doc_id", "n_tokens", "score", "piece")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), many)))
+        .select(*COLUMNS)
+    )
+
+
 def scored(
     docs: DataFrame,
     order: int = ORDER,
@@ -272,13 +329,14 @@ def scored(
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the texts whose crc32(doc_id) modulo `folds` is not `test_fold`; a null id is
-    held out. Null and empty texts are one end token. Repeated rows count and are scored each time.
+    held out. Null and empty texts are one end token. Repeated rows count each time; they are scored
+    once and returned each time.
     Without training texts every probability is 1. Extra columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt, count = blocks(docs, folds, test_fold, block_bytes)
     questions = dealt.groupBy("block").applyInArrow(
-        _asked(order, count), "n int, part int, block int, size int, asked binary, held binary"
+        _asked(order, -(-count // RANGE_BLOCKS)), "n int, part int, block int, size int, asked binary, held binary"
     )
     replies = kept(
         questions.groupBy("n", "part").applyInArrow(
@@ -299,17 +357,21 @@ def scored(
         .applyInArrow(_cells(order, known["tokens_a"], known["types_a"]), "cell long, tokens long")
         .groupBy("cell")
         .agg(F.sum("tokens").alias("tokens"))
-        .toArrow()  # at most BUCKETS * CELLS ** order rows
+        .toArrow()  # at most 64 * CELLS ** order rows, of which few thousand occur
     )
     weights = mixture_weights(
-        cells["cell"].to_numpy(), cells["tokens"].to_numpy(), order, known["types_a"]
+        cells["cell"].to_numpy(),
+        cells["tokens"].to_numpy(),
+        order,
+        known["types_a"],
+        int(_bucket(np.array([known["tokens_b"]]))[0]) + 1,
     )
-    return (
+    return _written_out(
         dealt.groupBy("block")
         .cogroup(both.groupBy("block"))
         .applyInArrow(
             _scores(order, known["tokens_b"], known["types_b"], weights),
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-            "base_score double, score double",
+            "base_score double, score double, copies long",
         )
     )

@@ -91,9 +91,100 @@ def test_base_and_mixture_scores(spark):
     compare(one, rows)
 
 
+def plain_scores(dealt, rounded):
+    """Deleted interpolation of words and word pairs with dictionaries, one token at a time.
+
+    dealt: (doc_id, text, use, copies). rounded: estimates in half bits while weights are learned.
+    """
+
+    def counts(uses):
+        once, pairs = Counter(), Counter()
+        for _, t, use, copies in dealt:
+            if use in uses:
+                ts = tokens(t)
+                for before, x in zip(["^", *ts], ts):
+                    once[x] += copies
+                    pairs[before, x] += copies
+        return once, pairs, sum(once.values()), len(once)
+
+    def parts(t, once, pairs, total, types):
+        for before, x in zip(["^", *tokens(t)], tokens(t)):
+            context = once[None] if before == "^" else once[before]
+            e = [1 / (types + 1), once[x] / max(total, 1), pairs[before, x] / max(context, 1)]
+            yield e, [True, total > 0, context > 0], int(math.log2(context + 1))
+
+    def half_bits(e):
+        return 2.0 ** (-(1 + math.floor(-2 * math.log2(e)) - 0.5) / 2) if e and rounded else e
+
+    tuning = [
+        (copies, bucket, [e[0], half_bits(e[1]), half_bits(e[2])])
+        for _, t, use, copies in dealt
+        if use == 1
+        for e, _, bucket in parts(t, *counts({0}))
+    ]
+
+    def learned(mine, start, prior):
+        weight = start
+        for _ in range(ngrams.EM_ROUNDS if mine else 0):
+            new = [prior * s for s in start]
+            for copies, _, e in mine:
+                whole = sum(w * x for w, x in zip(weight, e))
+                new = [a + copies * w * x / whole for a, w, x in zip(new, weight, e)]
+            weight = [max(a / sum(new), 1e-9) for a in new]
+        return [w / sum(weight) for w in weight]
+
+    final = counts({0, 1})
+    below, weights = learned(tuning, [1 / 3] * 3, 0), []
+    for bucket in range(int(math.log2(final[2] + 1)) + 1):
+        below = learned([c for c in tuning if c[1] == bucket], below, ngrams.PRIOR)
+        weights.append(below)
+    out = {}
+    for i, t, _, _ in dealt:
+        score = 0.0
+        for e, exists, bucket in parts(t, *final):
+            mine = [w * x for w, x in zip(weights[bucket], exists)]
+            score += math.log10(sum(w * x for w, x in zip(mine, e)) / sum(mine))
+        out[i, t] = score
+    return out
+
+
+def test_scores_against_plain_interpolation(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, _ = ngrams.blocks(docs, 7, 2, 2000)
+    dealt = [(r["doc_id"], r["text"], r["use"], r["copies"]) for r in dealt.collect()]
+    assert {0, 1, 2} == {use for _, _, use, _ in dealt}
+    scores = ngrams.scored(docs, block_bytes=2000).collect()
+    want, exact = plain_scores(dealt, True), plain_scores(dealt, False)
+    near = lambda values: sorted(round(v, 6) for v in values)
+    times = Counter((i, t or "") for i, t in rows)
+    assert near(r["score"] for r in scores) == near(v for k, v in want.items() for _ in range(times[k]))
+    # rounding to half bits moves the weights little: under one per cent of the whole log probability
+    assert abs(sum(want.values()) - sum(exact.values())) < 0.01 * abs(sum(exact.values()))
+
+
+def test_repeated_rows_are_folded(spark):
+    """A row with most of all copies reaches its block once a batch, and is returned each time."""
+    rows = corpus() + [(7000, "W1 W8 w15")] * 2500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, _ = ngrams.blocks(docs, 7, 2, 2000)
+    assert dealt.where("doc_id = 7000").count() == 3
+    compare(ngrams.scored(docs, block_bytes=2000).collect(), rows)
+
+
+def test_buckets_follow_the_corpus():
+    """Frequent contexts have weights of their own, and a bucket without tokens those below it."""
+    cell = lambda b, one, two: (b * ngrams.CELLS + one) * ngrams.CELLS + two
+    cells = np.array([cell(3, 30, 2), cell(20, 2, 30)])
+    weights = ngrams.mixture_weights(cells, np.array([100000, 100000]), 2, 1000, 25)
+    assert len(weights) == 25 and np.allclose(weights.sum(axis=1), 1)
+    assert weights[3][2] > 0.9 and weights[20][1] > 0.9
+    assert (weights[24] == weights[20]).all() and (weights[10] == weights[3]).all()
+
+
 def test_probabilities_sum_to_one():
     """Over all known tokens and the unknown one, after any context."""
-    weights = np.array([[0.2, 0.3, 0.5]] * ngrams.BUCKETS)
+    weights = np.array([[0.2, 0.3, 0.5]] * 5)
     train = [["a", "b", None], ["a", "a", "b", None], ["b", None]]
     once, pairs = Counter(), Counter()
     for t in train:
