@@ -467,6 +467,20 @@ def test_contract_matching_equals_brute_force(spark):
         assert got[r["transaction_id"]] == want
 
 
+def test_bins_of_contracts_are_not_sent_to_the_driver(spark, tmp_path):
+    """A small table of long contracts has many bins; the planner counts a row for each contract."""
+    terms = [(i, dt.date(1990, 1, 1 + i % 20), dt.date(9999, 12, 31), None) for i in range(50)]
+    kinds = "supplier_id bigint, start_date date, end_date date, category_id string"
+    spark.createDataFrame(terms, kinds).write.parquet(str(tmp_path / "terms"))
+    stored = spark.read.parquet(str(tmp_path / "terms"))
+    lines = star_rows(spark, {"transaction_id": 1, "supplier_id": 7}, {"transaction_id": 2, "supplier_id": 70})
+    hits = contracts.contract_hits(lines, stored)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [(r["hit_supplier"], r["hits"]) for r in hits.collect()] == [(7, 1)]
+    assert contracts.contract_bins(stored).count() > 50 * 2000
+
+
 def test_the_contract_that_applies(spark):
     """The category's own before one for all, then the last start, then the least id; long spans."""
     rng = __import__("random").Random(5)
