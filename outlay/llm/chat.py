@@ -4,12 +4,12 @@ A template is any function from a list of (role, text) turns to a string. To fin
 up without knowing the template, the turns before it are rendered with and without it and the two
 outputs compared: what the longer one adds at its end is the turn's piece. If the longer output does
 not begin with the shorter, the template rewrites history, and the turn is reported as such.
-Whole prefixes are rendered, unless the template itself declares in its attribute `lookback` at how many
-earlier turns it looks; then that many are rendered, and at the first `CHECKED` turns of every
-conversation and at powers of two up to `CHECKED_LONG` whole prefixes as well, with an error where they differ.
+Whole prefixes are rendered at every turn. A template may declare in its attribute `lookback` at how many
+earlier turns it looks; then that many are rendered beside the whole prefix, at every turn, with an error where
+they differ.
 
-Rows stream through tasks sorted by conversation and turn. With a declared lookback a conversation of
-any length needs no memory of its own; without one it is held whole and its work grows with the square.
+Rows stream through tasks sorted by conversation and turn. A conversation is held whole while its turns
+pass, and its work grows with the square of its turns.
 """
 
 from __future__ import annotations
@@ -27,9 +27,6 @@ Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-LOOKBACK = 8
-#: Turns before one whose window is compared with its whole prefix, and limits of the prefixes that are kept for it.
-CHECKED, CHECKED_LONG, CHECKED_CHARS = 32, 1024, 1 << 20
 
 
 def escaped(text: str) -> str:
@@ -57,9 +54,6 @@ def marked_turns(turns: Sequence[Turn]) -> str:
     return "".join(f"{OPEN}{escaped_role(r)}\n{escaped(t)}{CLOSE}\n" for r, t in turns)
 
 
-marked_turns.lookback = LOOKBACK
-
-
 def read_back(piece: str) -> tuple[str, str, int, int]:
     """Role, text, and start and end of the escaped text in a piece of `marked_turns`."""
     inner = piece[len(OPEN) : -len(CLOSE) - 1]
@@ -81,31 +75,22 @@ def rendered(
     turns: Iterator[Turn], template: Template, lookback: int | None = None
 ) -> Iterator[tuple[str | None, int]]:
     """For each turn the piece it adds, or None if it changed earlier output; and how many
-    characters of the earlier output the new one keeps."""
-    before: deque[Turn] = deque(maxlen=lookback)
+    characters of the earlier output the new one keeps. A declared lookback is held against the whole prefix at
+    every turn."""
+    before: list[Turn] = []
     known = template([])
-    length = len(known)
-    whole: list[Turn] | None = None if lookback is None else []
-    chars = 0
     for n, turn in enumerate(turns):
-        if lookback is not None:
-            known = template(list(before))
         after = template([*before, turn])
         piece, kept = step(known, after)
-        kept += length - len(known)
-        if whole is not None:
-            chars += len(turn[0]) + len(turn[1])
-            if n > CHECKED_LONG or chars > CHECKED_CHARS:
-                whole = None
-            else:
-                if n > lookback and (n <= CHECKED or n & (n - 1) == 0):
-                    if step(template(list(whole)), template([*whole, turn])) != (piece, kept):
-                        raise ValueError(
-                            f"the template looks back on more than the {lookback} turns it declares (turn {n})"
-                        )
-                whole.append(turn)
+        if lookback is not None and n > lookback:
+            near = before[n - lookback :]
+            seen = template(near)
+            in_window, kept_there = step(seen, template([*near, turn]))
+            if (in_window, kept_there + len(known) - len(seen)) != (piece, kept):
+                raise ValueError(
+                    f"the template looks back on more than the {lookback} turns it declares (turn {n})"
+                )
         yield piece, kept
-        length += len(after) - len(known)
         known = after
         before.append(turn)
 

@@ -131,6 +131,25 @@ def test_declared_lookback_is_checked_against_whole_prefixes(spark):
         chat.formatted(frame, cut_at(12, 8)).collect()
 
 
+def test_every_position_is_looked_at():
+    """A template that changes its output at one late turn only, between two powers of two."""
+
+    def odd_at(turn, lookback=None):
+        def template(ts):
+            return "".join(f"[{t}]" for _, t in (ts[1:] if len(ts) == turn else ts))
+
+        template.lookback = lookback
+        return template
+
+    turns = [("u", f"t{i}") for i in range(1400)]
+    pieces = [p for p, _ in chat.rendered(iter(turns), odd_at(1301))]
+    assert [i for i, p in enumerate(pieces) if p is None] == [1300, 1301]
+    for turn in (50, 1301):
+        with pytest.raises(ValueError, match="looks back"):
+            list(chat.rendered(iter(turns), odd_at(turn, 8), 8))
+    assert getattr(chat.marked_turns, "lookback", None) is None
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.formatted(frame)).collect() == []
