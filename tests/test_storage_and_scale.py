@@ -173,6 +173,45 @@ def test_products_are_derived_from_sums_alone(spark, small, tmp_path):
         rolled.rollup.at("invoice_id")
 
 
+def test_a_product_stores_only_the_grains_it_is_derived_from(spark, small):
+    m, names = entry._medallion(spark, small), []
+
+    def store(name, df):
+        names.append(name)
+        return storage.written(df, name)
+
+    rolled = RolledMedallion(m.bronze, dt.date(1998, 6, 1), m.fact, store)
+    assert rolled.by_level.count() > 0
+    assert names == ["spend_base", "supplier_id_numbers", "category_suppliers"]
+
+
+def shuffle_files(spark):
+    """Shuffle files of the running session, in local mode."""
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(len(list(Path(f).rglob("shuffle_*.data"))) for f in folder)
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    rows = spark.range(1000).repartition(3)
+    names = ("outlay_released_a", "outlay_released_b")
+    before = shuffle_files(spark)
+    try:
+        storage.written(rows, "released")
+        storage.replace_table(rows.withColumn("p", F.col("id") % 2), names[0], ("p",), str(tmp_path / "a"))
+        storage.replace_table(rows, names[1], folder=str(tmp_path / "b"), bucket_by=("id",), buckets=2)
+        storage.export_csv(rows, str(tmp_path / "c.csv"))
+        storage.export_parquet(rows, str(tmp_path / "d.parquet"))
+        assert shuffle_files(spark) <= before
+    finally:
+        for name in names:
+            spark.sql(f"drop table if exists {name}")
+
+
+def test_extracts_are_written_compressed(folder):
+    parts = list(Path(folder, "invoices.csv").glob("part-*"))
+    assert parts and all(p.name.endswith(".csv.gz") for p in parts)
+
+
 def test_member_sets_count_as_distinct_does(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), rng.randrange(4), rng.choice([None, f"m{rng.randrange(70_000)}"])) for _ in range(60_000)]
