@@ -7,9 +7,9 @@ a pair at the threshold meets in some band with the target probability, and does
 match. A bucket is known by its least set, and a set is at home with the least of its buckets. Sets of one
 home are dealt by hash into blocks of about `BLOCK`. Two blocks are compared, all sets of the one with all of the
 other, if they have one home or meet in a bucket; so a pair is counted once, in the one pair of blocks that
-holds it, and a chain of buckets costs what its buckets cost, not the square of the chain. No task holds more
-than two blocks and no pair leaves a task: blocks return the number of links of each set and a
-spanning forest of the links.
+holds it, and a chain of buckets costs what its buckets cost, not the square of the chain. A block meets its
+partners one after the other in one task, which holds two blocks at a time, and no pair leaves the task: a block returns
+the number of links of each of its sets once, and of the links only the edges that connect what is apart.
 
 The least of n sets in a bucket is low among all N, and homes are lower still: a bucket of n sets has about
 N / n homes at most, so the blocks that meet in it stay near n / BLOCK + N / n, whatever n is.
@@ -178,72 +178,132 @@ def components(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
 
 
 def _compare(threshold: float):
-    """A task on one pair of blocks: links of each set, and a spanning forest."""
+    """Rows (first, block, set_id, copies, shingles), sorted so that each block `first` is followed by the
+    blocks it is compared with: the links of each of its sets, and edges that connect what is linked.
 
-    def spanning(n: int, left: np.ndarray, right: np.ndarray):
-        root = list(range(n))
+    A block sees all its partners, so a set leaves one row of links. Links inside a block connect it
+    first, so a pair of blocks adds only the edges that join what is still apart; the lower block adds them.
+    """
+
+    class Block:
+        def __init__(self, ids, copies, shingles):
+            self.ids, self.copies = ids, np.array(copies, dtype=np.int64)
+            members = [np.frombuffer(s, dtype=np.uint64) for s in shingles]
+            self.size = np.array([len(m) for m in members], dtype=np.int64)
+            self.hashed = np.concatenate(members)
+            self.owner = np.repeat(np.arange(len(ids)), self.size)
+            self.known = np.unique(self.hashed)
+
+        def places(self, known):
+            """(owner, place) of the members that are among the known hashes, by place."""
+            place = np.searchsorted(known, self.hashed)
+            place[place == len(known)] = 0
+            found = known[place] == self.hashed
+            owner, place = self.owner[found], place[found]
+            order = np.argsort(place, kind="stable")
+            return owner[order], place[order]
+
+    def matched(one: Block, two: Block) -> np.ndarray:
+        """Which sets of the one are linked with which sets of the other."""
+        known = np.intersect1d(one.known, two.known, assume_unique=True)
+        common = np.zeros((len(one.ids), len(two.ids)), dtype=np.float32)
+        if len(known):
+            step = max(1, (1 << 22) // max(len(one.ids), len(two.ids)))
+            sides = [(b.places(known), len(b.ids)) for b in (one, two)]
+            for lo in range(0, len(known), step):
+                width = min(step, len(known) - lo)
+                has = []
+                for (owner, place), n in sides:
+                    a, b = np.searchsorted(place, [lo, lo + width])
+                    has.append(np.zeros((n, width), dtype=np.float32))
+                    has[-1][owner[a:b], place[a:b] - lo] = 1
+                common += has[0] @ has[1].T
+        inside = np.rint(common).astype(np.int64)
+        linked = inside >= np.ceil(threshold * (one.size[:, None] + two.size[None, :] - inside) - 1e-9)
+        if one is two:
+            np.fill_diagonal(linked, False)
+        return linked
 
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    def find(root, x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
+    def joined(root, left, right):
+        """The edges that connect what is apart so far."""
         keep = []
-        for a, b in zip(left.tolist(), right.tolist()):
-            x, y = find(a), find(b)
+        for a, b in zip(left, right):
+            x, y = find(root, a), find(root, b)
             if x != y:
                 root[max(x, y)] = min(x, y)
                 keep.append((a, b))
         return keep
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table["set_id"].to_pylist()
-        side = table["side"].to_numpy()
-        copies = table["copies"].to_numpy()
-        within = table["first"][0] == table["second"][0]
-        members = [np.frombuffer(s, dtype=np.uint64) for s in table["shingles"].to_pylist()]
-        size = np.array([len(m) for m in members], dtype=np.int64)
-        n = len(ids)
-        every = np.concatenate(members)
-        owner = np.repeat(np.arange(n), size)
-        _, place, uses = np.unique(every, return_inverse=True, return_counts=True)
-        # a shingle of one set only adds to no intersection
-        shared = uses[place] > 1
-        column = np.cumsum(uses > 1) - 1
-        owner, place = owner[shared], column[place[shared]]
-        width = int((uses > 1).sum())
-        common = np.zeros((n, n), dtype=np.float32)
-        step = max(1, (1 << 23) // max(n, 1))
-        order = np.argsort(place, kind="stable")
-        owner, place = owner[order], place[order]
-        for lo in range(0, width, step):
-            a, b = np.searchsorted(place, [lo, min(lo + step, width)])
-            has = np.zeros((n, min(step, width - lo)), dtype=np.float32)
-            has[owner[a:b], place[a:b] - lo] = 1
-            common += has @ has.T
-        inside = np.rint(common).astype(np.int64)
-        linked = inside >= np.ceil(
-            threshold * (size[:, None] + size[None, :] - inside) - 1e-9
-        )
-        if within:
-            np.fill_diagonal(linked, False)
-        else:
-            linked &= side[:, None] != side[None, :]
-        links = linked @ copies
-        left, right = np.nonzero(np.triu(linked))
-        forest = spanning(n, left, right)
-        return pa.table(
-            {
-                "set_id": ids + [ids[a] for a, _ in forest],
-                "links": links.tolist() + [None] * len(forest),
-                "other": [None] * n + [ids[b] for _, b in forest],
-            },
-            schema=pa.schema(
-                [("set_id", pa.binary()), ("links", pa.int64()), ("other", pa.binary())]
-            ),
+    def inner(block: Block):
+        """Which of its sets are linked, their roots, and the edges that connect them."""
+        linked = matched(block, block)
+        root = list(range(len(block.ids)))
+        return linked, root, joined(root, *[x.tolist() for x in np.nonzero(np.triu(linked))])
+
+    def runs(batches):
+        """(first, block, rows) for each run of equal first and block."""
+        name, rows = None, ([], [], [])
+        for batch in batches:
+            firsts, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            columns = [batch.column(i).to_pylist() for i in (2, 3, 4)]
+            lo = 0
+            while lo < len(firsts):
+                hi = lo + 1
+                while hi < len(firsts) and firsts[hi] == firsts[lo] and blocks[hi] == blocks[lo]:
+                    hi += 1
+                if name != (firsts[lo], blocks[lo]):
+                    if name:
+                        yield *name, rows
+                    name, rows = (firsts[lo], blocks[lo]), ([], [], [])
+                for held, column in zip(rows, columns):
+                    held.extend(column[lo:hi])
+                lo = hi
+        if name:
+            yield *name, rows
+
+    def result(ids, links, edges):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids + [a for a, _ in edges], type=pa.binary()),
+                pa.array(links + [None] * len(edges), type=pa.int64()),
+                pa.array([None] * len(ids) + [b for _, b in edges], type=pa.binary()),
+            ],
+            names=["set_id", "links", "other"],
         )
 
+    def compare(batches):
+        own = home = None
+        for first, block, rows in runs(batches):
+            if first == block:
+                if own is not None:
+                    yield result(own.ids, links.tolist(), [])
+                own, home = Block(*rows), first
+                linked, root, edges = inner(own)
+                links = linked @ own.copies
+                yield result([], [], [(own.ids[a], own.ids[b]) for a, b in edges])
+            elif first == home:
+                other = Block(*rows)
+                linked = matched(own, other)
+                if not linked.any():
+                    continue
+                links += linked @ other.copies
+                if first < block:
+                    n = len(own.ids)
+                    both = root + [n + x for x in inner(other)[1]]
+                    left, right = np.nonzero(linked)
+                    edges = joined(both, left.tolist(), (right + n).tolist())
+                    # a root is the least of its tree, so roots of own sets stay among them
+                    root = [find(both, x) for x in range(n)]
+                    yield result([], [], [(own.ids[a], other.ids[b - n]) for a, b in edges])
+        if own is not None:
+            yield result(own.ids, links.tolist(), [])
+
     return compare
 
 
@@ -333,24 +393,21 @@ def classes(
     )
     content = _members(docs, bits, width).groupBy("set_id").agg(F.any_value("shingles").alias("shingles"))
     compared_blocks = kept(met_blocks(members, placed, homes), "met-blocks")
-    first, second = F.col("first"), F.col("second")
-    sides = F.array(F.struct(first.alias("block"), F.lit(True).alias("side")))
-    other = F.array(F.struct(second.alias("block"), F.lit(False).alias("side")))
-    wanted = compared_blocks.select(
-        "first", "second", F.inline(F.when(first == second, sides).otherwise(F.concat(sides, other)))
+    met = compared_blocks.where("first <> second")
+    wanted = compared_blocks.select("first", F.col("second").alias("block")).unionByName(
+        met.select(F.col("second").alias("first"), F.col("first").alias("block"))
     )
     pairs = (
         placed.join(content, "set_id")
         .join(wanted, "block")
-        .select("first", "second", "side", "set_id", "copies", "shingles")
+        .select("first", "block", "set_id", "copies", "shingles")
     )
+    # a block comes before its partners, and its rows and theirs lie in one task
+    in_turn = pairs.repartition("first").sortWithinPartitions("first", F.col("first") != F.col("block"), "block")
     compared = kept(
-        pairs.groupBy("first", "second").applyInArrow(
-            _compare(threshold), "set_id binary, links long, other binary"
-        ),
-        "compared",
+        in_turn.mapInArrow(_compare(threshold), "set_id binary, links long, other binary"), "compared"
     )
-    links = compared.where("links is not null").groupBy("set_id").agg(F.sum("links").alias("links"))
+    links = compared.where("links is not null").select("set_id", "links")
     forest = compared.where("other is not null").select(
         F.col("set_id").alias("a"), F.col("other").alias("b")
     )

@@ -132,3 +132,28 @@ def test_a_column_named_like_the_row_key(spark):
     docs = spark.createDataFrame([(1, "a b c", 5), (2, "a  b c", 6)], "doc_id long, text string, _ROW int")
     got = neardup.deduplicated(docs)
     assert [tuple(r) for r in got.collect()] == [(1, "a b c", 5)] and got.columns == docs.columns
+
+
+def test_what_blocks_return_grows_with_the_sets(spark, monkeypatch):
+    """One large group of near copies: a row of links per set, and few edges per pair of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(100):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    stored, kept = {}, neardup.kept
+
+    def counted(df, label):
+        out = kept(df, label)
+        stored[label] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "kept", counted)
+    check(spark, rows)
+    pairs = stored["met-blocks"]
+    assert stored["placed"] == 100 and pairs > 100
+    assert stored["compared"] <= 2 * 100 + 2 * pairs
