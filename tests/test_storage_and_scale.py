@@ -423,6 +423,27 @@ print("ROWS", entry.queries()["anomaly_top50"](spark, {small!r}).count())
     assert "ROWS 50" in done.stdout, done.stderr[-2000:]
 
 
+def test_leaves_at_full_depth_give_the_same_paths(spark):
+    """Trees whose leaves all lie at full depth score as a walk that stops at each leaf does."""
+    lines = anomaly.anomaly_lines(fact_for_forest(spark, 300), "invoice_line")
+    forest = anomaly.fit_forest(lines, 300, trees=5)
+    feature, cut, path = anomaly._levels(forest)
+    assert path.shape == (5, 2**anomaly.DEPTH) and (feature >= 0).all()
+    columns = [anomaly._whole(f) for f in anomaly.FEATURES]
+    rows = lines.select(*columns, anomaly._path_total(spark, forest)(*columns).alias("total")).collect()
+
+    def walked(x):
+        found = 0
+        for pick, at, paths in zip(forest["feature"], forest["cut"], forest["path"]):
+            node = 0
+            while pick[node] >= 0:
+                node = 2 * node + 1 + (x[pick[node]] > at[node])
+            found += paths[node]
+        return found
+
+    assert [r["total"] for r in rows] == [walked(r[:-1]) for r in rows]
+
+
 def test_forest_on_few_identical_lines(spark):
     fact = fact_for_forest(spark, 1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(900))))
     scored = anomaly.spend_anomalies(fact.drop("copy"), trees=10)
