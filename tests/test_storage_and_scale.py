@@ -511,6 +511,20 @@ def test_unread_joins_are_dropped(spark, small):
     assert "Join" not in text and text.count("Relation") == 1
 
 
+def test_jobs_of_several_products_read_the_lines_once(spark, small, monkeypatch):
+    """Exports and answers read written lines: no product goes back to the order book."""
+    seen = {}
+    monkeypatch.setattr(entry.storage, "export_csv", lambda df, path, write=entry.storage.export_csv: (
+        seen.__setitem__(path.rpartition("/")[2], df), write(df, path)))
+    entry.sink_exports(spark, small)
+    monkeypatch.setattr(entry.questions, "answer_rows", lambda frames, make=entry.questions.answer_rows: (
+        seen.update(frames), make(frames))[1])
+    entry.answer_questions_dk(spark, small)
+    assert len(seen) == 15
+    for name, df in seen.items():
+        assert not any("lineitem" in f for f in df.inputFiles()), name
+
+
 def test_effects_add_up(spark, small):
     m = entry._medallion(spark, small)
     off = m.pvm.where(
