@@ -559,3 +559,21 @@ def test_order_lines_are_grouped_where_they_lie(spark, small):
     _, plan = physical(grouped)
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
     assert "SortAggregate" not in plan and "Sort [" not in plan and "HashAggregate" in plan
+
+
+def test_lines_read_in_many_parts_are_not_dealt_out_again(spark, small):
+    """Invoices exchange lines before their joins only where the file gives fewer parts than cores."""
+    few = OrderBook(spark, small).raw_invoices()
+    settings = {"spark.sql.files.maxPartitionBytes": "4KB", "spark.sql.files.openCostInBytes": "0"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        book = OrderBook(spark, small)
+        many, orders = book.raw_invoices(), book.raw_purchase_orders()
+        assert "REPARTITION_BY_COL" in physical(few)[1] and "REPARTITION_BY_COL" not in physical(many)[1]
+        assert "REPARTITION_BY_COL" in physical(orders)[1]
+        assert many.exceptAll(few).isEmpty() and many.count() == few.count()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
