@@ -601,3 +601,16 @@ def test_effects_add_up_and_their_ties_round_away_from_zero(spark):
     (row,) = pvm.pvm_category_monthly(fact).collect()
     assert row["price_effect"] + row["volume_effect"] + row["mix_effect"] == row["spend_change"]
     assert row["price_effect"] == D("-12.333333")
+
+
+def test_the_summary_of_the_last_month_leaves_no_category_out(spark):
+    def bought(category, spend_type, level, number, amount):
+        keys = {"category_id": category, "spend_type": spend_type, "category_l3": level}
+        return keys | {"period_month": month(number), "qty": D("1"), "invoice_amount": D(amount)}
+
+    levels = {"C1": ("Direct", "L"), "C2": ("Direct", None), "C3": (None, None), "C4": (None, "L")}
+    fact = fact_rows(spark, *[bought(c, *names, n, 10 * n) for c, names in levels.items() for n in (1, 2)])
+    detail = pvm.pvm_category_monthly(fact)
+    summary = pvm.pvm_latest_summary(detail).collect()
+    assert {(r["spend_type"], r["category_l3"]) for r in summary} == set(levels.values())
+    assert sum(r["spend_change"] for r in summary) == detail.agg(F.sum("spend_change")).first()[0] == 40
