@@ -577,3 +577,97 @@ def test_lines_read_in_many_parts_are_not_dealt_out_again(spark, small):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def same_rows(a, b):
+    return a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+
+def test_buckets_are_written_without_an_exchange(spark, tmp_path):
+    """Every task adds a file to each bucket, and equal buckets are joined and summed where they lie."""
+    rows = spark.range(0, 1000, 1, 3).select("id", (F.col("id") % 7).alias("k"))
+    before = shuffle_files(spark), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    stored = storage.in_buckets(rows, str(tmp_path / "b"), ("k",), 2)
+    files = list((tmp_path / "b").glob("v-*/*.parquet"))
+    assert len(files) == 6 and all(f.name.endswith(".zstd.parquet") for f in files)
+    assert (shuffle_files(spark), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == before
+    summed = stored.groupBy("k").agg(F.count("*").alias("n"))
+    assert "Exchange" not in physical(summed)[1]
+    assert {r["k"]: r["n"] for r in summed.collect()} == {k: len(range(k, 1000, 7)) for k in range(7)}
+    with storage.dealt(rows, ("k",), 2) as dealt:
+        place = Path(dealt.inputFiles()[0].removeprefix("file:")).parents[1]
+        assert same_rows(dealt, rows) and place.exists()
+    assert not place.exists()
+
+
+def test_partitions_are_written_without_an_exchange_if_rows_are_not_gathered(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 3).withColumn("p", F.col("id") % 2)
+    try:
+        stored = storage.replace_table(rows, "ungathered", ("p",), str(tmp_path / "t"), gather=False)
+        assert len(list((tmp_path / "t").glob("v-*/p=*/*.parquet"))) == 6 and same_rows(stored, rows)
+    finally:
+        storage.drop_table(spark, "ungathered")
+    assert not (tmp_path / "t").exists()
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_stored_sides_and_cube_lines_give_the_same_rows(spark, small, buckets):
+    """Neither the join of invoices and order lines nor the cube's sum exchanges lines."""
+    m = entry._medallion(spark, small)
+    fact = m.over_stored_sides(buckets).fact
+    text = physical(fact)[1]
+    assert same_rows(fact, m.fact) and "order_key" in text and "hashpartitioning(order_key" not in text
+    cube = m.over_cube_lines(buckets).cube
+    assert same_rows(cube, m.cube) and "hashpartitioning(period_month" not in physical(cube)[1]
+
+
+def test_invoices_without_orders_and_repeated_orders_in_buckets(spark):
+    """A line without an order has none, also where it repeats; a repeated order line counts once per invoice."""
+    columns = {c: F.lit(None).cast("decimal(14,2)") for c in model.INVOICE_COLUMNS}
+    invoices = spark.createDataFrame(
+        [("I1", 1, "P1", "C"), ("I1", 1, "P1", "C"), ("I2", 1, None, None), ("I2", 1, None, "C"), ("I3", None, "P1", "D"), (None, 1, None, "C")],
+        "invoice_id string, invoice_line int, po_id string, category_id string",
+    )
+    invoices = invoices.withColumns({c: v for c, v in columns.items() if c not in invoices.columns}).withColumns(
+        {"invoice_date": F.lit(dt.date(2024, 1, 5)), "period_month": F.lit(dt.date(2024, 1, 1))}
+    )
+    orders = spark.createDataFrame(
+        [("P1", 1, D("2.00")), ("P1", 1, D("3.00")), (None, 1, D("9.00")), ("P2", 1, D("1.00"))],
+        "po_id string, po_line int, po_amount decimal(14,2)",
+    )
+    levels = spark.createDataFrame([("C", "Direct", "A", "B")], "category_id string, spend_type string, category_l2 string, category_l3 string")
+    plain = model.fact_spend(invoices, orders, levels)
+    stored = model.colocated_fact(model.invoices_for_orders(invoices), model.orders_for_invoices(orders), levels)
+    assert plain.columns == stored.columns and same_rows(stored, plain)
+    assert sorted(r["po_amount"] for r in stored.collect()) == [0, 0, 0, 0, 5, 5]
+
+
+def test_lookups_exchange_lines_as_they_were_read(spark, small):
+    """Rates and amounts are worked out above the joins, so no exchange carries them."""
+    plan = OrderBook(spark, small).raw_invoices()._jdf.queryExecution().optimizedPlan().toString()
+    assert "FLOOR" in plan[: plan.index("Join")] and "FLOOR" not in plan[plan.index("Join") :]
+
+
+def test_the_supplier_grain_is_summed_where_it_lies(spark, small):
+    m, plans = entry._medallion(spark, small), {}
+
+    def store(name, df):
+        plans[name] = physical(df)[1]
+        return storage.written(df, name)
+
+    args = m.bronze, dt.date(1998, 6, 1), storage.written(m.fact, "fact"), store
+    dealt = RolledMedallion(*args, deal=lambda rows, keys: storage.dealt(rows, keys, 3))
+    found = dealt.by_supplier
+    assert "Exchange" not in plans["spend_by_supplier"]
+    assert same_rows(found, RolledMedallion(*args).by_supplier) and "Exchange" in plans["spend_by_supplier"]
+
+
+def test_scratch_of_a_job_goes_when_it_is_not_read_again(spark, small):
+    """Extracts go when they are landed, sides when the cube's lines are stored, these when the sums are."""
+    folder = entry._extracts_folder(spark, small)
+    assert entry._landing(spark, folder).accepted["invoices"] == 6000
+    assert list(Path(folder.removeprefix("file:")).glob("*.csv")) == []
+    scratch = Path(storage.session_folder(spark).removeprefix("file:"))
+    before = set(scratch.iterdir())
+    assert entry._rolled(spark, small).by_level.count() > 0
+    assert {p.name.split("-")[0] for p in set(scratch.iterdir()) - before} == {"rolled"}
